@@ -20,15 +20,16 @@ def lookup_join(
     values: Sequence[str],
     weight: str | None = None,
     rows: int | None = None,
+    map_key: str = "value",
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Add `values` of `mapping` (one row per `key`) to `df`; unmatched and NULL keys get NULL.
+    """Add `values` of `mapping` (one row per `map_key`) to `df`; unmatched and NULL keys get NULL.
 
     A small mapping is broadcast. For a larger one with a `weight` (rows per key) the few keys
     that can be hot are broadcast and only the rest is shuffled, with matched rows spread over
     salts so they do not meet in one task.
     """
-    right = mapping.select(q(key).alias("__k"), *[q(v) for v in values], *([q(weight).alias("__w")] if weight else []))
+    right = mapping.select(q(map_key).alias("__k"), *[q(v) for v in values], *([q(weight).alias("__w")] if weight else []))
     size = rows if rows is not None else mapping.count()
     if size <= broadcast_rows:
         slim = right.drop("__w")

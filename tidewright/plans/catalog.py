@@ -1,6 +1,6 @@
 """Import every topic so its queries are registered."""
 
-from . import cleaning, profiling, scanning  # noqa: F401
+from . import cleaning, encoding, profiling, scaling, scanning  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
