@@ -35,10 +35,10 @@ def value_buckets(counts: DataFrame, value: str, rows: int, bucket_rows: int) ->
 
 
 def running_totals(
-    counts: DataFrame, value: str, sums: Sequence[str], bucket_rows: int = BUCKET_ROWS
+    counts: DataFrame, value: str, sums: Sequence[str], bucket_rows: int = BUCKET_ROWS, rows: int | None = None
 ) -> DataFrame:
     """For each distinct value, the totals over all strictly smaller values (`before_<sum>`)."""
-    rows = counts.count()
+    rows = counts.count() if rows is None else rows
     cut = value_buckets(counts, value, rows, bucket_rows)
     in_bucket = W.partitionBy("bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     inner = cut.withColumns(
@@ -58,14 +58,6 @@ def running_totals(
     ).drop("bucket", *[f"shift_{s}" for s in sums])
 
 
-def average_ranks(df: DataFrame, value: str, weight: Column | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """`(value, rank)` for each distinct value: average rank over its ties."""
-    n = F.sum(weight) if weight is not None else F.count("*")
-    counts = df.groupBy(value).agg(n.alias("n"))
-    ranked = running_totals(counts, value, ["n"], bucket_rows)
-    return ranked.select(value, (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
-
-
 def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_index") -> DataFrame:
     """Zero-based position of each row in the total order given by `order`.
 
