@@ -1,6 +1,6 @@
 """Import every topic so its queries are registered."""
 
-from . import charting, cleaning, encoding, profiling, sampling, scaling, scanning  # noqa: F401
+from . import activity, charting, cleaning, encoding, profiling, sampling, scaling, scanning, tracking  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
