@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as
 
 from ..schema import q
 from .lookup import lookup_join
-from .sequences import MICROS, in_sequence, running_latest, trailing
+from .sequences import MICROS, in_sequence, micros, running_latest, trailing
 
 
 @dataclass(frozen=True)
@@ -136,11 +136,12 @@ def admit_requests(log: DataFrame, key: str, ts: str, cost: str, limits: Limits
     def make_step():
         current: dict = {"key": None, "gate": None}
 
-        def step(k, rows: pd.DataFrame) -> pd.DataFrame:
-            if current["key"] != k:
-                current.update(key=k, gate=Admission(limits))
-            at = rows[ts].astype("datetime64[us]").astype("int64")
-            verdicts = [current["gate"].admit(int(a), float(c)) for a, c in zip(at, rows[cost])]
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            verdicts = []
+            for k, at, price in zip(rows[key].tolist(), micros(rows[ts]), rows[cost].tolist()):
+                if current["gate"] is None or current["key"] != k:
+                    current.update(key=k, gate=Admission(limits))
+                verdicts.append(current["gate"].admit(at, float(price)))
             return rows.assign(allowed=[v for v, _ in verdicts], reason=[r for _, r in verdicts])
 
         return step
@@ -170,14 +171,12 @@ def replay_dedup(log: DataFrame, key: str, ts: str, seconds: float = 300, order:
     def make_step():
         state: dict = {"key": None, "last": None}
 
-        def step(k, rows: pd.DataFrame) -> pd.DataFrame:
-            if state["key"] != k:
-                state.update(key=k, last=None)
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
             out = []
-            for a in rows[ts].astype("datetime64[us]").astype("int64"):
-                fresh = state["last"] is None or a - state["last"] > span
+            for k, piece, at in zip(rows[key].tolist(), rows["__piece"].tolist(), micros(rows[ts])):
+                fresh = state["key"] != (k, piece) or at - state["last"] > span
                 if fresh:
-                    state["last"] = a
+                    state.update(key=(k, piece), last=at)
                 out.append(fresh)
             return rows.drop(columns="__piece").assign(accepted=out)
 

@@ -78,23 +78,24 @@ def in_sequence(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    make_step: Callable[[], Callable[[tuple, pd.DataFrame], pd.DataFrame]],
+    make_step: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
     schema: T.StructType | str,
 ) -> DataFrame:
     """Run a stateful step over each key's rows in order, batch by batch.
 
-    Rows of a key arrive sorted and in Arrow batches, so memory holds one batch and whatever
-    the step keeps; a key is never gathered whole.
+    Keys arrive one after the other, their rows sorted and in Arrow batches, so memory holds
+    one batch and whatever the step keeps; a key is never gathered whole.
     """
-    names = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = make_step()
         for batch in batches:
-            if batch.empty:
-                continue
-            parts = [step(k, g) for k, g in batch.groupby(names, sort=False, dropna=False)]
-            yield pd.concat(parts, ignore_index=True)
+            if len(batch):
+                yield step(batch)
 
     placed = df.repartition(*[q(k) for k in keys]).sortWithinPartitions(*[q(k) for k in keys], *order)
     return placed.mapInPandas(run, schema)
+
+
+def micros(stamps: pd.Series) -> list[int]:
+    return stamps.astype("datetime64[us]").astype("int64").tolist()
