@@ -103,8 +103,12 @@ def _kernel_width(df: DataFrame, features: Sequence[str]) -> float:
     return 1 / (d * variance) if variance > 0 else 1.0
 
 
-def estimator(name: str, rows: int, classes: int = 2, **params: Any):
-    """The Spark learner of a name; `rows` converts a penalty on sums into one on means."""
+def estimator(name: str, rows: int, classes: int = 2, spread: float = 1.0, **params: Any):
+    """The Spark learner of a name; `rows` converts a penalty on sums into one on means.
+
+    Spark also divides the squared penalty by the deviation of the target, so ridge regression
+    multiplies it back (`spread`).
+    """
     common = {"featuresCol": "features", "labelCol": "label"}
     trees, depth = params.get("trees", TREES), params.get("max_depth", 10)
     if name == "random_forest_classifier":
@@ -126,10 +130,10 @@ def estimator(name: str, rows: int, classes: int = 2, **params: Any):
         penalty = 1 / (params.get("C", 1.0) * max(rows, 1))
         mix = 1.0 if params.get("penalty") == "l1" else 0.0
         return LogisticRegression(
-            maxIter=params.get("max_iter", MAX_ITER), regParam=penalty, elasticNetParam=mix, standardization=False, **common
+            maxIter=params.get("max_iter", MAX_ITER), tol=1e-4, regParam=penalty, elasticNetParam=mix, standardization=False, **common
         )
     if name == "svc":
-        one = LinearSVC(maxIter=params.get("max_iter", 200), regParam=1 / (params.get("C", 1.0) * max(rows, 1)), **common)
+        one = LinearSVC(maxIter=params.get("max_iter", 200), tol=1e-3, regParam=1 / (params.get("C", 1.0) * max(rows, 1)), **common)
         return one if classes == 2 else OneVsRest(classifier=one, parallelism=4, **common)
     if name == "svr":
         return LinearRegression(loss="huber", maxIter=params.get("max_iter", 200), regParam=1 / (params.get("C", 1.0) * max(rows, 1)), **common)
@@ -137,7 +141,7 @@ def estimator(name: str, rows: int, classes: int = 2, **params: Any):
         return LinearRegression(regParam=0.0, solver="normal", **common)
     if name == "ridge_regression":
         return LinearRegression(
-            regParam=params.get("alpha", 1.0) / max(rows, 1), elasticNetParam=0.0, standardization=False, solver="normal", **common
+            regParam=params.get("alpha", 1.0) * spread / max(rows, 1), elasticNetParam=0.0, standardization=False, solver="normal", **common
         )
     if name == "lasso_regression":
         return LinearRegression(
@@ -184,7 +188,10 @@ def fit(
         stages.append(FourierFeatures(inputCol="raw_features", outputCol="features", gamma=float(width)))
     else:
         assembler.setOutputCol("features")
-    learner = estimator(algorithm, rows, len(labels) or 2, **params)
+    spread = 1.0
+    if algorithm == "ridge_regression":
+        spread = labelled.agg(F.stddev_samp("label")).first()[0] or 1.0
+    learner = estimator(algorithm, rows, len(labels) or 2, spread, **params)
     if weight is not None:
         learner.setWeightCol(weight)
     stages.append(learner)
