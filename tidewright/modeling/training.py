@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.evaluate import classification_metrics, detect_problem_type, regression_metrics
@@ -16,6 +18,8 @@ from ..operators.sampling import kfold, stratified_kfold, train_test_split, trai
 from ..schema import TableError
 from .learners import CLASSIFIERS, REGRESSORS, fit, resolve
 
+PARALLEL_FITS = 4
+
 # Tuning grids; None means no depth limit, which Spark trees cap at 30.
 GRIDS: dict[str, dict[str, list[Any]]] = {
     "random_forest_classifier": {"trees": [50, 100, 200], "max_depth": [10, 20, 30]},
@@ -45,22 +49,47 @@ def with_folds(df: DataFrame, target: str, key, problem: str, folds: int, seed:
     return kfold(df, key, folds, seed)
 
 
+def _in_parallel(tasks: Sequence[Any], run: Callable[[Any], Any]) -> list[Any]:
+    """Start several fits at once, so Spark can fill its slots with their small jobs."""
+    with ThreadPool(min(PARALLEL_FITS, max(1, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(run), tasks)
+
+
+def _fold_scores(
+    data: DataFrame, features: Sequence[str], target: str, algorithm: str, folds: int, trials: Sequence[dict[str, Any]]
+) -> list[list[float]]:
+    """Score of every fold for every parameter set; `data` carries its `fold`."""
+    problem = "classification" if algorithm in CLASSIFIERS else "regression"
+
+    def run(task: tuple[dict[str, Any], int]) -> float:
+        params, i = task
+        model = fit(data.filter(F.col("fold") != i), features, target, algorithm, **params)
+        scored = model.transform(data.filter(F.col("fold") == i))
+        return score_of(evaluate(scored, target, problem), problem)
+
+    found = _in_parallel([(t, i) for t in trials for i in range(folds)], run)
+    return [found[n * folds : (n + 1) * folds] for n in range(len(trials))]
+
+
+def _folded(df: DataFrame, features: Sequence[str], target: str, algorithm: str, key, folds: int, seed: int) -> DataFrame:
+    problem = "classification" if algorithm in CLASSIFIERS else "regression"
+    return with_folds(df.na.drop(subset=[*features, target]), target, key, problem, folds, seed).persist()
+
+
+def _summary(scores: list[float]) -> dict[str, Any]:
+    mean = sum(scores) / len(scores)
+    return {"scores": scores, "mean_score": mean, "std_score": math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))}
+
+
 def cross_validate(
     df: DataFrame, features: Sequence[str], target: str, algorithm: str, key, folds: int = 5, seed: int = 42, **params: Any
 ) -> dict[str, Any]:
     """Scores per fold (F1 or R2), their mean and population deviation."""
-    problem = "classification" if algorithm in CLASSIFIERS else "regression"
-    data = with_folds(df.na.drop(subset=[*features, target]), target, key, problem, folds, seed).persist()
+    data = _folded(df, features, target, algorithm, key, folds, seed)
     try:
-        scores = []
-        for i in range(folds):
-            model = fit(data.filter(F.col("fold") != i), features, target, algorithm, **params)
-            scored = model.transform(data.filter(F.col("fold") == i))
-            scores.append(score_of(evaluate(scored, target, problem), problem))
+        return _summary(_fold_scores(data, features, target, algorithm, folds, [params])[0])
     finally:
         data.unpersist()
-    mean = sum(scores) / folds
-    return {"scores": scores, "mean_score": mean, "std_score": math.sqrt(sum((s - mean) ** 2 for s in scores) / folds)}
 
 
 def reduced_grid(grid: dict[str, list[Any]]) -> dict[str, list[Any]]:
@@ -68,11 +97,8 @@ def reduced_grid(grid: dict[str, list[Any]]) -> dict[str, list[Any]]:
     return {k: v if len(v) <= 3 else [v[0], v[len(v) // 2], v[-1]] for k, v in grid.items()}
 
 
-def _best(df, features, target, algorithm, key, trials: list[dict[str, Any]], folds: int) -> dict[str, Any]:
-    results = []
-    for trial in trials:
-        found = cross_validate(df, features, target, algorithm, key, folds, **trial)
-        results.append({"params": trial, "score": found["mean_score"]})
+def _best(trials: list[dict[str, Any]], scores: list[list[float]]) -> dict[str, Any]:
+    results = [{"params": t, "score": sum(s) / len(s)} for t, s in zip(trials, scores)]
     return {"trials": results, **max(results, key=lambda r: r["score"])}
 
 
@@ -82,7 +108,11 @@ def tune_grid(
     """Best of all combinations of a grid by cross-validation."""
     grid = reduced_grid(grid or GRIDS.get(algorithm, {}))
     trials = [dict(zip(grid, values)) for values in product(*grid.values())]
-    return _best(df, features, target, algorithm, key, trials, folds)
+    data = _folded(df, features, target, algorithm, key, folds, 42)
+    try:
+        return _best(trials, _fold_scores(data, features, target, algorithm, folds, trials))
+    finally:
+        data.unpersist()
 
 
 def tune_random(
@@ -92,21 +122,24 @@ def tune_random(
     """Best of seeded draws from the ranges that the grid spans, within a time budget."""
     rng = random.Random(seed)
     grid = GRIDS.get(algorithm, {})
-    started, results = time.monotonic(), []
-    while len(results) < trials and (not results or time.monotonic() - started < seconds):
-        drawn: dict[str, Any] = {}
-        for name, values in grid.items():
-            numbers = [v for v in values if isinstance(v, (int, float))]
-            if len(numbers) < len(values):
-                drawn[name] = rng.choice(values)
-            elif all(isinstance(v, int) for v in values):
-                drawn[name] = rng.randint(min(values), max(values))
-            else:
-                low, high = math.log(min(values)), math.log(max(values))
-                drawn[name] = math.exp(rng.uniform(low, high))
-        found = cross_validate(df, features, target, algorithm, key, folds, seed, **drawn)
-        results.append({"params": drawn, "score": found["mean_score"]})
-    return {"trials": results, **max(results, key=lambda r: r["score"])}
+
+    def draw(values: list[Any]) -> Any:
+        if not all(isinstance(v, (int, float)) for v in values):
+            return rng.choice(values)
+        if all(isinstance(v, int) for v in values):
+            return rng.randint(min(values), max(values))
+        return math.exp(rng.uniform(math.log(min(values)), math.log(max(values))))
+
+    data = _folded(df, features, target, algorithm, key, folds, seed)
+    started, drawn, scores = time.monotonic(), [], []
+    try:
+        while len(drawn) < trials and (not drawn or time.monotonic() - started < seconds):
+            batch = [{name: draw(values) for name, values in grid.items()} for _ in range(min(4, trials - len(drawn)))]
+            drawn += batch
+            scores += _fold_scores(data, features, target, algorithm, folds, batch)
+        return _best(drawn, scores)
+    finally:
+        data.unpersist()
 
 
 def automl_select(

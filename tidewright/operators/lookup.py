@@ -42,15 +42,15 @@ def lookup_join(
     hot = right.filter(F.col("__w") >= limit).select(
         F.col("__k").alias("__hk"), *[q(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__hot")
     )
-    cold = right.filter(F.col("__w") < limit).drop("__w").withColumn("__s", F.lit(0))
+    cold = right.filter(F.col("__w") < limit).select(
+        F.col("__k").alias("__ck"), *[q(v).alias(f"__c_{v}") for v in values], F.lit(0).alias("__cs")
+    )
     marked = df.join(F.broadcast(hot), q(key) == F.col("__hk"), "left").drop("__hk")
     settled = F.col("__hot") | q(key).isNull()
-    marked = marked.withColumn(
-        "__salt", F.when(settled, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    joined = marked.join(cold, (q(key) == cold["__k"]) & (F.col("__salt") == cold["__s"]), "left")
-    keep = [c for c in df.columns if c not in values]
+    spread = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    marked = marked.withColumn("__salt", F.when(settled, spread).otherwise(0))
+    joined = marked.join(cold, (q(key) == F.col("__ck")) & (F.col("__salt") == F.col("__cs")), "left")
     return joined.select(
-        *[q(c) for c in keep],
-        *[F.coalesce(q(f"__h_{v}"), cold[v]).alias(v) for v in values],
+        *[q(c) for c in df.columns if c not in values],
+        *[F.coalesce(q(f"__h_{v}"), q(f"__c_{v}")).alias(v) for v in values],
     )

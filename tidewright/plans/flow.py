@@ -8,12 +8,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_words
 from ..operators import clean, dates, encode, profile, reduce, scale, text
 from ..operators.userfn import apply_user_function
-from ..schema import TableError, numeric_columns, string_columns
+from ..schema import TableError, numeric_columns, q, string_columns
 from ..sources import scan_parquet, sink_parquet
 
 AUDIT_SCHEMA = "position int, step string, action string, column string, affected_rows long"
@@ -54,21 +55,22 @@ def preprocess(df: DataFrame, config: Preparation) -> Prepared:
         audit.append((len(audit), step, action, column, rows))
 
     if config.drop_duplicates:
-        df = clean.drop_duplicates(df)
+        # Every later fit reads these rows: kept once, they are not shuffled again each time.
+        df = clean.drop_duplicates(df).persist(StorageLevel.MEMORY_AND_DISK)
         note("clean", "drop_duplicates", None)
+    held = df.agg(F.count("*").alias("__rows"), *[F.count(q(c)).alias(c) for c in df.columns]).first()
     for kind, columns, strategy in (
         ("numeric", numeric_columns(df), config.numeric_fill),
         ("text", string_columns(df), config.text_fill),
     ):
         if not strategy or not columns:
             continue
-        held = df.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).first()
-        gaps = [c for c in columns if held[c] < held["rows"]]
+        gaps = [c for c in columns if held[c] < held["__rows"]]
         fills = clean.fit_impute(df, strategy, gaps) if gaps else {}
         df = clean.apply_impute(df, fills)
         artifacts[f"{kind}_fill"] = fills
         for c in fills:
-            note("clean", f"impute_{strategy}", c, held["rows"] - held[c])
+            note("clean", f"impute_{strategy}", c, held["__rows"] - held[c])
     if config.outliers:
         df = clean.outlier_iqr(df, config.outliers)
         note("clean", f"outlier_{config.outliers}", None)

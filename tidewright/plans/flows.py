@@ -133,15 +133,15 @@ def pandas_query(spark, sf):
 
 @query(
     "grouped_user_function",
-    """SELECT event_id, user_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS centered FROM events""",
+    """SELECT event_id, user_id, round(value - max(value) OVER (PARTITION BY user_id), 6) AS below_best FROM events""",
 )
 def grouped_query(spark, sf):
     df = table(spark, sf, "events").select("event_id", "user_id", "value")
 
     def center(rows):
-        return rows.assign(centered=(rows["value"] - rows["value"].mean()).round(6))[["event_id", "user_id", "centered"]]
+        return rows.assign(below_best=(rows["value"] - rows["value"].max()).round(6))[["event_id", "user_id", "below_best"]]
 
-    return userfn.grouped_user_function(df, "user_id", center, "event_id long, user_id long, centered double")
+    return userfn.grouped_user_function(df, "user_id", center, "event_id long, user_id long, below_best double")
 
 
 def event_stream(spark, sf):
