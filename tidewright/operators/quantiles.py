@@ -3,7 +3,7 @@
 A column of a few rows uses Spark's own `percentile`. A longer one is bracketed by an
 approximate sketch, rows below each bracket are counted exactly, and the bracket is narrowed
 until few enough rows are left to pick the order statistics from. Every pass is an aggregate
-with bounded state, so a third pass covers about 10^12 rows.
+with bounded state, so a few passes cover any length.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as
 from ..schema import as_list, q, require_numeric
 
 BUILTIN_ROWS = 200_000  # up to this many values Spark's percentile keeps its map small
-PICK_ROWS = 1_000_000  # most values one bracket may hold when it is finally sorted
-SKETCH = 10_000
+PICK_ROWS = 100_000  # most values one bracket may hold when it is finally sorted
+SKETCH = 4_000
 
 
 class _Target:
@@ -120,37 +120,30 @@ def _narrow(keyed: DataFrame, targets: dict, pick_rows: int, sketch: int, groupe
     open_targets = {k: t for k, t in targets.items() if t.n > pick_rows}
     while open_targets:
         frame, names = _with_brackets(keyed, open_targets, grouped)
-        slots = list(names)
-        wanted = {
-            slot: sorted(
-                {
-                    min(1.0, max(0.0, at + side * 4 / sketch))
-                    for (g, c, p), t in open_targets.items()
-                    if (c, p) == slot
-                    for at in [(t.low_rank - t.below) / max(t.inside - 1, 1)]
-                    for side in (-1, 1)
-                }
-            )
-            for slot in slots
-        }
-        inside = {
-            (c, p): q(c).between(F.col(names[(c, p)][0]), F.col(names[(c, p)][1])) for c, p in slots
-        }
-        rows = frame.groupBy("__g").agg(
-            *[
-                F.percentile_approx(F.when(inside[s], q(s[0])), wanted[s], sketch).alias(f"a{i}")
-                for i, s in enumerate(slots)
-            ]
-        )
-        marks = {r["__g"]: r for r in rows.collect()}
+        spots = {k: (t.low_rank - t.below) / max(t.inside - 1, 1) for k, t in open_targets.items()}
+
+        def around(at: float) -> list[float]:
+            return [min(1.0, max(0.0, at + side * 4 / sketch)) for side in (-1, 1)]
+
+        # Quantiles of a column that still share their bracket share one sketch.
+        sketches: dict[tuple, list[tuple]] = {}
+        for c, p in names:
+            ends = frozenset((g, t.lo, t.hi) for (g, tc, tp), t in open_targets.items() if (tc, tp) == (c, p))
+            sketches.setdefault((c, ends), []).append((c, p))
+        place, aggs = {}, []
+        for i, slots in enumerate(sketches.values()):
+            c, (lo, hi) = slots[0][0], names[slots[0]]
+            shares = sorted({x for (g, tc, tp), at in spots.items() if (tc, tp) in slots for x in around(at)})
+            inside = F.when(q(c).between(F.col(lo), F.col(hi)), q(c))
+            aggs.append(F.percentile_approx(inside, shares, sketch).alias(f"a{i}"))
+            place.update({slot: (f"a{i}", shares) for slot in slots})
+        marks = {r["__g"]: r for r in frame.groupBy("__g").agg(*aggs).collect()}
         before = {k: (t.lo, t.hi) for k, t in open_targets.items()}
         for (g, c, p), t in open_targets.items():
-            i = slots.index((c, p))
-            at = (t.low_rank - t.below) / max(t.inside - 1, 1)
-            lo = min(1.0, max(0.0, at - 4 / sketch))
-            hi = min(1.0, max(0.0, at + 4 / sketch))
-            t.lo = max(t.lo, marks[g][f"a{i}"][wanted[(c, p)].index(lo)])
-            t.hi = min(t.hi, marks[g][f"a{i}"][wanted[(c, p)].index(hi)])
+            name, shares = place[(c, p)]
+            lo, hi = around(spots[(g, c, p)])
+            t.lo = max(t.lo, marks[g][name][shares.index(lo)])
+            t.hi = min(t.hi, marks[g][name][shares.index(hi)])
         _count_brackets(keyed, open_targets, grouped)
         for k, t in open_targets.items():
             # The sketch only suggests; a bracket that missed its rank goes back to its old end.

@@ -8,7 +8,7 @@ from ..functions.text import words
 from ..modeling import learners, training
 from ..operators import evaluate, explain, neighbors, reduce
 from ..operators.sampling import train_test_split_stratified
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import table
 from .inputs import rounded
 from .registry import query
@@ -81,7 +81,7 @@ TEXT_FEATURES = ["n_chars", "n_words", "mean_word", "distinct_share"]
 def labelled_texts(spark, sf):
     """Simple text measures with the quality and toxicity labels."""
     w = words(F.col("text"))
-    docs = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), w.alias("w"), "text")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), w.alias("w"), "text")
     count = F.greatest(F.size("w"), F.lit(1))
     measured = docs.select(
         "doc_id",
@@ -121,7 +121,7 @@ def _classifier(algorithm, **params):
 
 def part_rows(spark, sf):
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("double")
-    return table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), brand.alias("brand"), "p_retailprice")
+    return spread(table(spark, sf, "part")).select("p_partkey", F.col("p_size").cast("double").alias("size"), brand.alias("brand"), "p_retailprice")
 
 
 PART_FEATURES = ["size", "brand"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, content_words
 from ..operators import text
+from ..session import spread
 from ..sources import table
 from .inputs import rounded
 from .registry import query
@@ -17,7 +18,7 @@ TOKENS = f"tokens AS (SELECT doc_id, {CONTENT} AS t FROM documents)"
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("tokenize_clean", f"WITH {TOKENS} SELECT doc_id, array_to_string(t, ' ') AS text FROM tokens")

@@ -50,6 +50,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so rows cannot change when tasks rerun."""
-    _checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by writing a table below the shared folder and reading it back.
+
+    The rows are fixed from then on: a lost executor cannot change them, and a column such as
+    a partition number keeps its value however often it is read.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few file splits one partition per core, for work heavy on the CPU.
+
+    A large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
