@@ -190,7 +190,7 @@ def fit(
         assembler.setOutputCol("features")
     spread = 1.0
     if algorithm == "ridge_regression":
-        spread = labelled.agg(F.stddev_samp("label")).first()[0] or 1.0
+        spread = labelled.agg(F.stddev_pop("label")).first()[0] or 1.0
     learner = estimator(algorithm, rows, len(labels) or 2, spread, **params)
     if weight is not None:
         learner.setWeightCol(weight)

@@ -11,7 +11,7 @@ from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evaluate import classification_metrics, detect_problem_type, regression_metrics
 from ..operators.sampling import kfold, stratified_kfold, train_test_split, train_test_split_stratified
@@ -49,10 +49,10 @@ def with_folds(df: DataFrame, target: str, key, problem: str, folds: int, seed:
     return kfold(df, key, folds, seed)
 
 
-def _in_parallel(tasks: Sequence[Any], run: Callable[[Any], Any]) -> list[Any]:
+def _in_parallel(spark: SparkSession, tasks: Sequence[Any], run: Callable[[Any], Any]) -> list[Any]:
     """Start several fits at once, so Spark can fill its slots with their small jobs."""
     with ThreadPool(min(PARALLEL_FITS, max(1, len(tasks)))) as pool:
-        return pool.map(inheritable_thread_target(run), tasks)
+        return pool.map(inheritable_thread_target(spark)(run), tasks)
 
 
 def _fold_scores(
@@ -67,7 +67,7 @@ def _fold_scores(
         scored = model.transform(data.filter(F.col("fold") == i))
         return score_of(evaluate(scored, target, problem), problem)
 
-    found = _in_parallel([(t, i) for t in trials for i in range(folds)], run)
+    found = _in_parallel(data.sparkSession, [(t, i) for t in trials for i in range(folds)], run)
     return [found[n * folds : (n + 1) * folds] for n in range(len(trials))]
 
 
