@@ -25,9 +25,9 @@ def lookup_join(
 ) -> DataFrame:
     """Add `values` of `mapping` (one row per `map_key`) to `df`; unmatched and NULL keys get NULL.
 
-    A small mapping is broadcast. For a larger one with a `weight` (rows per key) the few keys
-    that can be hot are broadcast and only the rest is shuffled, with matched rows spread over
-    salts so they do not meet in one task.
+    A small mapping is broadcast. Of a larger one the few keys that can be hot are broadcast and
+    only the rest is shuffled, with settled rows spread over salts so they do not meet in one
+    task. How many rows a key has comes from the mapping's `weight`, or is counted.
     """
     right = mapping.select(q(map_key).alias("__k"), *[q(v) for v in values], *([q(weight).alias("__w")] if weight else []))
     size = rows if rows is not None else mapping.count()
@@ -35,10 +35,11 @@ def lookup_join(
         slim = right.drop("__w")
         return df.join(F.broadcast(slim), q(key) == F.col("__k"), "left").drop("__k")
     if weight is None:
-        return df.join(right, q(key) == F.col("__k"), "left").drop("__k")
-
+        held = df.groupBy(q(key).alias("__lk")).agg(F.count("*").alias("__w"))
+        # Keys that no row uses drop out here; they could not match anyway.
+        right = right.join(held, F.col("__k") == F.col("__lk")).drop("__lk")
     total = right.agg(F.sum("__w")).first()[0] or 0
-    limit = total / HOT_SHARE
+    limit = max(total / HOT_SHARE, 2)
     hot = right.filter(F.col("__w") >= limit).select(
         F.col("__k").alias("__hk"), *[q(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__hot")
     )

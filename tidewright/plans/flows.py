@@ -189,7 +189,11 @@ def replays_query(spark, sf):
     return jobs.run_append(jobs.drop_replays(stream, nonce, "ts", "1 day"))
 
 
-@query("stream_brute_force")
+@query(
+    "stream_brute_force",
+    """SELECT user_id, strftime(date_trunc('minute', ts) - to_minutes(i), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS failures
+    FROM events, (SELECT unnest(range(15)) AS i) WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) > 1""",
+)
 def brute_query(spark, sf):
     failures = event_stream(spark, sf).filter("event_type = 'error'").select("user_id", "ts")
     out = jobs.run_complete(jobs.brute_force_windows(failures, "user_id", "ts", 1))

@@ -302,16 +302,20 @@ def predict_query(spark, sf):
     return learners.predict_batch(model, data.filter("is_test"), TEXT_FEATURES).select("doc_id", "prediction", "confidence")
 
 
-@query("save_load_model")
+@query(
+    "save_load_model",
+    """WITH t AS (SELECT regr_slope(o_totalprice / 1000, o_custkey) AS w, regr_intercept(o_totalprice / 1000, o_custkey) AS b FROM orders)
+    SELECT o_orderkey, round(b + w * o_custkey, 6) AS prediction FROM orders, t""",
+)
 def save_load_query(spark, sf):
-    data = part_rows(spark, sf)
-    model = learners.fit(data, PART_FEATURES, "p_retailprice", "decision_tree_regressor")
+    data = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("price"))
+    model = learners.fit(data, ["o_custkey"], "price", "linear_regression")
     loaded = learners.load_model(learners.save_model(model, scratch_path(spark, "model")))
-    return learners.predict_batch(loaded, data, PART_FEATURES).select("p_partkey", "prediction")
+    return rounded(learners.predict_batch(loaded, data, ["o_custkey"]).select("o_orderkey", "prediction"), "prediction")
 
 
-@query("feature_importance")
-def importance_query(spark, sf):
+@query("feature_importance_tree")
+def tree_importance_query(spark, sf):
     model = learners.fit(labelled_texts(spark, sf), TEXT_FEATURES, "quality", "decision_tree_classifier")
     return learners.feature_importance(model, TEXT_FEATURES, spark)
 
@@ -328,6 +332,15 @@ def _plane(spark, sf):
     return data, learners.fit(data, PLANE_FEATURES, "l_quantity", "linear_regression")
 
 
+@query(
+    "feature_importance",
+    f"WITH {PLANE} SELECT 'l_discount' AS feature, round(abs(w1), 6) AS importance FROM k UNION ALL SELECT 'l_tax', round(abs(w2), 6) FROM k",
+)
+def importance_query(spark, sf):
+    _, model = _plane(spark, sf)
+    return rounded(learners.feature_importance(model, PLANE_FEATURES, spark), "importance")
+
+
 def _locals(value: str) -> str:
     return " UNION ALL ".join(
         f"SELECT l_partkey, '{f}' AS feature, {value.format(x=f, w=w, m=m)} AS v FROM lineitem, k" for f, w, m in (("l_discount", "w1", "m1"), ("l_tax", "w2", "m2"))
@@ -363,8 +376,20 @@ def substitution_query(spark, sf):
     return rounded(explain.mean_substitution_importance(model, data, "o_orderkey", ["o_custkey"]), "importance")
 
 
-@query("shap_sampling")
+# With means as background every order gives a linear model its exact attributions.
+@query(
+    "shap_sampling",
+    """WITH t AS (SELECT regr_slope(o_totalprice / 1000, o_custkey) AS w, avg(o_custkey) AS m FROM orders)
+    SELECT o_orderkey, 'o_custkey' AS feature, round((o_custkey - m) * w, 6) AS shap FROM orders, t""",
+)
 def shap_sampling_query(spark, sf):
+    data = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("price"))
+    model = learners.fit(data, ["o_custkey"], "price", "linear_regression")
+    return rounded(explain.shap_sampling(model, data, "o_orderkey", ["o_custkey"], 2), "shap")
+
+
+@query("shap_sampling_tree")
+def shap_tree_query(spark, sf):
     data = labelled_texts(spark, sf).persist()
     model = learners.fit(data, TEXT_FEATURES, "quality", "decision_tree_classifier")
     return explain.shap_sampling(model, data, "doc_id", TEXT_FEATURES, 8)
