@@ -58,23 +58,28 @@ def running_totals(
     ).drop("bucket", *[f"shift_{s}" for s in sums])
 
 
+# Fixed value: Spark's increasing ids hold the partition above these bits and the row below.
+ROW_BITS = 33
+
+
 def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_index") -> DataFrame:
     """Zero-based position of each row in the total order given by `order`.
 
     Range partitioning splits on the full order key, so one repeated leading value does not
-    fill a partition as long as the key ends in an id. The ranges are sampled anew on each
-    run, hence the checkpoint before partition numbers are used twice.
+    fill a partition as long as the key ends in an id. Rows are sorted and numbered inside
+    their range in the same stage; what remains is adding the sizes of the ranges before. The
+    ranges are sampled anew on each run, hence the cut before the numbers are used twice.
     """
-    placed = df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id())
-    placed = durable(placed)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = durable(placed.withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__pid", F.shiftright("__id", ROW_BITS))
     sizes = placed.groupBy("__pid").agg(F.count("*").alias("__n"))
     # One row per partition.
     before = W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inner = F.row_number().over(W.partitionBy("__pid").orderBy(*order))
+    inner = F.col("__id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (
-        placed.withColumn("__rn", inner)
-        .join(F.broadcast(starts), "__pid")
-        .withColumn(name, F.col("__start") + F.col("__rn") - 1)
-        .drop("__pid", "__rn", "__start")
+        placed.join(F.broadcast(starts), "__pid")
+        .withColumn(name, F.col("__start") + inner)
+        .drop("__pid", "__id", "__start")
     )

@@ -6,23 +6,26 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorAssembler
+import pandas as pd
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schema import TableError, numeric_columns, q, require
 
 
+MAX_SUMMED = 30  # up to this many columns all covariances fit one aggregate
+
+
 @dataclass
 class Components:
-    """Fitted components: centering, rotation, signs and variances."""
+    """Fitted components: means, loadings with fixed signs, and variances."""
 
     columns: list[str]
-    centering: object
-    rotation: PCAModel
-    signs: list[float]
-    ratios: list[float]
+    means: np.ndarray
+    loadings: np.ndarray
     variances: list[float]
+    ratios: list[float]
 
     def report(self, spark) -> DataFrame:
         """`(component, explained_variance, ratio, cumulative)`."""
@@ -33,42 +36,84 @@ class Components:
         return spark.createDataFrame(rows, "component string, explained_variance double, ratio double, cumulative double")
 
 
+def _is_array(df: DataFrame, columns: Sequence[str]) -> bool:
+    return len(columns) == 1 and isinstance(df.schema[columns[0]].dataType, T.ArrayType)
+
+
+def _filled(columns: Sequence[str]) -> list[Column]:
+    return [F.coalesce(q(c).cast("double"), F.lit(0.0)) for c in columns]
+
+
 def _vector(df: DataFrame, columns: list[str]) -> DataFrame:
-    if len(columns) == 1 and isinstance(df.schema[columns[0]].dataType, T.ArrayType):
+    if _is_array(df, columns):
         return df.withColumn("__x", array_to_vector(q(columns[0]).cast("array<double>")))
-    filled = [F.coalesce(q(c).cast("double"), F.lit(0.0)).alias(f"__x{i}") for i, c in enumerate(columns)]
-    wide = df.select("*", *filled)
     names = [f"__x{i}" for i in range(len(columns))]
+    wide = df.select("*", *[c.alias(n) for c, n in zip(_filled(columns), names)])
     return VectorAssembler(inputCols=names, outputCol="__x").transform(wide).drop(*names)
 
 
+def _summed(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of a few columns from one aggregate."""
+    x, d = _filled(columns), len(columns)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    row = df.agg(*[F.avg(c) for c in x], *[F.covar_samp(x[i], x[j]) for i, j in pairs]).first()
+    covariance = np.zeros((d, d))
+    for (i, j), value in zip(pairs, row[d:]):
+        covariance[i, j] = covariance[j, i] = value
+    return np.array(row[:d], dtype=float), covariance
+
+
 def fit_pca(df: DataFrame, n: int, columns: str | Sequence[str] | None = None) -> Components:
     """Covariance is summed over partitions; the driver only holds a columns x columns matrix."""
     columns = require(df, columns or numeric_columns(df))
-    vectors = _vector(df, columns)
-    # The components are rotated about the mean, which PCA leaves to its caller.
-    centering = StandardScaler(withMean=True, withStd=False, inputCol="__x", outputCol="__c").fit(vectors)
-    centered = centering.transform(vectors)
-    width = len(centering.mean)
-    if not 1 <= n <= width:
-        raise TableError(f"components must lie in 1..{width}")
-    rotation = PCA(k=n, inputCol="__c", outputCol="__p").fit(centered)
-    loadings = rotation.pc.toArray()
-    signs = [1.0 if c[np.argmax(np.abs(c))] >= 0 else -1.0 for c in loadings.T]
-    ratios = [float(r) for r in rotation.explainedVariance]
-    total = float(np.sum(np.square(centering.std.toArray())))
-    return Components(columns, centering, rotation, signs, ratios, [r * total for r in ratios])
+    if not _is_array(df, columns) and len(columns) <= MAX_SUMMED:
+        means, covariance = _summed(df, columns)
+        values, vectors = np.linalg.eigh(covariance)
+        order = np.argsort(values)[::-1]
+        loadings, spread = vectors[:, order], np.clip(values[order], 0.0, None)
+        total = float(spread.sum())
+        ratios = [float(v / total) if total else 0.0 for v in spread]
+    else:
+        # The components are rotated about the mean, which PCA leaves to its caller.
+        vectors = _vector(df, columns)
+        centering = StandardScaler(withMean=True, withStd=False, inputCol="__x", outputCol="__c").fit(vectors)
+        width = len(centering.mean)
+        if not 1 <= n <= width:
+            raise TableError(f"components must lie in 1..{width}")
+        rotation = PCA(k=n, inputCol="__c", outputCol="__p").fit(centering.transform(vectors))
+        means, loadings = centering.mean.toArray(), rotation.pc.toArray()
+        ratios = [float(r) for r in rotation.explainedVariance]
+        total = float(np.sum(np.square(centering.std.toArray())))
+    if not 1 <= n <= len(means):
+        raise TableError(f"components must lie in 1..{len(means)}")
+    loadings = loadings[:, :n]
+    largest = loadings[np.argmax(np.abs(loadings), axis=0), np.arange(n)]
+    loadings = loadings * np.where(largest < 0, -1.0, 1.0)
+    ratios = ratios[:n]
+    return Components(columns, means, loadings, [r * total for r in ratios], ratios)
 
 
 def apply_pca(df: DataFrame, model: Components, whiten: bool = False) -> DataFrame:
     """Centered scores `PC1..PCn` in place of the source columns."""
-    scored = model.rotation.transform(model.centering.transform(_vector(df, model.columns)))
-    array = scored.withColumn("__a", vector_to_array("__p"))
-    scores = []
-    for i, sign in enumerate(model.signs):
-        factor = sign / (model.variances[i] ** 0.5 if whiten and model.variances[i] > 0 else 1.0)
-        scores.append((F.col("__a")[i] * F.lit(factor)).alias(f"PC{i + 1}"))
-    return array.select(*[q(c) for c in df.columns if c not in model.columns], *scores)
+    scale = [v**0.5 if whiten and v > 0 else 1.0 for v in model.variances]
+    rest = [q(c) for c in df.columns if c not in model.columns]
+    if not _is_array(df, model.columns) and len(model.columns) <= MAX_SUMMED:
+        x = _filled(model.columns)
+        scores = []
+        for i, s in enumerate(scale):
+            terms = [(c - F.lit(float(m))) * F.lit(float(w / s)) for c, m, w in zip(x, model.means, model.loadings[:, i])]
+            scores.append(sum(terms[1:], terms[0]).alias(f"PC{i + 1}"))
+        return df.select(*rest, *scores)
+    loadings, means, factors = model.loadings, model.means, np.array(scale)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def rotate(batch: pd.Series) -> pd.Series:
+        if batch.empty:
+            return batch
+        return pd.Series(list((np.stack(batch.to_numpy()) - means) @ loadings / factors))
+
+    rotated = _vector(df, model.columns).withColumn("__a", rotate(vector_to_array("__x")))
+    return rotated.select(*rest, *[F.col("__a")[i].alias(f"PC{i + 1}") for i in range(len(scale))])
 
 
 def pca(df: DataFrame, n: int, columns: str | Sequence[str] | None = None, whiten: bool = False) -> DataFrame:
