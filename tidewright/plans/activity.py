@@ -96,11 +96,26 @@ def budget_query(spark, sf):
     return rounded(logs.cost_budget(df, "user_id", "ts", "value", 7200).drop("ts"), "spent", "remaining", places=4)
 
 
-@query("admit_requests")
+def _within(seconds: int) -> str:
+    return f"list_filter(kept, lambda x: e.t - x.t <= {seconds * 1_000_000})"
+
+
+# One step per request of a user: the list of admitted requests decides on the next one.
+ADMISSION = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, value, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(t BIGINT, c DOUBLE)[]) AS kept, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS value, 'start' AS reason
+      FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL SELECT user_id, n, CASE WHEN reason = 'ok' THEN list_append(kept, {{'t': t, 'c': value}}) ELSE kept END, event_id, value, reason FROM (
+        SELECT e.*, s.kept, CASE WHEN len({_within(60)}) >= 1 OR len({_within(3600)}) >= 2 OR len({_within(86400)}) >= 3 THEN 'time_limit_exceeded'
+          WHEN coalesce(list_sum(list_transform({_within(60)}, lambda x: x.c)), 0) + e.value > 100 THEN 'cost_limit_exceeded' ELSE 'ok' END AS reason
+        FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+    SELECT event_id, user_id, value, reason = 'ok' AS allowed, reason FROM s WHERE event_id IS NOT NULL"""
+
+
+@query("admit_requests", ADMISSION)
 def admit_query(spark, sf):
     df = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
     limits = logs.Limits(per_minute=1, per_hour=2, per_day=3, cost_per_minute=100.0)
-    return logs.admit_requests(df, "user_id", "ts", "value", limits, ["event_id"])
+    return logs.admit_requests(df, "user_id", "ts", "value", limits, ["event_id"]).drop("ts")
 
 
 @query(

@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources import table
 from ..streaming import jobs
 from . import flow
+from .activity import ADMISSION
 from .inputs import GAPS, orders_with_gaps, rounded, stamp
 from .registry import query
 
@@ -175,11 +176,11 @@ def append_query(spark, sf):
     return jobs.run_append(event_stream(spark, sf).select("event_id", "user_id", "event_type", "value"))
 
 
-@query("stream_admit_requests")
+@query("stream_admit_requests", ADMISSION)
 def admit_query(spark, sf):
     limits = Limits(per_minute=1, per_hour=2, per_day=3)
     stream = event_stream(spark, sf).select("event_id", "user_id", "ts", "value")
-    return jobs.run_append(jobs.admit_stream(stream, "user_id", "ts", "value", limits))
+    return jobs.run_append(jobs.admit_stream(stream, "user_id", "ts", "value", limits)).drop("ts")
 
 
 @query("stream_drop_replays")

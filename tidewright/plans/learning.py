@@ -138,13 +138,13 @@ def _regressor(algorithm, **params):
 
 query("fit_logistic_regression")(_classifier("logistic_regression"))
 query("fit_random_forest_clf")(_classifier("random_forest_classifier"))
-query("fit_gradient_boosting_clf")(_classifier("gradient_boosting_classifier", trees=20))
+query("fit_gradient_boosting_clf")(_classifier("gradient_boosting_classifier"))
 query("fit_decision_tree_clf")(_classifier("decision_tree_classifier"))
-query("fit_svc")(_classifier("svc", max_iter=50))
+query("fit_svc")(_classifier("svc"))
 query("fit_random_forest_reg")(_regressor("random_forest_regressor"))
-query("fit_gradient_boosting_reg")(_regressor("gradient_boosting_regressor", trees=20))
+query("fit_gradient_boosting_reg")(_regressor("gradient_boosting_regressor"))
 query("fit_decision_tree_reg")(_regressor("decision_tree_regressor"))
-query("fit_svr")(_regressor("svr", max_iter=50))
+query("fit_svr")(_regressor("svr"))
 
 
 def _line(spark, sf, feature, target, algorithm, **params):
