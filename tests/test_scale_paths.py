@@ -160,6 +160,19 @@ def test_class_rank_over_hash_ranges(spark, monkeypatch):
     assert whole == cut
 
 
+def test_samples_over_hash_ranges(spark, monkeypatch):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("y"))
+
+    def taken():
+        under = {r["id"] for r in sampling.undersample(df, "y", "id").collect()}
+        return under, {r["id"] for r in sampling.sample_stratified(df, "y", "id", 900).collect()}
+
+    whole = taken()
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 100)
+    assert taken() == whole
+    assert len(whole[0]) == 2 * 1334 and len(whole[1]) == 899
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     df = spark.range(3000).select("id", (F.col("id") % 4).alias("g"))
     for take in (

@@ -63,8 +63,8 @@ def _keep_smallest(df: DataFrame, by: str, key, seed: int, groups: dict) -> Data
         if all(kept.get(g, 0) >= min(take, n) or cut >= SPAN for (g, take, cut), (n, _) in zip(rows, groups.values())):
             break
         widen *= 2
-    rank = F.row_number().over(W.partitionBy("__by").orderBy("__h", *[q(k) for k in as_list(key)]))
-    return near.withColumn("__r", rank).filter(F.col("__r") <= F.col("__q")).select(*[q(c) for c in df.columns])
+    ranked = _class_rank(near, by, key, seed, F.col("__cut"))
+    return ranked.filter(F.col("__rank") < F.col("__q")).select(*[q(c) for c in df.columns])
 
 
 def _group_sizes(df: DataFrame, by: str, limit: int = 10_000) -> dict:
@@ -123,8 +123,8 @@ def train_test_split(df: DataFrame, key: str | Sequence[str], test_size: float =
     return df.withColumn("is_test", bucket < int(round(FOLD_SCALE * share)))
 
 
-def _class_rank(df: DataFrame, by: str, key, seed: int) -> DataFrame:
-    """Add `__rank`, the zero-based hash order inside a class.
+def _class_rank(df: DataFrame, by: str, key, seed: int, top: Column | None = None) -> DataFrame:
+    """Add `__rank`, the zero-based hash order inside a class; hashes lie below `top`.
 
     Classes are spread over hash ranges and ranked range by range, so a class that holds most
     rows is never sorted by one task.
@@ -132,17 +132,17 @@ def _class_rank(df: DataFrame, by: str, key, seed: int) -> DataFrame:
     sizes = _group_sizes(df, by)
     parts = max(1, -(-max(sizes.values(), default=1) // BUCKET_ROWS))
     hashed = df.withColumn("__h", _hash(df, key, seed))
-    placed = hashed.withColumn("__p", F.floor(F.col("__h") / F.lit(SPAN) * F.lit(parts)).cast("int"))
+    placed = hashed.withColumn("__p", F.floor(F.col("__h") / (F.lit(SPAN) if top is None else top) * F.lit(parts)).cast("int"))
     order = ["__h", *[q(k) for k in as_list(key)]]
     inner = F.row_number().over(W.partitionBy(q(by), "__p").orderBy(*order)) - 1
     ranked = placed.withColumn("__inner", inner)
     if parts == 1:
         return ranked.withColumn("__rank", F.col("__inner")).drop("__h", "__p", "__inner")
-    per_part = placed.groupBy(q(by).alias("__by"), F.col("__p").alias("__pp")).agg(F.count("*").alias("__n"))
-    earlier = W.partitionBy("__by").orderBy("__pp").rowsBetween(W.unboundedPreceding, -1)
+    per_part = placed.groupBy(q(by).alias("__rby"), F.col("__p").alias("__pp")).agg(F.count("*").alias("__n"))
+    earlier = W.partitionBy("__rby").orderBy("__pp").rowsBetween(W.unboundedPreceding, -1)
     shift = per_part.withColumn("__shift", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
-    joined = ranked.join(shift, q(by).eqNullSafe(F.col("__by")) & (F.col("__p") == F.col("__pp")))
-    return joined.withColumn("__rank", F.col("__inner") + F.col("__shift")).drop("__h", "__p", "__inner", "__by", "__pp", "__shift")
+    joined = ranked.join(shift, q(by).eqNullSafe(F.col("__rby")) & (F.col("__p") == F.col("__pp")))
+    return joined.withColumn("__rank", F.col("__inner") + F.col("__shift")).drop("__h", "__p", "__inner", "__rby", "__pp", "__shift")
 
 
 def train_test_split_stratified(
