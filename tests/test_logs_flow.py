@@ -8,7 +8,7 @@ from tidewright.operators import lineage, logs, registry, userfn
 from tidewright.plans import flow
 from tidewright.schema import TableError
 from tidewright.session import scratch_path
-from tidewright.sources import append_dataset, scan_auto, scan_records, sink_csv, sink_parquet
+from tidewright.sources import append_dataset, scan_auto, scan_excel, scan_records, sink_csv, sink_excel, sink_parquet
 from tidewright.streaming import jobs
 
 
@@ -168,3 +168,17 @@ def test_sources(spark, people):
     assert scan_records(spark, [{"a": 1.0}, {"a": float("nan")}], "a double").filter("a is null").count() == 1
     with pytest.raises(TableError):
         append_dataset(people, people.drop("name"))
+
+
+def test_excel_needs_its_library(spark, people):
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError:
+        with pytest.raises(TableError):
+            scan_excel(spark, "/tmp/none.xlsx", "a int")
+        with pytest.raises(TableError):
+            sink_excel(people, "/tmp/none.xlsx")
+    else:
+        path = scratch_path(spark, "book").removeprefix("file:") + ".xlsx"
+        sink_excel(people.select("id", "value"), path)
+        assert scan_excel(spark, path, "id long, value double").count() == 6

@@ -55,11 +55,15 @@ def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.na.drop().groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
-def _with_rank(df: DataFrame, column: str, output: str, weight: str | None = None) -> DataFrame:
-    """Add the average rank of a column; rows may stand for `weight` equal rows."""
+def _with_rank(df: DataFrame, column: str, output: str, kept: list[DataFrame], weight: str | None = None) -> DataFrame:
+    """Add the average rank of a column; rows may stand for `weight` equal rows.
+
+    The value counts stay cached until the caller releases what is in `kept`.
+    """
     n = F.count("*") if weight is None else F.sum(weight)
     counts = df.filter(q(column).isNotNull()).groupBy(q(column).alias("value")).agg(n.alias("n"), F.count("*").alias("w"))
     counts = counts.persist()
+    kept.append(counts)
     size = counts.count()
     ranked = running_totals(counts, "value", ["n"], rows=size)
     mapping = ranked.select("value", "w", (F.col("before_n") + (F.col("n") + 1) / 2).alias(output))
@@ -69,11 +73,12 @@ def _with_rank(df: DataFrame, column: str, output: str, weight: str | None = Non
 def spearman(df: DataFrame, x: str, y: str) -> float | None:
     """Pearson correlation of average ranks, weighted by equal pairs."""
     cells = _cells(df, x, y).persist()
+    kept = [cells]
     try:
         total = cells.agg(F.sum("n")).first()[0]
         if not total:
             return None
-        ranked = _with_rank(_with_rank(cells, "x", "rx", "n"), "y", "ry", "n")
+        ranked = _with_rank(_with_rank(cells, "x", "rx", kept, "n"), "y", "ry", kept, "n")
         middle = (total + 1) / 2
         dx, dy = F.col("rx") - middle, F.col("ry") - middle
         row = ranked.agg(
@@ -82,7 +87,8 @@ def spearman(df: DataFrame, x: str, y: str) -> float | None:
         scale = math.sqrt(row["xx"] * row["yy"])
         return row["xy"] / scale if scale else None
     finally:
-        cells.unpersist()
+        for frame in kept:
+            frame.unpersist()
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,12 +98,14 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     full = [c for c in columns if row[c] == row["rows"]]
     found: dict[tuple[str, str], float | None] = {}
     if len(full) > 1:
-        ranked = df.select(*[q(c) for c in full])
+        ranked, kept = df.select(*[q(c) for c in full]), []
         for c in full:
-            ranked = _with_rank(ranked, c, f"__rank_{c}")
+            ranked = _with_rank(ranked, c, f"__rank_{c}", kept)
         inside = [(x, y) for x, y in pairs if x in full and y in full]
         values = ranked.agg(*[F.corr(q(f"__rank_{x}"), q(f"__rank_{y}")) for x, y in inside]).first()
         found = dict(zip(inside, values))
+        for frame in kept:
+            frame.unpersist()
     return _matrix(df, columns, [(x, y, found[x, y] if (x, y) in found else spearman(df, x, y)) for x, y in pairs])
 
 

@@ -57,6 +57,7 @@ def preprocess(df: DataFrame, config: Preparation) -> Prepared:
     if config.drop_duplicates:
         # Every later fit reads these rows: kept once, they are not shuffled again each time.
         df = clean.drop_duplicates(df).persist(StorageLevel.MEMORY_AND_DISK)
+        artifacts["cached_rows"] = df  # for the caller to unpersist once the result is written
         note("clean", "drop_duplicates", None)
     held = df.agg(F.count("*").alias("__rows"), *[F.count(q(c)).alias(c) for c in df.columns]).first()
     for kind, columns, strategy in (
