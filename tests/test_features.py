@@ -130,6 +130,14 @@ def test_tfidf_rows_have_unit_length(spark):
         text.tfidf_long(df.filter("id = 3"), "t", "id")
 
 
+def test_hashed_rows_have_unit_length(spark):
+    df = spark.createDataFrame([(1, "apple banana apple"), (2, "cherry")], "id int, t string")
+    cells = text.tfidf_hashing(df, "t", "id", 64).collect()
+    for i in (1, 2):
+        assert sum(r["weight"] ** 2 for r in cells if r["id"] == i) == pytest.approx(1)
+    assert all(r["feature"].startswith("hash_feature_") for r in cells)
+
+
 def test_pca_of_collinear_columns(spark):
     rows = [(float(i), 10.0 * i, 0.1 * i) for i in range(1, 6)]
     df = spark.createDataFrame(rows, "a double, b double, c double")

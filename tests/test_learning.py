@@ -20,16 +20,16 @@ def data(spark):
     return spark.createDataFrame(rows, "id long, x1 double, x2 double, x3 double, c int, r double").repartition(2).cache()
 
 
-@pytest.mark.parametrize("name", ["logistic_regression", "decision_tree_classifier", "svc"])
+@pytest.mark.parametrize("name", ["logistic_regression", "decision_tree_classifier", "svc", "random_forest_classifier", "gradient_boosting_classifier"])
 def test_classifiers(data, name):
-    out = learners.predict_batch(learners.fit(data, FEATURES, "c", name, max_iter=50), data, FEATURES)
+    out = learners.predict_batch(learners.fit(data, FEATURES, "c", name, max_iter=50, trees=10), data, FEATURES)
     right = out.filter(F.col("prediction") == F.col("c").cast("string")).count()
     assert right > 270 and out.filter("confidence is null").count() == 0
 
 
-@pytest.mark.parametrize("name", ["linear_regression", "svr", "decision_tree_regressor"])
+@pytest.mark.parametrize("name", ["linear_regression", "svr", "decision_tree_regressor", "random_forest_regressor", "gradient_boosting_regressor"])
 def test_regressors(data, name):
-    model = learners.fit(data, FEATURES, "r", name, max_iter=100)
+    model = learners.fit(data, FEATURES, "r", name, max_iter=100, trees=20)
     assert evaluate.regression_metrics(model.transform(data), "r", "prediction")["r2_score"] > 0.7
 
 
