@@ -26,22 +26,33 @@ ROUNDS = 4
 BATCH = 4096
 SHARD_ROWS = 2_000_000  # windows that one training task steps through
 SHARDS = 12
-HELD_WINDOWS = 1_000_000  # distinct windows that a task keeps
+HELD_WINDOWS = 2_000_000  # windows with their counts or values that a task keeps
+SLICE = 1 << 21  # bytes worked on at once
 RATE = 0.01
 
 
-def window_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code of the window at each byte (the masked byte lowest) and the number of bytes of each text."""
-    raw = [t.encode() for t in texts]
-    sizes = np.array([len(r) for r in raw], dtype=np.int64)
+def window_slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of the windows (the masked byte lowest) with the number of their text, `SLICE` bytes at a time."""
     pad = bytes([PAD]) * REACH
-    line = np.frombuffer(pad + pad.join(raw) + pad, dtype=np.uint8).astype(np.uint64)
-    total = int(sizes.sum())
-    at = np.arange(total) + np.repeat(np.arange(len(raw)) * REACH + REACH, sizes)
-    codes = line[at]
-    for place, shift in enumerate((-2, -1, 1, 2)):
-        codes |= line[at + shift] << np.uint64(8 * (place + 1))
-    return codes.astype(np.int64), sizes
+    raw = [t.encode() for t in texts]
+    line = np.frombuffer(pad + pad.join(raw) + pad, dtype=np.uint8)
+    begins = np.cumsum([0, *[len(r) + REACH for r in raw[:-1]]]) + REACH
+    for low in range(REACH, len(line) - REACH, SLICE):
+        high = min(low + SLICE, len(line) - REACH)
+        inside = np.flatnonzero(line[low:high] != PAD) + low
+        codes = line[inside].astype(np.int64)
+        for place, shift in enumerate((-2, -1, 1, 2)):
+            codes |= line[inside + shift].astype(np.int64) << (8 * (place + 1))
+        yield codes, np.searchsorted(begins, inside, side="right") - 1
+
+
+def merge_counts(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their counts."""
+    joined, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(joined)
+    joined, n = joined[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], joined[1:] != joined[:-1]]))
+    return joined[first], np.add.reduceat(n, first)
 
 
 @dataclass(frozen=True)
@@ -115,20 +126,24 @@ def window_counts(texts: DataFrame) -> DataFrame:
     """`(code, n)`: how often each window occurs in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pd.Series(dtype="int64")
+        codes, counts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
 
-        def send(held: pd.Series) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(held.index.to_numpy(dtype="int64")), pa.array(held.to_numpy(dtype="int64"))], names=["code", "n"]
-            )
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(codes[0]), pa.array(counts[0])], names=["code", "n"])
 
         for batch in batches:
-            codes, _ = window_codes(batch.column(1).to_pylist())
-            held = held.add(pd.Series(codes).value_counts(sort=False), fill_value=0) if len(held) else pd.Series(codes).value_counts(sort=False)
-            if len(held) > HELD_WINDOWS:
-                yield send(held)
-                held = pd.Series(dtype="int64")
-        yield send(held)
+            for found, _ in window_slices(batch.column(1).to_pylist()):
+                tally = pd.Series(found).value_counts(sort=False)
+                codes.append(tally.index.to_numpy())
+                counts.append(tally.to_numpy())
+                if sum(map(len, codes)) > HELD_WINDOWS:
+                    codes, counts = ([x] for x in merge_counts(codes, counts))
+                    if len(codes[0]) > HELD_WINDOWS // 2:
+                        yield send()
+                        codes, counts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        if sum(map(len, codes)):
+            codes, counts = ([x] for x in merge_counts(codes, counts))
+            yield send()
 
     return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -178,22 +193,25 @@ def score_texts(texts: DataFrame, network: Network) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        known = pd.Series(dtype="float64")
+        known, value = np.empty(0, dtype=np.int64), np.empty(0)
         for batch in batches:
-            codes, sizes = window_codes(batch.column(1).to_pylist())
-            place, distinct = pd.factorize(codes)
-            at = known.index.get_indexer(distinct) if len(known) else np.full(len(distinct), -1)
-            values = np.empty(len(distinct))
-            values[at >= 0] = known.to_numpy()[at[at >= 0]]
-            new = distinct[at < 0]
-            values[at < 0] = net.log_probability(new)
-            if len(known) + len(new) > HELD_WINDOWS:
-                known = pd.Series(dtype="float64")
-            fresh = pd.Series(values[at < 0], index=new)
-            known = pd.concat([known, fresh]) if len(known) else fresh
-            ends = np.concatenate([[0.0], np.cumsum(values[place])])
-            stops = np.cumsum(sizes)
-            sums = ends[stops] - ends[stops - sizes]
+            texts = batch.column(1).to_pylist()
+            sums, sizes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+            for codes, owner in window_slices(texts):
+                place, distinct = pd.factorize(codes)
+                at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
+                met = known[at] == distinct if len(known) else np.zeros(len(distinct), dtype=bool)
+                found = np.empty(len(distinct))
+                found[met] = value[at[met]]
+                found[~met] = net.log_probability(distinct[~met])
+                if len(known) > HELD_WINDOWS // 2:
+                    known, value = np.empty(0, dtype=np.int64), np.empty(0)
+                order = np.argsort(joined := np.concatenate([known, distinct[~met]]))
+                known, value = joined[order], np.concatenate([value, found[~met]])[order]
+                base = owner[0] if len(owner) else 0
+                part = np.bincount(owner - base, weights=found[place])
+                sums[base : base + len(part)] += part
+                sizes[base : base + len(part)] += np.bincount(owner - base)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(sums)], names=["doc_id", "n_bytes", "log_probability"]
             )
