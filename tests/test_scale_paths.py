@@ -57,7 +57,7 @@ def test_lookup_with_hot_keys(spark):
     df = spark.createDataFrame(rows, "k string, i long")
     counts = df.filter("k is not null").groupBy("k").agg(F.count("*").alias("n")).filter("k != 'k3'")
     mapping = counts.withColumnRenamed("k", "value").withColumn("code", F.length("value"))
-    for options in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "weight": "n"}):
+    for options in ({}, {"broadcast_rows": 0}, {"broadcast_bytes": 0}):
         got = lookup.lookup_join(df, mapping, "k", ["code"], **options).collect()
         assert len(got) == 3000
         for r in got:
@@ -65,6 +65,25 @@ def test_lookup_with_hot_keys(spark):
             assert r["code"] == want
 
 
+def test_lookup_spreads_an_unmatched_hot_key(spark):
+    """A key that the mapping lacks and that holds a third of the rows lands in no single task."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "unseen").otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k"))
+    mapping = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("value"), F.col("id").alias("code"))
+    adaptive, parts = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup.lookup_join(df, mapping, "k", ["code"], broadcast_rows=0)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 16
+        assert joined.filter("k = 'unseen' and code is not null").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def _tau(xs, ys):
     s = tx = ty = 0
     n = len(xs)

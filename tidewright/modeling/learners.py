@@ -47,6 +47,7 @@ REGRESSORS = (
 SEED = 42
 MAX_ITER = 1000
 TREES = 100
+MAX_DEPTH = 30  # the deepest that Spark's trees go
 NEIGHBORS = 5
 
 
@@ -110,15 +111,16 @@ def estimator(name: str, rows: int, classes: int = 2, spread: float = 1.0, **par
     multiplies it back (`spread`).
     """
     common = {"featuresCol": "features", "labelCol": "label"}
-    trees, depth = params.get("trees", TREES), params.get("max_depth", 10)
+    trees = params.get("trees", TREES)
+    tree = {"maxDepth": params.get("max_depth") or MAX_DEPTH, "minInstancesPerNode": params.get("min_samples_leaf", 1), "seed": SEED}
     if name == "random_forest_classifier":
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, **common)
+        return RandomForestClassifier(numTrees=trees, **tree, **common)
     if name == "random_forest_regressor":
-        return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED, **common)
+        return RandomForestRegressor(numTrees=trees, **tree, **common)
     if name == "decision_tree_classifier":
-        return DecisionTreeClassifier(maxDepth=params.get("max_depth", 10), seed=SEED, **common)
+        return DecisionTreeClassifier(**tree, **common)
     if name == "decision_tree_regressor":
-        return DecisionTreeRegressor(maxDepth=params.get("max_depth", 10), seed=SEED, **common)
+        return DecisionTreeRegressor(**tree, **common)
     boost = {"maxIter": trees, "maxDepth": params.get("max_depth", 3), "stepSize": params.get("learning_rate", 0.1), "seed": SEED}
     if name == "gradient_boosting_classifier":
         one = GBTClassifier(**boost, **common)
@@ -133,10 +135,10 @@ def estimator(name: str, rows: int, classes: int = 2, spread: float = 1.0, **par
             maxIter=params.get("max_iter", MAX_ITER), tol=1e-4, regParam=penalty, elasticNetParam=mix, standardization=False, **common
         )
     if name == "svc":
-        one = LinearSVC(maxIter=params.get("max_iter", 200), tol=1e-3, regParam=1 / (params.get("C", 1.0) * max(rows, 1)), **common)
+        one = LinearSVC(maxIter=params.get("max_iter", MAX_ITER), tol=1e-3, regParam=1 / (params.get("C", 1.0) * max(rows, 1)), **common)
         return one if classes == 2 else OneVsRest(classifier=one, parallelism=4, **common)
     if name == "svr":
-        return LinearRegression(loss="huber", maxIter=params.get("max_iter", 200), regParam=1 / (params.get("C", 1.0) * max(rows, 1)), **common)
+        return LinearRegression(loss="huber", maxIter=params.get("max_iter", MAX_ITER), regParam=1 / (params.get("C", 1.0) * max(rows, 1)), **common)
     if name == "linear_regression":
         return LinearRegression(regParam=0.0, solver="normal", **common)
     if name == "ridge_regression":
@@ -182,7 +184,7 @@ def fit(
         labelled = index.transform(data)
     else:
         labelled = data.withColumn("label", q(target).cast("double"))
-    if algorithm in ("svc", "svr"):
+    if algorithm in ("svc", "svr") and params.get("kernel", "rbf") != "linear":
         gamma = params.get("gamma", "scale")
         width = _kernel_width(data, features) if gamma == "scale" else 1 / len(features) if gamma == "auto" else float(gamma)
         stages.append(FourierFeatures(inputCol="raw_features", outputCol="features", gamma=float(width)))

@@ -20,14 +20,15 @@ from .learners import CLASSIFIERS, REGRESSORS, fit, resolve
 
 PARALLEL_FITS = 4
 
-# Tuning grids; None means no depth limit, which Spark trees cap at 30.
+# Tuning grids. None means no depth limit, which Spark trees end at 30. Rows needed to split a
+# node and the choice of a solver have no counterpart in Spark's learners and are left out.
 GRIDS: dict[str, dict[str, list[Any]]] = {
-    "random_forest_classifier": {"trees": [50, 100, 200], "max_depth": [10, 20, 30]},
-    "random_forest_regressor": {"trees": [50, 100, 200], "max_depth": [10, 20, 30]},
+    "random_forest_classifier": {"trees": [50, 100, 200], "max_depth": [None, 10, 20], "min_samples_leaf": [1, 2, 4]},
     "gradient_boosting_classifier": {"trees": [50, 100, 150], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7]},
-    "gradient_boosting_regressor": {"trees": [50, 100, 150], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7]},
     "logistic_regression": {"C": [0.1, 1.0, 10.0], "penalty": ["l1", "l2"]},
-    "svc": {"C": [0.1, 1.0, 10.0], "gamma": ["scale", "auto", 0.001, 0.01]},
+    "svc": {"C": [0.1, 1.0, 10.0], "gamma": ["scale", "auto", 0.001, 0.01], "kernel": ["rbf", "linear"]},
+    "random_forest_regressor": {"trees": [50, 100, 200], "max_depth": [None, 10, 20]},
+    "gradient_boosting_regressor": {"trees": [50, 100, 150], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7]},
 }
 
 
@@ -117,9 +118,12 @@ def tune_grid(
 
 def tune_random(
     df: DataFrame, features: Sequence[str], target: str, algorithm: str, key, trials: int = 50, folds: int = 3,
-    seed: int = 42, seconds: float = 300.0,
+    seed: int = 42, seconds: float | None = None,
 ) -> dict[str, Any]:
-    """Best of seeded draws from the ranges that the grid spans, within a time budget."""
+    """Best of seeded draws from the ranges that the grid spans.
+
+    All trials are run unless a time budget in `seconds` is given; `not_run` counts those it cut off.
+    """
     rng = random.Random(seed)
     grid = GRIDS.get(algorithm, {})
 
@@ -133,11 +137,11 @@ def tune_random(
     data = _folded(df, features, target, algorithm, key, folds, seed)
     started, drawn, scores = time.monotonic(), [], []
     try:
-        while len(drawn) < trials and (not drawn or time.monotonic() - started < seconds):
+        while len(drawn) < trials and (not drawn or seconds is None or time.monotonic() - started < seconds):
             batch = [{name: draw(values) for name, values in grid.items()} for _ in range(min(4, trials - len(drawn)))]
             drawn += batch
             scores += _fold_scores(data, features, target, algorithm, folds, batch)
-        return _best(drawn, scores)
+        return {**_best(drawn, scores), "not_run": trials - len(drawn)}
     finally:
         data.unpersist()
 

@@ -67,7 +67,7 @@ def _with_rank(df: DataFrame, column: str, output: str, kept: list[DataFrame], w
     size = counts.count()
     ranked = running_totals(counts, "value", ["n"], rows=size)
     mapping = ranked.select("value", "w", (F.col("before_n") + (F.col("n") + 1) / 2).alias(output))
-    return lookup_join(df, mapping, column, [output], weight="w", rows=size)
+    return lookup_join(df, mapping, column, [output])
 
 
 def spearman(df: DataFrame, x: str, y: str) -> float | None:

@@ -58,7 +58,7 @@ def _replace(df: DataFrame, cats: Categories, values: dict[str, Column], result)
     """Swap the column for `result(joined)` built from the looked-up values."""
     mapping = cats.frame.select("value", "n", *[c.alias(name) for name, c in values.items()])
     keyed = df.withColumn("__key", cats.key())
-    joined = lookup_join(keyed, mapping, "__key", list(values), weight="n", rows=cats.rows)
+    joined = lookup_join(keyed, mapping, "__key", list(values))
     new = result(joined)
     return joined.select(*[(new if c == cats.column else q(c)).alias(c) for c in df.columns])
 
@@ -119,7 +119,7 @@ def encode_target_mean(df: DataFrame, column: str, target: str, smoothing: float
     overall = df.agg(F.avg(q(target))).first()[0]
     value = (F.col("s") + F.lit(smoothing * (overall or 0.0))) / F.nullif(F.col("n") + F.lit(smoothing), F.lit(0.0))
     mapping = stats.select("value", "n", value.alias("__mean"))
-    joined = lookup_join(df, mapping, column, ["__mean"], weight="n")
+    joined = lookup_join(df, mapping, column, ["__mean"])
     return joined.select(*[(F.col("__mean") if c == column else q(c)).alias(c) for c in df.columns])
 
 
@@ -133,7 +133,7 @@ def encode_custom(df: DataFrame, column: str, mapping: Mapping[Any, Any]) -> Dat
         table = F.create_map(*pairs)
         return df.withColumn(column, F.when(q(column).isNotNull(), F.try_element_at(table, q(column))))
     frame = df.sparkSession.createDataFrame(list(mapping.items()), ["value", "__to"])
-    joined = lookup_join(df, frame, column, ["__to"], rows=len(mapping))
+    joined = lookup_join(df, frame, column, ["__to"])
     return joined.select(*[(F.col("__to") if c == column else q(c)).alias(c) for c in df.columns])
 
 

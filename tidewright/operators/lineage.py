@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .lookup import lookup_join
+from .lookup import lookup_join, measure
 
 MAX_DEPTH = 10
 
@@ -27,47 +27,50 @@ def edge_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def lineage_chain(transformations: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """`(root, transformation_id, level)` of everything each root depends on, nearest level first.
+    """`(root, transformation_id, level, cut)` of everything each root depends on, nearest level first.
 
     `transformations` is `(transformation_id, dependencies)` with an array of ids, `roots` has
-    one column `root`. Each level is checkpointed: it feeds both the result and the next level.
+    one column `root`. An id is expanded once for each root, at its nearest level. `cut` marks rows at
+    `max_depth` that have dependencies left. Each level is written: it feeds the result and the next level.
     """
     nodes = transformations.select(F.col("transformation_id").alias("value"), "dependencies")
-    size = nodes.count()
-    start = roots.select("root", F.col("root").alias("transformation_id"), F.lit(0).alias("level"))
-    level = durable(lookup_join(start, nodes, "transformation_id", ["dependencies"], rows=size).filter(F.col("dependencies").isNotNull()))
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        reached = level.select("root", F.explode("dependencies").alias("transformation_id")).distinct()
-        step = lookup_join(reached, nodes, "transformation_id", ["dependencies"], rows=size)
+    size = measure(nodes)
+    start = roots.select("root", F.col("root").alias("transformation_id")).distinct()
+    reached, seen, depth = start, None, 0
+    while True:
+        step = lookup_join(reached, nodes, "transformation_id", ["dependencies"], measured=size)
         # Ids that are no transformation end the chain there.
         level = durable(step.filter(F.col("dependencies").isNotNull()).withColumn("level", F.lit(depth)))
-        if level.isEmpty():
+        if seen is not None and level.isEmpty():
+            break
+        seen = level if seen is None else seen.union(level)
+        if depth == max_depth:
             break
-        levels.append(level)
-    found = levels[0].select("root", "transformation_id", "level")
-    for other in levels[1:]:
-        found = found.union(other.select("root", "transformation_id", "level"))
-    return found.groupBy("root", "transformation_id").agg(F.min("level").alias("level"))
+        depth += 1
+        following = level.select("root", F.explode("dependencies").alias("transformation_id")).distinct()
+        reached = following.join(seen.select("root", "transformation_id"), ["root", "transformation_id"], "left_anti")
+    left = (F.col("level") == max_depth) & (F.size("dependencies") > 0)
+    return seen.select("root", "transformation_id", "level", left.alias("cut"))
 
 
 def lineage_cycle_check(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """`(parent_id, child_id, creates_cycle)`: would the edge let the child reach its parent?
 
-    Follows the children of each candidate level by level; visited nodes are not followed again.
+    Follows the ancestors of each candidate's parent level by level until the child is met; visited nodes are not
+    followed again. Nodes have few parents and many children, so this is the short way round.
     """
-    children = edges.select(F.col("parent_id").alias("node"), F.col("child_id").alias("next")).distinct()
+    parents = edges.select(F.col("child_id").alias("node"), F.col("parent_id").alias("next")).distinct()
     todo = candidates.select("parent_id", "child_id").distinct()
-    seen = durable(todo.select("parent_id", "child_id", F.col("child_id").alias("node")))
+    seen = durable(todo.select("parent_id", "child_id", F.col("parent_id").alias("node")))
     frontier = seen
-    hits = [frontier.filter(F.col("node") == F.col("parent_id")).select("parent_id", "child_id")]
+    hits = [frontier.filter(F.col("node") == F.col("child_id")).select("parent_id", "child_id")]
     while True:
-        going = frontier.filter(F.col("node") != F.col("parent_id"))
-        reached = going.join(children, "node").select("parent_id", "child_id", F.col("next").alias("node")).distinct()
+        going = frontier.filter(F.col("node") != F.col("child_id"))
+        reached = going.join(parents, "node").select("parent_id", "child_id", F.col("next").alias("node")).distinct()
         frontier = durable(reached.join(seen, ["parent_id", "child_id", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        hits.append(frontier.filter(F.col("node") == F.col("parent_id")).select("parent_id", "child_id"))
+        hits.append(frontier.filter(F.col("node") == F.col("child_id")).select("parent_id", "child_id"))
         seen = seen.union(frontier)
     closed = hits[0]
     for h in hits[1:]:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..session import durable
 
 BUCKET_ROWS = 500_000
-MAX_BUCKETS = 4096
 
 
 def value_buckets(counts: DataFrame, value: str, rows: int, bucket_rows: int) -> DataFrame:
@@ -18,7 +17,7 @@ def value_buckets(counts: DataFrame, value: str, rows: int, bucket_rows: int) ->
 
     The rows must be distinct values, so no single value can overfill a bucket.
     """
-    wanted = min(MAX_BUCKETS, max(1, -(-rows // bucket_rows)))
+    wanted = max(1, -(-rows // bucket_rows))
     marks: list[float] = []
     if wanted > 1:
         shares = [i / wanted for i in range(1, wanted)]
@@ -46,7 +45,7 @@ def running_totals(
     )
     if rows <= bucket_rows:
         return inner.drop("bucket")
-    # At most MAX_BUCKETS rows from here on: safe in one window and safe to broadcast.
+    # One row for every `bucket_rows` values from here on: small in one window and to broadcast.
     earlier = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = cut.groupBy("bucket").agg(*[F.sum(s).alias(s) for s in sums])
     shift = totals.select(

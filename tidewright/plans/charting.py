@@ -81,13 +81,13 @@ def pearson_query(spark, sf):
 
 
 RANKS = "WITH r AS (SELECT " + ", ".join(
-    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in LINE[:3]
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in LINE
 ) + " FROM lineitem) "
 
 
-@query("corr_spearman", _corr_sql("corr({x}, {y})", LINE[:3], "r", RANKS))
+@query("corr_spearman", _corr_sql("corr({x}, {y})", LINE, "r", RANKS))
 def spearman_query(spark, sf):
-    return rounded(correlation.corr_spearman(table(spark, sf, "lineitem"), LINE[:3]), "corr")
+    return rounded(correlation.corr_spearman(table(spark, sf, "lineitem"), LINE), "corr")
 
 
 @query(

@@ -94,7 +94,12 @@ def _scale(df: DataFrame, column: str | Sequence[str], method: str = "standard",
     return scale.scale_numeric(df, column, method, tuple(custom_range))
 
 
-def _tokenize(df: DataFrame, column: str, method: str = "none") -> DataFrame:
+def _tokenize(
+    df: DataFrame, column: str, method: str = "none", key: str | None = None, lemmas: DataFrame | None = None
+) -> DataFrame:
+    """`lemma` looks words up in the given dictionary; without one it stems, as the operator does."""
+    if method == "lemma":
+        return text.tokenize_lemma(df, column, key, lemmas)
     return {"none": text.tokenize_clean, "stem": text.tokenize_stem}[method](df, column)
 
 

@@ -8,6 +8,7 @@ from ..operators import project
 from ..session import scratch_path
 from ..sources import (
     append_dataset,
+    scan_auto,
     scan_csv,
     scan_json,
     scan_parquet,
@@ -20,6 +21,8 @@ from .inputs import GAPS, orders_with_gaps, rounded
 from .registry import query
 
 PART = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
+PART_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PART_SCHEMA = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
 
 
@@ -32,11 +35,31 @@ def scan_csv_query(spark, sf):
 @query("sink_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def sink_csv_query(spark, sf):
     path = sink_csv(table(spark, sf, "documents"), scratch_path(spark, "csv"))
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    # Texts span lines, so this one file format has to be read whole file by whole file.
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option(
-        "lineSep", "\n"
-    ).csv(path)
+    return scan_csv(spark, path, DOC_SCHEMA, multiline=True)
+
+
+@query("sink_csv_one_line", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def sink_csv_one_line_query(spark, sf):
+    path = sink_csv(table(spark, sf, "documents"), scratch_path(spark, "csv"), one_line=True)
+    return scan_csv(spark, path, DOC_SCHEMA, one_line=True)
+
+
+@query("scan_auto", PART)
+def scan_auto_query(spark, sf):
+    path = sink_parquet(table(spark, sf, "part").select(*PART_COLUMNS), scratch_path(spark, "auto") + ".parquet")
+    return scan_auto(spark, path)
+
+
+@query("scan_json_records", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def scan_json_records_query(spark, sf):
+    """Each file is one array of records, as other tools write them."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    packed = rows.groupBy((F.col("s_suppkey") % 100).alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    path = scratch_path(spark, "records")
+    # One file for each group of at most a hundredth of the suppliers.
+    packed.write.partitionBy("file").text(path)
+    found = scan_json(spark, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    return found.select(*rows.columns)
 
 
 @query("scan_json", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -56,9 +56,9 @@ def require_numeric(df: DataFrame, columns: str | Iterable[str]) -> list[str]:
     return wanted
 
 
-def nulls_for_nan(df: DataFrame) -> DataFrame:
-    """One notion of missing: NaN becomes NULL."""
-    floats = float_columns(df)
+def nulls_for_nan(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """One notion of missing: NaN becomes NULL, in all float columns or in the given ones."""
+    floats = float_columns(df) if columns is None else require(df, columns)
     if not floats:
         return df
     return df.withColumns({c: F.when(~F.isnan(q(c)), q(c)) for c in floats})

@@ -30,7 +30,7 @@ def local_session(name: str = "tidewright", cores: int | str = "*", **conf: str)
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The cluster's shared folder; a temporary one only in local mode, where executors are this process."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     active = sc.getCheckpointDir()
@@ -38,6 +38,8 @@ def _checkpoint_root(spark: SparkSession) -> str:
         if active is None:
             sc.setCheckpointDir(named)
         return named
+    if active is None and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if active is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
         active = sc.getCheckpointDir()

@@ -8,7 +8,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from ..schema import TableError, nulls_for_nan
+from ..schema import TableError, nulls_for_nan, q, string_columns
+from .writers import line_breaks
 
 # File suffix to format.
 FORMATS = {
@@ -35,13 +36,28 @@ def _plain_timestamps(schema: T.StructType) -> T.StructType:
 
 
 def scan_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ","
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", multiline: bool = False,
+    one_line: bool = False, strict: bool = True,
 ) -> DataFrame:
-    """CSV with a header. Give a schema on large data: inference reads the file twice."""
+    """CSV with a header. Give a schema on large data: inference reads the file twice.
+
+    Quoted line breaks need `multiline`, which reads each file in one task; `one_line` reads what
+    `sink_csv(one_line=True)` wrote, stays splittable and keeps line breaks. With `strict`, a row with
+    the wrong number of fields or a value of the wrong type ends the read instead of passing
+    as a row of gaps.
+    """
     reader = spark.read.option("header", True).option("sep", sep)
     reader = reader.option("escape", '"')
+    if multiline:
+        reader = reader.option("multiLine", True).option("lineSep", "\n")
+    if strict:
+        # Without pruning every field of a row is looked at, whatever columns a query asks for.
+        reader = reader.option("mode", "FAILFAST").option("columnPruning", False)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return nulls_for_nan(reader.csv(path))
+    found = reader.csv(path)
+    if one_line:
+        found = found.withColumns({c: line_breaks(q(c)) for c in string_columns(found)})
+    return nulls_for_nan(found)
 
 
 def scan_json(
@@ -57,9 +73,13 @@ def scan_json(
     return nulls_for_nan(reader.json(path))
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
+def scan_parquet(spark: SparkSession, path: str, nan_columns: Sequence[str] = ()) -> DataFrame:
+    """Parquet as it is, so that filters on every column reach the scan and can skip row groups.
+
+    NaN becomes NULL in `nan_columns` alone; name the columns of files whose writers mark gaps by NaN.
+    """
     found = spark.read.parquet(path).schema
-    return nulls_for_nan(spark.read.schema(_plain_timestamps(found)).parquet(path))
+    return nulls_for_nan(spark.read.schema(_plain_timestamps(found)).parquet(path), nan_columns)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:

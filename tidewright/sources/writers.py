@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schema import TableError
+from ..schema import TableError, q, string_columns
 
 
-def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def _no_breaks(text: Column) -> Column:
+    """Line breaks as \\n and \\r, the backslash doubled."""
+    doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(doubled, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def line_breaks(text: Column) -> Column:
+    """The text that `_no_breaks` was given; doubled backslashes are told apart by splitting at them."""
+    parts = F.split(text, r"\\\\", -1)
+    plain = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(plain, "\\")
+
+
+def sink_csv(df: DataFrame, path: str, mode: str = "overwrite", one_line: bool = False) -> str:
+    """With `one_line`, line breaks in texts are escaped, so that the files stay splittable.
+
+    CSV has one mark for missing and empty texts, so an empty text comes back as missing.
+    """
+    if one_line:
+        df = df.withColumns({c: _no_breaks(q(c)) for c in string_columns(df)})
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    # White space at either end of a text is part of it.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
