@@ -112,7 +112,7 @@ def top_k_features(importances: DataFrame, n: int = 10, value: str = "importance
 
 
 def lime_local(
-    model: PipelineModel, df: DataFrame, key: str, features: Sequence[str], samples: int = 200, seed: int = 42
+    model: PipelineModel, df: DataFrame, key: str, features: Sequence[str], samples: int = 5_000, seed: int = 42
 ) -> DataFrame:
     """`(key, feature, weight)`: linear fit around each row, nearer perturbations weigh more.
 

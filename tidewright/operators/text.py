@@ -127,8 +127,9 @@ def apply_tfidf(df: DataFrame, column: str, model: TfIdf, output: str = "tfidf")
 
 
 def _nonzero(df: DataFrame, keep: list[str], vector: str) -> DataFrame:
-    cells = df.select(*[q(c) for c in keep], F.posexplode(vector_to_array(vector)).alias("index", "weight"))
-    return cells.filter(F.col("weight") != 0)
+    """A row for each cell that is not zero; zeros never become rows."""
+    cells = F.transform(vector_to_array(vector), lambda w, i: F.struct(i.alias("index"), w.alias("weight")))
+    return df.select(*[q(c) for c in keep], F.inline(F.filter(cells, lambda c: c["weight"] != 0)))
 
 
 def tfidf_long(df: DataFrame, column: str, key: str, max_features: int = 1000) -> DataFrame:

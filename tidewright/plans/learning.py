@@ -12,6 +12,7 @@ from ..session import scratch_path, spread
 from ..sources import table
 from .inputs import rounded
 from .registry import query
+from .sampling import H_ORDER
 
 PAIR = """m AS (SELECT avg(l_quantity) AS mx, avg(l_discount * 100) AS my, var_samp(l_quantity) AS a, covar_samp(l_quantity, l_discount * 100) AS b, var_samp(l_discount * 100) AS c FROM lineitem),
   e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2 FROM m),
@@ -181,6 +182,22 @@ def lasso_query(spark, sf):
     return rounded(_line(spark, sf, "l_quantity", "l_extendedprice", "lasso_regression"), "coefficient", "intercept", places=2)
 
 
+@query(
+    "cross_validate_line",
+    f"""WITH o AS (SELECT o_custkey AS x, o_totalprice / 1000 AS y, CAST({H_ORDER} % 5 AS INTEGER) AS fold FROM orders),
+    m AS (SELECT i.fold, regr_slope(y, x) AS k, regr_intercept(y, x) AS b FROM o JOIN (SELECT DISTINCT fold FROM o) i ON o.fold <> i.fold GROUP BY 1),
+    a AS (SELECT fold, avg(y) AS my FROM o GROUP BY 1),
+    s AS (SELECT fold, 1 - sum(pow(y - b - k * x, 2)) / sum(pow(y - my, 2)) AS r2 FROM o JOIN m USING (fold) JOIN a USING (fold) GROUP BY 1)
+    SELECT 'fold_' || fold AS score, round(r2, 6) AS value FROM s UNION ALL SELECT 'mean', round(avg(r2), 6) FROM s UNION ALL SELECT 'std', round(stddev_pop(r2), 6) FROM s""",
+)
+def cross_validate_line_query(spark, sf):
+    data = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("price"))
+    found = training.cross_validate(data, ["o_custkey"], "price", "linear_regression", "o_orderkey", 5)
+    rows = [(f"fold_{i}", float(s)) for i, s in enumerate(found["scores"])]
+    rows += [("mean", float(found["mean_score"])), ("std", float(found["std_score"]))]
+    return rounded(spark.createDataFrame(rows, "score string, value double"), "value")
+
+
 @query("cross_validate")
 def cross_validate_query(spark, sf):
     found = training.cross_validate(labelled_texts(spark, sf), TEXT_FEATURES, "quality", "logistic_regression", "doc_id", 5)
@@ -203,7 +220,7 @@ def tune_grid_query(spark, sf):
 @query("tune_random")
 def tune_random_query(spark, sf):
     data = labelled_texts(spark, sf).persist()
-    return _trials(spark, training.tune_random(data, TEXT_FEATURES, "toxic", "logistic_regression", "doc_id", trials=3, folds=2))
+    return _trials(spark, training.tune_random(data, TEXT_FEATURES, "toxic", "logistic_regression", "doc_id", trials=10))
 
 
 @query("automl_select")
@@ -399,7 +416,7 @@ def shap_tree_query(spark, sf):
 def lime_query(spark, sf):
     data = labelled_texts(spark, sf).persist()
     model = learners.fit(data, TEXT_FEATURES, "quality", "logistic_regression")
-    return explain.lime_local(model, data, "doc_id", TEXT_FEATURES, 100)
+    return explain.lime_local(model, data, "doc_id", TEXT_FEATURES)
 
 
 @query(

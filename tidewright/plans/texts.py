@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, content_words
 from ..operators import text
+from ..schema import q
 from ..session import spread
 from ..sources import table
 from .inputs import rounded
@@ -69,35 +70,35 @@ def _tfidf(features: int) -> str:
     w AS (SELECT doc_id, c.term, n * idf AS w FROM c JOIN v ON c.term = v.term)"""
 
 
-@query("tfidf", _tfidf(200) + " SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w")
+@query("tfidf", _tfidf(1000) + " SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w")
 def tfidf_query(spark, sf):
-    return rounded(text.tfidf_long(documents(spark, sf), "text", "doc_id", 200), "weight")
+    return rounded(text.tfidf_long(documents(spark, sf), "text", "doc_id"), "weight")
 
 
 @query(
     "tfidf_wide",
-    _tfidf(1)
-    + """, r AS (SELECT row_number() OVER (ORDER BY term) AS i, term FROM v) SELECT doc_id, CASE WHEN w.w IS NULL THEN 0.0 ELSE 1.0 END AS top_term
-    FROM documents LEFT JOIN w USING (doc_id)""",
+    _tfidf(100) + " SELECT doc_id, 'tfidf_' || term AS feature, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w",
 )
 def tfidf_wide_query(spark, sf):
-    wide = text.tfidf_wide(documents(spark, sf), "text", 1)
-    return wide.toDF("doc_id", "top_term")
+    """A hundred columns, turned into rows again for the comparison."""
+    wide = text.tfidf_wide(documents(spark, sf), "text", 100)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), q(c).alias("weight")) for c in wide.columns if c != "doc_id"])
+    return rounded(wide.select("doc_id", F.inline(cells)).filter(F.col("weight") != 0), "weight")
 
 
 @query("tfidf_hashing")
 def hashing_query(spark, sf):
-    return text.tfidf_hashing(documents(spark, sf), "text", "doc_id", 500)
+    return text.tfidf_hashing(documents(spark, sf), "text", "doc_id")
 
 
 @query(
     "sparsity",
-    _tfidf(500)
+    _tfidf(1000)
     + """ SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM v) AS terms, (SELECT count(*) FROM w) AS nonzero,
     round(1 - (SELECT count(*) FROM w) / ((SELECT count(*) FROM documents) * (SELECT count(*) FROM v)), 6) AS sparsity""",
 )
 def sparsity_query(spark, sf):
-    return rounded(text.sparsity(documents(spark, sf), "text", 500), "sparsity")
+    return rounded(text.sparsity(documents(spark, sf), "text"), "sparsity")
 
 
 @query(
