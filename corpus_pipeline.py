@@ -8,7 +8,7 @@ from tidewright.llm.common import read, texts_of
 from tidewright.llm.decontamination import drop_contaminated
 from tidewright.llm.exact_dedup import exact_dedup, plain_digest
 from tidewright.llm.piece_bpe import round_trip
-from tidewright.llm.simhash import simhash_groups
+from tidewright.llm.simhash import similar_groups
 from tidewright.llm.toxicity import THRESHOLD, held_out, learn_lexicon, score_rows
 from tidewright.session import durable
 
@@ -41,8 +41,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id; groups are those of `simhash_groups`."""
-    groups = simhash_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of each SimHash group the document with the smallest id; texts link at a similarity of 0.8 over five words."""
+    groups = similar_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = groups.groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("text_hash"))
     return _only(docs, first, F.xxhash64(F.coalesce("text", F.lit(""))), "text_hash")
 

@@ -145,6 +145,55 @@ def test_simhash_groups_of_odd_tables(odd, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def shingle_set(text):
+    parts = text.lower().split()
+    return {" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))}
+
+
+@pytest.mark.parametrize("trie_rows", [50_000, 8])
+def test_similar_groups_match_set_similarity(spark, trie_rows):
+    """Pairs clearly above 0.8 share a group, and no group joins texts that are clearly below it by all links."""
+    rnd = random.Random(8)
+    texts = []
+    for base in range(12):
+        start = prose(200 + base, 220).split()
+        for edits in (0, 1, 1, 2, 3, 12, 30):
+            words = list(start)
+            for at in rnd.sample(range(len(words)), edits):
+                words[at] = f"changed{rnd.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += ["two words", "two  WORDS", "four words are here", "four words are there", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, trie_rows=trie_rows).collect()}
+    sets = [shingle_set(t) for t in texts]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
+    assert sum(s >= 0.87 for s in alike.values()) > 50
+    assert all(group[i] == group[j] for (i, j), s in alike.items() if s >= 0.87)
+    for i in range(len(texts)):
+        near = [s for pair, s in alike.items() if i in pair]
+        if max(near) < 0.65:
+            assert group[i] == i
+
+
+def test_dense_group_of_signatures_is_one_component():
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(0, 2, 512, dtype=np.uint8)
+    bits = np.repeat(base[None], 4000, axis=0)
+    bits[:, simhash.RUN :] ^= (rnd.random((4000, 512 - simhash.RUN)) < 0.05).astype(np.uint8)
+    keys = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+    budget = simhash.error_budget(0.8)
+    order, label = simhash.trie_components(np.zeros(4000, dtype=np.int64), keys, simhash.RUN, budget.__getitem__, 1 << 15, 1024)
+    assert sorted(order) == list(range(4000)) and not label.any()
+
+
+def test_similar_groups_of_odd_tables(odd, empty):
+    rows = simhash.similar_groups(odd).collect()
+    assert len(rows) == odd.count()
+    assert {r["component_id"] for r in rows if r["doc_id"] in (1, 7)} == {1}
+    assert simhash.similar_groups(empty).count() == 0
+    assert simhash.signature("") == bytes(64)
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=piece_bpe.default_model())
