@@ -438,3 +438,12 @@ def test_pipeline_of_odd_and_empty_documents(spark, odd, empty, corpus):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(
         [(False, 1), (False, 2), (False, 3), (True, 0), (False, 5), (False, 6)]
     )
+
+
+def test_components_of_a_hub_and_a_path(spark):
+    """A node that holds most links, a long path and a lone pair; the large lookups give the same."""
+    hub = [(0, i) for i in range(1, 4_000)]
+    path = [(10_000 + i, 10_001 + i) for i in range(60)]
+    links = spark.createDataFrame(hub + path + [(20_000, 20_001)], "a long, b long")
+    found = {r["node"]: r["component"] for r in connected_components(links, "a", "b").collect()}
+    assert found == {**{i: 0 for i in range(4_000)}, **{10_000 + i: 10_000 for i in range(61)}, 20_000: 20_000, 20_001: 20_000}

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.lookup import lookup_join
 from ..session import durable
 from .common import map_texts, query, read, texts_of
 from .components import connected_components
@@ -293,12 +294,12 @@ def similar_links(sigs: DataFrame, similarity: float = 0.8, trie_rows: int = TRI
 def _components_of(marked: DataFrame, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """`marked` with the smallest id reachable over `links` of the values in column `name`."""
     joined = connected_components(links, "a", "b")
-    member = nodes.join(joined, F.col(name) == F.col("node"))
+    # A group or a value that holds many rows is a hot key of these lookups, which spread its rows.
+    member = durable(nodes.join(joined, F.col(name) == F.col("node")).select(name, "component", "least"))
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = member.join(named, "component").select(name, "component_id")
+    linked = lookup_join(member, named, "component", ["component_id"], "component").select(name, "component_id")
     labels = durable(nodes.join(linked, name, "left").select(name, F.coalesce("component_id", "least").alias("component_id")))
-    # Both sides of this join are plain scans, so that a value with many documents can be split.
-    return marked.join(labels, name)
+    return lookup_join(marked, labels, name, ["component_id"], name)
 
 
 def similar_groups(
