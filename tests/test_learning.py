@@ -100,3 +100,13 @@ def test_binary_and_weighted_metrics(spark):
     assert evaluate.classification_metrics(df, "y", "p") == pytest.approx({"accuracy": 0.75, "precision": 1.0, "recall": 0.5, "f1_score": 2 / 3})
     never = spark.createDataFrame([(1, 0), (0, 0)], "y int, p int")
     assert evaluate.classification_metrics(never, "y", "p")["precision"] == 0.0
+
+
+def test_selection_takes_neighbours_along(spark):
+    rows = [(i, float(i % 7), float(i % 5), "big" if i % 7 > 3 else "small", 2.0 * (i % 7) - (i % 5)) for i in range(140)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, kind string, y double")
+    for target, algorithms in (("kind", ["knn", "decision_tree"]), ("y", ["knn", "linear"])):
+        found = training.automl_select(df, ["a", "b"], target, "id", algorithms, folds=2)
+        assert [e["status"] for e in found["leaderboard"]] == ["ok", "ok"], found
+        # Every point has copies of itself on both sides of each fold.
+        assert all(e["cv_score"] > 0.9 for e in found["leaderboard"])

@@ -14,9 +14,10 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evaluate import classification_metrics, detect_problem_type, regression_metrics
+from ..operators.neighbors import knn_classify, knn_regress
 from ..operators.sampling import kfold, stratified_kfold, train_test_split, train_test_split_stratified
-from ..schema import TableError
-from .learners import CLASSIFIERS, REGRESSORS, fit, resolve
+from ..schema import TableError, q
+from .learners import CLASSIFIERS, NEIGHBORS, REGRESSORS, feature_frame, fit, resolve
 
 PARALLEL_FITS = 4
 
@@ -32,6 +33,33 @@ GRIDS: dict[str, dict[str, list[Any]]] = {
 }
 
 
+class NeighborModel:
+    """Nearest neighbours among the rows it was given, in the form of a fitted model."""
+
+    def __init__(self, train: DataFrame, features: Sequence[str], target: str, key: str, classify: bool, neighbors: int = NEIGHBORS):
+        if not isinstance(key, str):
+            raise TableError("neighbours need a key of one column")
+        self.features, self.key, self.classify, self.neighbors = list(features), key, classify, neighbors
+        feature_frame(train, features)
+        self.train = self._points(train, q(target).alias("__y"))
+
+    def _points(self, df: DataFrame, *more) -> DataFrame:
+        return df.select(q(self.key).alias("__id"), F.array(*[q(c).cast("double") for c in self.features]).alias("__x"), *more)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """`df` with `prediction`, and `predicted_label` of a classifier."""
+        find = knn_classify if self.classify else knn_regress
+        found = find(self.train, self._points(df), "__id", "__x", "__y", self.neighbors).withColumnRenamed("__id", "__near")
+        scored = df.join(found.select("__near", "prediction"), q(self.key) == F.col("__near")).drop("__near")
+        return scored.withColumn("predicted_label", F.col("prediction").cast("string")) if self.classify else scored
+
+
+def _trained(df: DataFrame, features: Sequence[str], target: str, algorithm: str, key, **params: Any):
+    if algorithm.startswith("knn"):
+        return NeighborModel(df, features, target, key, algorithm in CLASSIFIERS, **params)
+    return fit(df, features, target, algorithm, **params)
+
+
 def evaluate(df: DataFrame, target: str, problem: str, prediction: str = "prediction") -> dict[str, float | None]:
     if problem == "classification":
         as_text = df.withColumn("__y", F.col(target).cast("string"))
@@ -57,14 +85,14 @@ def _in_parallel(spark: SparkSession, tasks: Sequence[Any], run: Callable[[Any],
 
 
 def _fold_scores(
-    data: DataFrame, features: Sequence[str], target: str, algorithm: str, folds: int, trials: Sequence[dict[str, Any]]
+    data: DataFrame, features: Sequence[str], target: str, algorithm: str, key, folds: int, trials: Sequence[dict[str, Any]]
 ) -> list[list[float]]:
     """Score of every fold for every parameter set; `data` carries its `fold`."""
     problem = "classification" if algorithm in CLASSIFIERS else "regression"
 
     def run(task: tuple[dict[str, Any], int]) -> float:
         params, i = task
-        model = fit(data.filter(F.col("fold") != i), features, target, algorithm, **params)
+        model = _trained(data.filter(F.col("fold") != i), features, target, algorithm, key, **params)
         scored = model.transform(data.filter(F.col("fold") == i))
         return score_of(evaluate(scored, target, problem), problem)
 
@@ -88,7 +116,7 @@ def cross_validate(
     """Scores per fold (F1 or R2), their mean and population deviation."""
     data = _folded(df, features, target, algorithm, key, folds, seed)
     try:
-        return _summary(_fold_scores(data, features, target, algorithm, folds, [params])[0])
+        return _summary(_fold_scores(data, features, target, algorithm, key, folds, [params])[0])
     finally:
         data.unpersist()
 
@@ -111,7 +139,7 @@ def tune_grid(
     trials = [dict(zip(grid, values)) for values in product(*grid.values())]
     data = _folded(df, features, target, algorithm, key, folds, 42)
     try:
-        return _best(trials, _fold_scores(data, features, target, algorithm, folds, trials))
+        return _best(trials, _fold_scores(data, features, target, algorithm, key, folds, trials))
     finally:
         data.unpersist()
 
@@ -140,7 +168,7 @@ def tune_random(
         while len(drawn) < trials and (not drawn or seconds is None or time.monotonic() - started < seconds):
             batch = [{name: draw(values) for name, values in grid.items()} for _ in range(min(4, trials - len(drawn)))]
             drawn += batch
-            scores += _fold_scores(data, features, target, algorithm, folds, batch)
+            scores += _fold_scores(data, features, target, algorithm, key, folds, batch)
         return {**_best(drawn, scores), "not_run": trials - len(drawn)}
     finally:
         data.unpersist()
@@ -157,8 +185,6 @@ def automl_select(
     """
     problem = problem or detect_problem_type(df, target)
     names = [resolve(a, problem) for a in algorithms] if algorithms else list(CLASSIFIERS if problem == "classification" else REGRESSORS)
-    # Neighbour prediction has no fitted state; it is compared through its own operator.
-    names = [n for n in names if not n.startswith("knn")]
     clean = df.na.drop(subset=[*features, target])
     split = (
         train_test_split_stratified(clean, target, key, test_size)
@@ -173,7 +199,7 @@ def automl_select(
             started = time.monotonic()
             try:
                 folds_found = cross_validate(train, features, target, name, key, folds, **params)
-                model = fit(train, features, target, name, **params)
+                model = _trained(train, features, target, name, key, **params)
                 metrics = evaluate(model.transform(test), target, problem)
             except Exception as error:  # a failing learner must not end the search
                 board.append({"algorithm": name, "status": "failed", "error": str(error)[:200]})

@@ -31,7 +31,7 @@ def _score(scored: DataFrame) -> Column:
 def mean_substitution_importance(model: PipelineModel, df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """`(key, feature, importance)`: change of the score when a feature is set to its mean.
 
-    All variants of a row are scored in one pass.
+    All variants of a row are scored in one pass; rows move by key once, before they are multiplied.
     """
     features = require_numeric(df, features)
     means = _means(df, features)
@@ -44,7 +44,7 @@ def mean_substitution_importance(model: PipelineModel, df: DataFrame, key: str,
             for name in [None, *features]
         ]
     )
-    scored = model.transform(df.select(q(key), F.explode(variants).alias("v")).select(q(key), "v.*"))
+    scored = model.transform(df.repartition(q(key)).select(q(key), F.explode(variants).alias("v")).select(q(key), "v.*"))
     values = scored.select(q(key), "feature", _score(scored).alias("s"))
     # One row per feature of the same key: at most the number of features plus one.
     wide = values.groupBy(q(key)).agg(
@@ -73,7 +73,7 @@ def shap_sampling(
     """Shapley values estimated over feature orders, with the means as background.
 
     Along an order features switch one by one from mean to value; a feature earns the change
-    its switch brings. All steps of a row are scored in one pass.
+    its switch brings. All steps of a row are scored in one pass; rows move by key once, before that.
     """
     features = require_numeric(df, features)
     means = _means(df, features)
@@ -93,7 +93,7 @@ def shap_sampling(
                     *[(q(c).cast("double") if c in on else F.lit(means[c])).alias(c) for c in features],
                 )
             )
-    scored = model.transform(df.select(q(key), F.explode(F.array(*steps)).alias("v")).select(q(key), "v.*"))
+    scored = model.transform(df.repartition(q(key)).select(q(key), F.explode(F.array(*steps)).alias("v")).select(q(key), "v.*"))
     s = _score(scored)
     moves = F.array(
         F.struct(F.col("gains").alias("feature"), s.alias("d")), F.struct(F.col("loses").alias("feature"), (-s).alias("d"))
@@ -130,7 +130,7 @@ def lime_local(
         v = row_hash(q(key), F.col("__i"), F.lit(2 * i + 1), seed=seed) / F.lit(float(SPAN))
         return F.sqrt(-2 * F.ln(u)) * F.cos(2 * np.pi * v)
 
-    drawn = df.select(q(key), *[q(c).cast("double").alias(c) for c in features]).withColumn(
+    drawn = df.select(q(key), *[q(c).cast("double").alias(c) for c in features]).repartition(q(key)).withColumn(
         "__i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
     )
     # The first sample is the row itself.

@@ -190,6 +190,12 @@ def replays_query(spark, sf):
     return jobs.run_append(jobs.drop_replays(stream, nonce, "ts", "1 day"))
 
 
+@query("stream_replay_keys", "SELECT DISTINCT user_id, event_type FROM events WHERE ts IS NOT NULL")
+def replay_keys_query(spark, sf):
+    """Which copy of a key comes first depends on arrival; that every key comes through does not."""
+    return replays_query(spark, sf).select("user_id", "event_type").distinct()
+
+
 @query(
     "stream_brute_force",
     """SELECT user_id, strftime(date_trunc('minute', ts) - to_minutes(i), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS failures

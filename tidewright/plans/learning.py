@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..modeling import learners, training
 from ..operators import evaluate, explain, neighbors, reduce
-from ..operators.sampling import train_test_split_stratified
+from ..operators.sampling import train_test_split, train_test_split_stratified
 from ..session import scratch_path, spread
 from ..sources import table
 from .inputs import rounded
@@ -55,6 +55,20 @@ def pca_embeddings_query(spark, sf):
     return reduce.pca(table(spark, sf, "embeddings"), 8, "embedding")
 
 
+# With as many components as dimensions the centred rows are only turned, so their lengths stay.
+@query(
+    "pca_embeddings_lengths",
+    """WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    m AS (SELECT i, avg(x) AS m FROM c GROUP BY 1) SELECT vec_id, round(sum(pow(x - m, 2)), 4) AS squared_length FROM c JOIN m USING (i) GROUP BY 1""",
+)
+def pca_lengths_query(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    size = len(rows.select("embedding").first()[0])
+    turned = reduce.pca(rows, size, "embedding")
+    squares = sum((F.col(f"PC{i + 1}") * F.col(f"PC{i + 1}") for i in range(size)), F.lit(0.0))
+    return turned.select("vec_id", F.round(squares, 4).alias("squared_length"))
+
+
 ALL_PAIRS = """d AS (SELECT a.vec_id AS id, b.vec_id AS other, b.label, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding),
     lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
   n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS r FROM d QUALIFY r <= 5)"""
@@ -79,19 +93,28 @@ def knn_regress_query(spark, sf):
 TEXT_FEATURES = ["n_chars", "n_words", "mean_word", "distinct_share"]
 
 
-def labelled_texts(spark, sf):
-    """Simple text measures with the quality and toxicity labels."""
-    w = words(F.col("text"))
-    docs = spread(table(spark, sf, "documents")).select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), w.alias("w"), "text")
+def labelled_texts(spark, sf, labels=None):
+    """The labels, or `labels` made of them, with simple measures of their texts; other texts are not measured."""
+    labels = table(spark, sf, "labels") if labels is None else labels
+    texts = spread(table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "text"))
+    docs = labels.join(texts, "doc_id").withColumn("w", words(F.col("text")))
     count = F.greatest(F.size("w"), F.lit(1))
-    measured = docs.select(
-        "doc_id",
+    return docs.select(
+        *labels.columns,
         "n_chars",
         F.size("w").cast("double").alias("n_words"),
         (F.length(F.array_join("w", "")) / count).alias("mean_word"),
         (F.size(F.array_distinct("w")) / count).alias("distinct_share"),
     )
-    return table(spark, sf, "labels").join(measured, "doc_id")
+
+
+def _fitted(data, features, target, algorithm, **params):
+    """Fit on a cached table; the cache does not outlive the fit."""
+    cached = data.persist()
+    try:
+        return learners.fit(cached, features, target, algorithm, **params)
+    finally:
+        cached.unpersist()
 
 
 @query("smote")
@@ -100,6 +123,15 @@ def smote_query(spark, sf):
     return neighbors.smote(rows, "doc_id", "x", "toxic")
 
 
+@query(
+    "smote_classes",
+    """WITH n AS (SELECT toxic, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+    SELECT toxic, (SELECT max(n) FROM n) - n AS added FROM n WHERE n < (SELECT max(n) FROM n)""",
+)
+def smote_classes_query(spark, sf):
+    return smote_query(spark, sf).groupBy("toxic").agg(F.count("*").alias("added"))
+
+
 @query(
     "detect_problem_type",
     """SELECT 'l_returnflag' AS "column", 'classification' AS problem_type UNION ALL SELECT 'l_linenumber', 'classification'
@@ -113,8 +145,8 @@ def problem_query(spark, sf):
 
 def _classifier(algorithm, **params):
     def run(spark, sf):
-        data = labelled_texts(spark, sf).persist()
-        model = learners.fit(data, TEXT_FEATURES, "quality", algorithm, **params)
+        data = labelled_texts(spark, sf)
+        model = _fitted(data, TEXT_FEATURES, "quality", algorithm, **params)
         return learners.predict_batch(model, data, TEXT_FEATURES).select("doc_id", "quality", "prediction", "confidence")
 
     return run
@@ -130,8 +162,8 @@ PART_FEATURES = ["size", "brand"]
 
 def _regressor(algorithm, **params):
     def run(spark, sf):
-        data = part_rows(spark, sf).persist()
-        model = learners.fit(data, PART_FEATURES, "p_retailprice", algorithm, **params)
+        data = part_rows(spark, sf)
+        model = _fitted(data, PART_FEATURES, "p_retailprice", algorithm, **params)
         return learners.predict_batch(model, data, PART_FEATURES).select("p_partkey", "p_retailprice", "prediction")
 
     return run
@@ -148,6 +180,50 @@ query("fit_decision_tree_reg")(_regressor("decision_tree_regressor"))
 query("fit_svr")(_regressor("svr"))
 
 
+def _stump(number: int, source: str, value: str) -> str:
+    """The split of `brand` with the least squared error, and the means of its sides."""
+    n = number
+    return f"""s{n} AS (SELECT t.brand AS t, sum(pow({value}, 2)) FILTER (WHERE r.brand <= t.brand) - pow(sum({value}) FILTER (WHERE r.brand <= t.brand), 2) / count(*) FILTER (WHERE r.brand <= t.brand)
+      + sum(pow({value}, 2)) FILTER (WHERE r.brand > t.brand) - pow(sum({value}) FILTER (WHERE r.brand > t.brand), 2) / count(*) FILTER (WHERE r.brand > t.brand) AS e,
+      avg({value}) FILTER (WHERE r.brand <= t.brand) AS low, avg({value}) FILTER (WHERE r.brand > t.brand) AS high
+      FROM (SELECT DISTINCT brand FROM {source}) t, {source} r GROUP BY 1),
+    b{n} AS (SELECT * FROM s{n} WHERE e IS NOT NULL ORDER BY e LIMIT 1)"""
+
+
+BRANDS = "r0 AS (SELECT p_partkey, p_retailprice AS y, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS DOUBLE) AS brand FROM part)"
+FIRST = f"{BRANDS}, {_stump(1, 'r0', 'y')}, r1 AS (SELECT r0.*, CASE WHEN brand <= t THEN low ELSE high END AS f FROM r0, b1)"
+
+
+def _stumps(algorithm, **params):
+    def run(spark, sf):
+        data = part_rows(spark, sf)
+        model = _fitted(data, ["brand"], "p_retailprice", algorithm, max_depth=1, **params)
+        return rounded(learners.predict_batch(model, data, ["brand"]).select("p_partkey", "prediction"), "prediction", places=4)
+
+    return run
+
+
+# Trees of one split, and boosting by two of them, can be found in SQL.
+query("fit_decision_tree_reg_stump", f"WITH {FIRST} SELECT p_partkey, round(f, 4) AS prediction FROM r1")(_stumps("decision_tree_regressor"))
+query(
+    "fit_gradient_boosting_reg_stumps",
+    f"""WITH {FIRST}, {_stump(2, 'r1', '(2 * (y - f))')}
+    SELECT p_partkey, round(f + 0.1 * CASE WHEN brand <= t THEN low ELSE high END, 4) AS prediction FROM r1, b2""",
+)(_stumps("gradient_boosting_regressor", trees=2))
+
+
+# With one yes-or-no feature and hardly any penalty the probabilities are the shares of its two groups.
+@query(
+    "fit_logistic_regression_shares",
+    "SELECT toxic, round(avg(quality), 3) AS share FROM labels GROUP BY 1",
+)
+def logistic_shares_query(spark, sf):
+    data = table(spark, sf, "labels")
+    model = _fitted(data, ["toxic"], "quality", "logistic_regression", C=1e6)
+    scored = learners.predict_batch(model, data, ["toxic"], probabilities=True)
+    return rounded(scored.groupBy("toxic").agg(F.avg(F.element_at("probabilities", -1)).alias("share")), "share", places=3)
+
+
 def _line(spark, sf, feature, target, algorithm, **params):
     data = table(spark, sf, "lineitem").select(feature, target)
     learner = learners.learner_of(learners.fit(data, [feature], target, algorithm, **params))
@@ -213,13 +289,56 @@ def _trials(spark, found):
 
 @query("tune_grid")
 def tune_grid_query(spark, sf):
-    data = labelled_texts(spark, sf).persist()
+    data = labelled_texts(spark, sf)
     return _trials(spark, training.tune_grid(data, TEXT_FEATURES, "toxic", "logistic_regression", "doc_id", folds=3))
 
 
+ALPHAS = [1.0, 1000.0, 100000.0]
+
+
+def _priced(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") / 1000).alias("customer"), (F.col("o_totalprice") / 1000).alias("price"))
+
+
+# Ridge regression on one feature in closed form: the score of every penalty on every fold.
+RIDGE_FOLDS = f"""o AS (SELECT o_custkey / 1000 AS x, o_totalprice / 1000 AS y, {H_ORDER} % 5 AS f5, {H_ORDER} % 3 AS f3, {H_ORDER} % 1000000 < 200000 AS is_test FROM orders)"""
+
+
+def _ridge_scores(rows: str, fold: str) -> str:
+    return f"""i AS (SELECT DISTINCT {fold} AS fold FROM {rows}), s AS (SELECT fold, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx, avg(x) AS mx, avg(y) AS my FROM {rows} JOIN i ON {fold} <> fold GROUP BY 1),
+    k AS (SELECT fold, alpha, sxy / (sxx + alpha) AS k, my - sxy / (sxx + alpha) * mx AS b FROM s, p), a AS (SELECT {fold} AS fold, avg(y) AS m FROM {rows} GROUP BY 1),
+    r AS (SELECT fold, alpha, 1 - sum(pow(y - b - k * x, 2)) / sum(pow(y - m, 2)) AS r2 FROM {rows} JOIN k ON {fold} = fold JOIN a USING (fold) GROUP BY 1, 2)"""
+
+
+@query(
+    "tune_grid_ridge",
+    f"""WITH {RIDGE_FOLDS}, p AS (SELECT unnest([1.0, 1000.0, 100000.0])::DOUBLE AS alpha), {_ridge_scores('o', 'f3')}, g AS (SELECT alpha, avg(r2) AS score FROM r GROUP BY 1)
+    SELECT alpha, round(score, 6) AS score, score = (SELECT max(score) FROM g) AS chosen FROM g""",
+)
+def tune_ridge_query(spark, sf):
+    found = training.tune_grid(_priced(spark, sf), ["customer"], "price", "ridge_regression", "o_orderkey", {"alpha": ALPHAS}, 3)
+    rows = [(t["params"]["alpha"], float(t["score"]), t["params"] == found["params"]) for t in found["trials"]]
+    return rounded(spark.createDataFrame(rows, "alpha double, score double, chosen boolean"), "score")
+
+
+@query(
+    "automl_select_lines",
+    f"""WITH {RIDGE_FOLDS}, t AS (SELECT * FROM o WHERE NOT is_test), p AS (SELECT unnest([0.0, 1.0])::DOUBLE AS alpha), {_ridge_scores('t', 'f5')},
+    c AS (SELECT alpha, avg(r2) AS cv, stddev_pop(r2) AS sd FROM r GROUP BY 1),
+    w AS (SELECT alpha, regr_sxy(y, x) / (regr_sxx(y, x) + alpha) AS k, avg(x) AS mx, avg(y) AS my FROM t, p GROUP BY 1), e AS (SELECT avg(y) AS m FROM o WHERE is_test),
+    f AS (SELECT alpha, 1 - sum(pow(y - my - k * (x - mx), 2)) / sum(pow(y - m, 2)) AS r2 FROM o, w, e WHERE is_test GROUP BY 1)
+    SELECT CASE alpha WHEN 0 THEN 'linear_regression' ELSE 'ridge_regression' END AS algorithm, round(cv, 6) AS cv_score, round(sd, 6) AS cv_std, round(f.r2, 6) AS r2_score,
+      cv = (SELECT max(cv) FROM c) AS best FROM c JOIN f USING (alpha)""",
+)
+def automl_lines_query(spark, sf):
+    found = training.automl_select(_priced(spark, sf), ["customer"], "price", "o_orderkey", ["linear", "ridge"], "regression")
+    rows = [(e["algorithm"], e["cv_score"], e["cv_std"], e["r2_score"], e["algorithm"] == found["best"]["algorithm"]) for e in found["leaderboard"]]
+    return rounded(spark.createDataFrame(rows, "algorithm string, cv_score double, cv_std double, r2_score double, best boolean"), "cv_score", "cv_std", "r2_score")
+
+
 @query("tune_random")
 def tune_random_query(spark, sf):
-    data = labelled_texts(spark, sf).persist()
+    data = labelled_texts(spark, sf)
     return _trials(spark, training.tune_random(data, TEXT_FEATURES, "toxic", "logistic_regression", "doc_id", trials=10))
 
 
@@ -314,11 +433,22 @@ def regression_query(spark, sf):
 
 @query("predict_batch")
 def predict_query(spark, sf):
-    data = train_test_split_stratified(labelled_texts(spark, sf), "quality", "doc_id").persist()
-    model = learners.fit(data.filter(~F.col("is_test")), TEXT_FEATURES, "quality", "logistic_regression")
+    data = labelled_texts(spark, sf, train_test_split_stratified(table(spark, sf, "labels"), "quality", "doc_id"))
+    model = _fitted(data.filter(~F.col("is_test")), TEXT_FEATURES, "quality", "logistic_regression")
     return learners.predict_batch(model, data.filter("is_test"), TEXT_FEATURES).select("doc_id", "prediction", "confidence")
 
 
+@query(
+    "predict_batch_line",
+    f"""WITH {RIDGE_FOLDS.replace('o_custkey / 1000 AS x', 'o_orderkey, o_custkey / 1000 AS x')}, t AS (SELECT regr_slope(y, x) AS k, regr_intercept(y, x) AS b FROM o WHERE NOT is_test)
+    SELECT o_orderkey, round(b + k * x, 6) AS prediction FROM o, t WHERE is_test""",
+)
+def predict_line_query(spark, sf):
+    data = train_test_split(_priced(spark, sf), "o_orderkey")
+    model = _fitted(data.filter(~F.col("is_test")), ["customer"], "price", "linear_regression")
+    return rounded(learners.predict_batch(model, data.filter("is_test"), ["customer"]).select("o_orderkey", "prediction"), "prediction")
+
+
 @query(
     "save_load_model",
     """WITH t AS (SELECT regr_slope(o_totalprice / 1000, o_custkey) AS w, regr_intercept(o_totalprice / 1000, o_custkey) AS b FROM orders)
@@ -382,40 +512,69 @@ def global_query(spark, sf):
     return df.withColumn("mean_value", F.abs("mean_value"))
 
 
-@query(
-    "mean_substitution_importance",
-    """WITH t AS (SELECT regr_slope(o_totalprice / 1000, o_custkey) AS w, avg(o_custkey) AS m FROM orders)
-    SELECT o_orderkey, 'o_custkey' AS feature, round(abs((o_custkey - m) * w), 6) AS importance FROM orders, t""",
-)
+# Least squares on three features by Cramer's rule.
+ORDER_FEATURES = ["customer", "weekday", "priority"]
+SPACE = """d AS (SELECT o_orderkey, o_custkey / 1000 AS customer, dayofweek(o_orderdate) + 1.0 AS weekday, CAST(left(o_orderpriority, 1) AS DOUBLE) AS priority, o_totalprice / 1000 AS y FROM orders),
+  s AS (SELECT var_pop(customer) AS a, covar_pop(customer, weekday) AS b, covar_pop(customer, priority) AS c, var_pop(weekday) AS e, covar_pop(weekday, priority) AS f, var_pop(priority) AS i,
+    covar_pop(customer, y) AS u, covar_pop(weekday, y) AS v, covar_pop(priority, y) AS w, avg(customer) AS m1, avg(weekday) AS m2, avg(priority) AS m3 FROM d),
+  g AS (SELECT *, a * (e * i - f * f) - b * (b * i - c * f) + c * (b * f - c * e) AS det FROM s),
+  k AS (SELECT m1, m2, m3, (u * (e * i - f * f) - b * (v * i - f * w) + c * (v * f - e * w)) / det AS w1, (a * (v * i - w * f) - u * (b * i - c * f) + c * (b * w - c * v)) / det AS w2,
+    (a * (e * w - f * v) - b * (b * w - c * v) + u * (b * f - c * e)) / det AS w3 FROM g)"""
+
+
+def _spaced(value: str, name: str) -> str:
+    cells = [f"SELECT o_orderkey, '{f}' AS feature, round({value.format(x=f'({f} - m{n}) * w{n}')}, 6) + 0 AS {name} FROM d, k" for n, f in enumerate(ORDER_FEATURES, 1)]
+    return f"WITH {SPACE} " + " UNION ALL ".join(cells)
+
+
+def _space(spark, sf):
+    data = table(spark, sf, "orders").select(
+        "o_orderkey",
+        (F.col("o_custkey") / 1000).alias("customer"),
+        F.dayofweek("o_orderdate").cast("double").alias("weekday"),
+        F.left("o_orderpriority", F.lit(1)).cast("double").alias("priority"),
+        (F.col("o_totalprice") / 1000).alias("price"),
+    )
+    return data, _fitted(data, ORDER_FEATURES, "price", "linear_regression")
+
+
+@query("mean_substitution_importance", _spaced("abs({x})", "importance"))
 def substitution_query(spark, sf):
-    data = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("price"))
-    model = learners.fit(data, ["o_custkey"], "price", "linear_regression")
-    return rounded(explain.mean_substitution_importance(model, data, "o_orderkey", ["o_custkey"]), "importance")
+    data, model = _space(spark, sf)
+    return rounded(explain.mean_substitution_importance(model, data, "o_orderkey", ORDER_FEATURES), "importance")
 
 
 # With means as background every order gives a linear model its exact attributions.
+@query("shap_sampling", _spaced("{x}", "shap"))
+def shap_sampling_query(spark, sf):
+    data, model = _space(spark, sf)
+    return rounded(explain.shap_sampling(model, data, "o_orderkey", ORDER_FEATURES), "shap")
+
+
+# The local fit of a linear model is the model, in units of each feature's deviation.
 @query(
-    "shap_sampling",
-    """WITH t AS (SELECT regr_slope(o_totalprice / 1000, o_custkey) AS w, avg(o_custkey) AS m FROM orders)
-    SELECT o_orderkey, 'o_custkey' AS feature, round((o_custkey - m) * w, 6) AS shap FROM orders, t""",
+    "lime_local_line",
+    """WITH t AS (SELECT regr_slope(s_acctbal, s_suppkey) * stddev_pop(s_suppkey) AS w FROM supplier) SELECT s_suppkey, 's_suppkey' AS feature, round(w, 3) AS weight FROM supplier, t""",
 )
-def shap_sampling_query(spark, sf):
-    data = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("price"))
-    model = learners.fit(data, ["o_custkey"], "price", "linear_regression")
-    return rounded(explain.shap_sampling(model, data, "o_orderkey", ["o_custkey"], 2), "shap")
+def lime_line_query(spark, sf):
+    data = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    model = _fitted(data, ["s_suppkey"], "s_acctbal", "linear_regression")
+    renamed = data.withColumn("id", F.col("s_suppkey"))
+    local = explain.lime_local(model, renamed, "id", ["s_suppkey"]).withColumnRenamed("id", "s_suppkey")
+    return rounded(local, "weight", places=3)
 
 
 @query("shap_sampling_tree")
 def shap_tree_query(spark, sf):
-    data = labelled_texts(spark, sf).persist()
-    model = learners.fit(data, TEXT_FEATURES, "quality", "decision_tree_classifier")
+    data = labelled_texts(spark, sf)
+    model = _fitted(data, TEXT_FEATURES, "quality", "decision_tree_classifier")
     return explain.shap_sampling(model, data, "doc_id", TEXT_FEATURES, 8)
 
 
 @query("lime_local")
 def lime_query(spark, sf):
-    data = labelled_texts(spark, sf).persist()
-    model = learners.fit(data, TEXT_FEATURES, "quality", "logistic_regression")
+    data = labelled_texts(spark, sf)
+    model = _fitted(data, TEXT_FEATURES, "quality", "logistic_regression")
     return explain.lime_local(model, data, "doc_id", TEXT_FEATURES)
 
 
