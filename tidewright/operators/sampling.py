@@ -21,7 +21,7 @@ def _hash(df: DataFrame, key: str | Sequence[str], seed: int) -> Column:
 def sample_random(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly `n` rows (all when there are fewer), the ones with the smallest key hash.
 
-    Only rows below a threshold that keeps slightly more than `n` are sorted.
+    Only rows below a threshold that keeps slightly more than `n` are sorted, in ranges: no task takes all.
     """
     hashed = df.withColumn("__h", _hash(df, key, seed))
     rows = df.count()
@@ -34,7 +34,8 @@ def sample_random(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 4
             hashed = kept
             break
         share *= 2
-    return hashed.orderBy("__h", *[q(k) for k in as_list(key)]).limit(n).drop("__h")
+    placed = global_index(hashed, ["__h", *as_list(key)], "__at")
+    return placed.filter(F.col("__at") < n).select(*[q(c) for c in df.columns])
 
 
 def _keep_smallest(df: DataFrame, by: str, key, seed: int, groups: dict) -> DataFrame:
