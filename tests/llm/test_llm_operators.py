@@ -440,6 +440,16 @@ def test_pipeline_of_odd_and_empty_documents(spark, odd, empty, corpus):
     )
 
 
+def test_near_copies_keep_one_row_of_each_group(spark, corpus):
+    """Groups of missing ids alone and groups that share an id stay apart; of each the smallest id stays."""
+    near = prose(500, 300)
+    rows = [(None, prose(501, 60)), (None, prose(502, 60)), (None, None), (7, prose(503, 60)), (7, prose(504, 60)), (7, prose(505, 60))]
+    copies = [(None, near), (9, f"{near} end"), (8, f"start {near}"), (None, f"{near} stop")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows + copies], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, corpus).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(rows + [(8, f"start {near}")])
+
+
 def test_components_of_a_hub_and_a_path(spark):
     """A node that holds most links, a long path and a lone pair; the large lookups give the same."""
     hub = [(0, i) for i in range(1, 4_000)]

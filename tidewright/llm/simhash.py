@@ -292,22 +292,27 @@ def similar_links(sigs: DataFrame, similarity: float = 0.8, trie_rows: int = TRI
 
 
 def _components_of(marked: DataFrame, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """`marked` with the smallest id reachable over `links` of the values in column `name`."""
+    """`marked` with the smallest id reachable over `links` of the values in column `name`, and its group.
+
+    `group_key` is a digest of the group's smallest value: ids can be missing or repeated, it tells groups apart.
+    """
     joined = connected_components(links, "a", "b")
     # A group or a value that holds many rows is a hot key of these lookups, which spread its rows.
     member = durable(nodes.join(joined, F.col(name) == F.col("node")).select(name, "component", "least"))
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = lookup_join(member, named, "component", ["component_id"], "component").select(name, "component_id")
-    labels = durable(nodes.join(linked, name, "left").select(name, F.coalesce("component_id", "least").alias("component_id")))
-    return lookup_join(marked, labels, name, ["component_id"], name)
+    linked = lookup_join(member, named, "component", ["component_id"], "component").select(name, "component", "component_id")
+    group = F.unhex(F.md5(F.hex(F.coalesce("component", name)).cast("binary"))).alias("group_key")
+    labels = durable(nodes.join(linked, name, "left").select(name, F.coalesce("component_id", "least").alias("component_id"), group))
+    return lookup_join(marked, labels, name, ["component_id", "group_key"], name)
 
 
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
     trie_rows: int = TRIE_ROWS,
 ) -> DataFrame:
-    """One row per document: `doc_id, component_id, text_hash` (the XXH64 of the text).
+    """One row per document: `doc_id, component_id, text_hash` (the XXH64 of the text) and `group_key`.
 
+    `group_key` is the same within a group and differs between groups, also where ids are missing or repeated.
     Documents link where their sets of word shingles have a Jaccard similarity of `similarity` or
     more, as estimated from signatures of 512 bits; a pair that is just at it can be missed or one
     just below linked. Empty and missing texts share a signature; texts shorter than a shingle are
@@ -328,7 +333,7 @@ def similar_groups(
     nodes = durable(marked.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("roots").alias("roots")))
     links = similar_links(nodes.select("sig", "roots"), similarity, trie_rows)
     member = _components_of(marked.select("doc_id", "text_hash", "sig"), nodes.select("sig", "least"), links, "sig")
-    return member.select("doc_id", "component_id", "text_hash")
+    return member.select("doc_id", "component_id", "text_hash", "group_key")
 
 
 def simhash_groups(
