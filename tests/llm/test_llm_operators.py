@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries and odd tables."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -290,6 +291,33 @@ def test_mined_rules_block_by_token_sets(spark):
     assert got == {i: "block" if i % 2 and i % 3 == 0 else "allow" for i in range(120)}
 
 
+def brute_rules(rows):
+    """All rules of any length: tokens to support and confidence, by listing every subset of every row."""
+    n, hit = Counter(), Counter()
+    for tokens, blocked in rows:
+        for k in range(1, len(tokens) + 1):
+            for items in itertools.combinations(sorted(tokens), k):
+                n[items] += 1
+                hit[items] += blocked
+    base = sum(b for _, b in rows) / len(rows)
+    least = max(5, 0.005 * len(rows))
+    return {i: (hit[i], hit[i] / n[i]) for i in n if hit[i] >= least and hit[i] / n[i] >= 0.5 and hit[i] / n[i] / base >= 1.2}
+
+
+def test_mined_rules_of_four_and_more_tokens(spark):
+    """Four words block together; three of them do not, so no shorter rule stands for the long one."""
+    words = [["aa", "bb", "cc", "dd"]] * 10 + [list(w) for w in itertools.combinations(["aa", "bb", "cc", "dd"], 3)] * 12
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}/{'-'.join(w)}", "") for i, w in enumerate(words)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, 1, int(len(w) == 4)) for i, w in enumerate(words)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, labels).collect()}
+    assert got == {i: "block" if len(w) == 4 else "allow" for i, w in enumerate(words)}
+    marked = pages.select("page_id", url_rules.url_tokens(F.col("url")).alias("tokens")).withColumn("blocked", F.col("page_id") < 10)
+    want = brute_rules([(r["tokens"], r["blocked"]) for r in marked.collect()])
+    rules = url_rules.mine_rules(marked)
+    assert {r.tokens: r.support for r in rules} == {i: s for i, (s, _) in want.items()} and max(map(len, want)) == 8
+    assert all(abs(r.confidence - want[r.tokens][1]) < 1e-9 for r in rules)
+
+
 def test_toxicity_learns_folds_and_exempts(spark, empty, odd):
     rows = []
     for i in range(400):

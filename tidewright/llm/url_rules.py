@@ -23,7 +23,6 @@ from .common import query, read
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 BLOCKED = "label=block"
-MAX_TOKENS = 3  # tokens of a mined rule
 INDEX_RULES = 200_000  # rules that one index may hold; beyond it the support has to be raised
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -71,12 +70,12 @@ class Rule:
 
 def mine_rules(
     labelled: DataFrame, tokens: str = "tokens", blocked: str = "blocked", min_share: float = 0.005, min_rows: int = 5,
-    min_confidence: float = 0.5, min_lift: float = 1.2, max_tokens: int = MAX_TOKENS,
+    min_confidence: float = 0.5, min_lift: float = 1.2, max_tokens: int | None = None,
 ) -> list[Rule]:
     """Rules `tokens -> block` from all labelled rows; no labelled rows give no rules.
 
     A rule needs `min_rows` and `min_share` of the rows with its tokens and the label together, and the
-    confidence and lift given.
+    confidence and lift given. Its number of tokens has no bound unless `max_tokens` is given.
     """
     items = durable(
         labelled.select(
@@ -92,9 +91,10 @@ def mine_rules(
     mined = model.associationRules.filter(
         (F.size("consequent") == 1)
         & F.array_contains("consequent", BLOCKED)
-        & (F.size("antecedent") <= max_tokens)
         & (F.col("lift") >= min_lift)
     )
+    if max_tokens is not None:
+        mined = mined.filter(F.size("antecedent") <= max_tokens)
     found = mined.limit(INDEX_RULES + 1).collect()
     if len(found) > INDEX_RULES:
         raise ValueError(f"more than {INDEX_RULES} rules; raise min_share")
