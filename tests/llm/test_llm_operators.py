@@ -361,6 +361,29 @@ def test_decontamination_kinds(spark, empty, odd):
     assert not {1, 2} & {r["doc_id"] for r in clean.collect()}
 
 
+def test_decontamination_of_names_that_begin_sentences(spark):
+    asked = [
+        ("Tom has 5 apples. Mary has 3 apples. How many apples do Tom and Mary have together?", [("Tom", "Sam"), ("Mary", "Lisa"), ("5", "7"), ("3", "4")]),
+        ("John walks 12 miles. Anna walks 30 miles. John then rests. How many miles did they walk in all on that day?",
+         [("John", "Peter"), ("Anna", "Maria"), ("12", "9"), ("30", "41")]),
+        ("Tom has 6 red pens. Later on that day Tom lost some of them. How many pens does Tom Smith have?", [("Tom Smith", "Lisa"), ("Tom", "Lisa"), ("6", "8")]),
+        ("Rome is old.", []),
+        ("Hello.", []),
+    ]
+    docs = []
+    for i, (text, pairs) in enumerate(asked[:3]):
+        other = text
+        for a, b in pairs:
+            other = other.replace(a, b)
+        docs += [(10 * i, f"{prose(i, 20)}. {text} {prose(i + 9, 9)}"), (10 * i + 1, f"{prose(i, 20)}. {other} {prose(i + 9, 9)}"), (10 * i + 2, f"{prose(i, 20)} {other}")]
+    mixed = "Sam has 7 apples. Lisa has 4 apples. How many apples do Zoe and Bob have together?"
+    docs += [(90, mixed), (91, "They met Paul and Anna. Then Paul left.")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(asked)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in D.contaminations(docs, items).collect()}
+    assert got == {(10 * i + k, i): "verbatim" if not k else "reparameterised" for i in range(3) for k in range(3)}
+
+
 def test_decontamination_index_loses_nothing():
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 30))) for _ in range(60)]

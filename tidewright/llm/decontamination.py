@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders; what they stood for is kept
 five template words are hash-joined: an item can only reach the share of windows asked for when one of its
 rarest windows occurs, so those alone are looked up (a prefix filter, which loses nothing) and a
 candidate is then compared in full. A match must lie in one place of the document, and the slots must be
-replaced consistently: the same value of the item always by the same value of the document.
+replaced consistently: the same value of the item always by the same value of the document. A capitalised word
+that begins a sentence is compared both as itself and as a name.
 """
 
 from __future__ import annotations
@@ -43,72 +44,125 @@ def _is_name(token: str) -> bool:
     return len(token) > 1 and token[0] != token[0].lower() and token[1:] == token[1:].lower()
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """Template words and the values they stand for, in lower case.
+def template_forms(text: str, fold: bool = False) -> tuple[list[str], list[str], list[int]]:
+    """Template words, the values they stand for in lower case, and the places of open words.
 
-    A name is a word of a capital and small letters that does not begin a sentence; a sentence begins after
-    a stop, a colon or a line end. Signs of money and per cent, and unit words behind a number, are units.
+    A name is a word of a capital and small letters; a sentence begins after a stop, a colon or a line end.
+    Where such a word begins a sentence it can be a name or not: it is given as its own word and is open.
+    Signs of money and per cent, and unit words behind a number, are units. With `fold` a run of names
+    within a sentence is one name, an open word before it included.
     """
     words: list[str] = []
     values: list[str] = []
-    begin, number = True, False
+    opened: list[int] = []
+    begin, number, run = True, False, False
     for token in _TOKENS.findall(text):
         if token in _ENDS:
-            begin, number = True, False
+            begin, number, run = True, False, False
             continue
         low = token.lower()
+        name = False
         if token[0].isdigit():
             kind, number = NUMBER, True
         elif token in _MONEY or number and low in UNITS:
             kind, number = UNIT, False
         else:
-            kind = NAME if not begin and _is_name(token) else low
+            name = _is_name(token)
+            kind = NAME if not begin and name else low
             number = False
-        begin = False
+        if fold and name and run:
+            if opened and opened[-1] == len(words) - 1:
+                opened.pop()
+            words[-1] = NAME
+            values[-1] += f" {low}"
+            continue
+        if name and begin:
+            opened.append(len(words))
+        begin, run = False, name
         words.append(kind)
         values.append(low)
+    return words, values, opened
+
+
+def template(text: str) -> tuple[list[str], list[str]]:
+    """Template words and the values they stand for; open words are given as themselves."""
+    words, values, _ = template_forms(text)
     return words, values
 
 
+def _readings(words: list[str] | tuple[str, ...], i: int, width: int, opened: set[int]) -> list[tuple[str, ...]]:
+    """The window at `i` with each open word as itself and as a name."""
+    forms = [tuple(words[i : i + width])]
+    for k in range(i, i + width):
+        if k in opened:
+            forms += [(*f[: k - i], NAME, *f[k - i + 1 :]) for f in forms]
+    return forms
+
+
+def all_windows(words: list[str], opened: list[int], width: int) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """Place and content of each window, in all readings of its open words."""
+    yield from enumerate(zip(*[words[k:] for k in range(width)]))
+    if opened:
+        marks, last = set(opened), len(words) - width
+        for i in {i for p in opened for i in range(max(0, p - width + 1), min(p, last) + 1)}:
+            for form in _readings(words, i, width, marks)[1:]:
+                yield i, form
+
+
 @dataclass(frozen=True)
 class Item:
     item_id: int
     words: tuple[str, ...]
     values: tuple[str, ...]
-    capital: bool = False
+    opened: frozenset[int] = frozenset()
+    text: str = ""
+
+    @staticmethod
+    def of(item_id: int, text: str, fold: bool = False) -> Item:
+        words, values, opened = template_forms(text, fold)
+        return Item(item_id, tuple(words), tuple(values), frozenset(opened), text)
 
     @staticmethod
-    def of(item_id: int, text: str) -> Item:
-        words, values = template(text)
-        first = _TOKENS.search(text)
-        while first and first[0] in _ENDS:
-            first = _TOKENS.search(text, first.end())
-        return Item(item_id, tuple(words), tuple(values), bool(first) and _is_name(first[0]))
+    def both(item_id: int, text: str) -> list[Item]:
+        """The item with its names one by one and, where that differs, with runs of names as one."""
+        plain, folded = Item.of(item_id, text), Item.of(item_id, text, True)
+        return [plain] if folded.words == plain.words else [plain, folded]
 
     @property
     def width(self) -> int:
         return min(WINDOW, len(self.words))
 
+    @property
+    def telling(self) -> bool:
+        """Whether half of the words or more are fixed; else open words must be found as they are."""
+        fixed = sum(w not in (NUMBER, NAME, UNIT) and k not in self.opened for k, w in enumerate(self.words))
+        return 2 * fixed >= len(self.words)
+
     def windows(self) -> list[tuple[str, ...]]:
         return [self.words[i : i + self.width] for i in range(len(self.words) - self.width + 1)]
 
-    def inner_first(self) -> tuple[str, ...]:
-        """The first window as it looks inside a sentence, where the capital of its first word makes a name."""
-        return (NAME, *self.words[1 : self.width]) if self.capital else self.words[: self.width]
+    def readings(self, i: int) -> list[tuple[str, ...]]:
+        return _readings(self.words, i, self.width, self.opened)
 
 
 def anchors(items: list[Item], share: float = SHARE) -> dict[int, dict[tuple[str, ...], list[int]]]:
     """For each width, the windows to look up with the places of their items.
 
     Of n windows at most floor(n - share * n) can be missing, so one more than that, the rarest, hold a hit.
+    Each is filed in all readings of its open words.
     """
-    used = Counter(w for item in items for w in set(item.windows()))
+    used = Counter(w for item in items for w in {f for i in range(len(item.windows())) for f in item.readings(i)})
     index: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
     for place, item in enumerate(items):
         windows = item.windows()
         spare = len(windows) - _needed(len(windows), share)
-        for w in sorted(windows, key=lambda w: (used[w], sum(x in (NUMBER, NAME, UNIT) for x in w), w))[: spare + 1]:
-            for form in {w, item.inner_first()} if w == windows[0] else {w}:
+
+        def rank(i: int) -> tuple:
+            loose = sum(x in (NUMBER, NAME, UNIT) or i + k in item.opened for k, x in enumerate(windows[i]))
+            return max(used[f] for f in item.readings(i)), loose, windows[i]
+
+        for i in sorted(range(len(windows)), key=rank)[: spare + 1]:
+            for form in item.readings(i):
                 if place not in index[item.width][form][-1:]:
                     index[item.width][form].append(place)
     return {width: dict(found) for width, found in index.items()}
@@ -122,9 +176,10 @@ def _needed(windows: int, share: float) -> int:
 def compare(item: Item, words: list[str], values: list[str], at: dict[tuple[str, ...], list[int]]) -> tuple[float, float, int, int]:
     """Best share of windows found in one place, consistency of its slots, changed slots, and where it begins."""
     windows = item.windows()
-    places = sorted((p - i, i) for i, w in enumerate(windows) for p in at.get(w, ()))
-    if item.inner_first() != windows[0]:
-        places = sorted(places + [(p, 0) for p in at.get(item.inner_first(), ())])
+    places = sorted({(p - i, i) for i in range(len(windows)) for w in item.readings(i) for p in at.get(w, ())})
+    if item.opened and not item.telling:
+        same = lambda o, i: all(item.values[k] == values[k + o] for k in range(i, i + item.width) if k in item.opened)
+        places = [(o, i) for o, i in places if same(o, i)]
     best: tuple[int, int] = (0, 0)
     counts: Counter[int] = Counter()
     low = 0
@@ -144,8 +199,11 @@ def compare(item: Item, words: list[str], values: list[str], at: dict[tuple[str,
     slots: dict[int, str] = {}
     for i, offset in sorted(chosen.items()):
         for k in range(i, i + item.width):
-            if item.words[k] in (NUMBER, NAME):
+            if item.words[k] in (NUMBER, NAME) or k in item.opened:
                 slots.setdefault(k, values[k + offset])
+    # An open word that is never a name here and was never changed is an ordinary word and no slot.
+    names = {item.values[k] for k, v in slots.items() if k not in item.opened or item.values[k] != v}
+    slots = {k: v for k, v in slots.items() if item.values[k] in names}
     mapping: dict[str, Counter[str]] = defaultdict(Counter)
     for k, value in slots.items():
         mapping[item.values[k]][value] += 1
@@ -156,25 +214,31 @@ def compare(item: Item, words: list[str], values: list[str], at: dict[tuple[str,
 
 def find_items(text: str, items: list[Item], index: dict, share: float = SHARE, consistent: float = CONSISTENT) -> list[tuple]:
     """`(item_id, coverage, consistency, changed, start)` for each item that the text holds."""
-    words, values = template(text)
-    candidates: set[int] = set()
-    for width, found in index.items():
-        for window in zip(*[words[i:] for i in range(width)]):
-            if window in found:
-                candidates.update(found[window])
-    out = []
-    at: dict[int, dict[tuple[str, ...], list[int]]] = {}
-    for place in sorted(candidates):
-        item = items[place]
-        if item.width not in at:
-            spots: dict[tuple[str, ...], list[int]] = defaultdict(list)
-            for i, window in enumerate(zip(*[words[k:] for k in range(item.width)])):
-                spots[window].append(i)
-            at[item.width] = spots
-        coverage, agreement, changed, start = compare(item, words, values, at[item.width])
-        if coverage * len(item.windows()) >= _needed(len(item.windows()), share) - 1e-9 and agreement >= consistent:
-            out.append((item.item_id, coverage, agreement, changed, start))
-    return out
+    plain = template_forms(text)
+    opens = set(plain[2])
+    runs = any(w == NAME and (plain[0][k - 1] == NAME or k - 1 in opens) for k, w in enumerate(plain[0]) if k)
+    best: dict[tuple[int, str], tuple] = {}
+    for words, values, opened in [plain, template_forms(text, True)] if runs else [plain]:
+        candidates: set[int] = set()
+        for width, found in index.items():
+            for _, window in all_windows(words, opened, width):
+                if window in found:
+                    candidates.update(found[window])
+        at: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        for place in sorted(candidates):
+            item = items[place]
+            if item.width not in at:
+                spots: dict[tuple[str, ...], list[int]] = defaultdict(list)
+                for i, window in all_windows(words, opened, item.width):
+                    spots[window].append(i)
+                at[item.width] = spots
+            coverage, agreement, changed, start = compare(item, words, values, at[item.width])
+            if coverage * len(item.windows()) >= _needed(len(item.windows()), share) - 1e-9 and agreement >= consistent:
+                hit = (item.item_id, coverage, agreement, changed, start)
+                key = (item.item_id, item.text or " ".join(item.values))
+                if key not in best or (coverage, agreement, -changed) > (best[key][1], best[key][2], -best[key][3]):
+                    best[key] = hit
+    return list(best.values())
 
 
 def item_blocks(benchmark: DataFrame, share: float = SHARE, block_items: int = BLOCK_ITEMS) -> Iterator[Broadcast]:
@@ -186,9 +250,7 @@ def item_blocks(benchmark: DataFrame, share: float = SHARE, block_items: int = B
     for block in range(blocks):
         items = []
         for r in numbered.filter(F.col("block") == block).orderBy("doc_id", "text").collect():
-            item = Item.of(int(r["doc_id"]), r["text"])
-            if item.words:
-                items.append(item)
+            items += [item for item in Item.both(int(r["doc_id"]), r["text"]) if item.words]
         yield spark.sparkContext.broadcast((items, anchors(items, share)))
 
 
@@ -206,7 +268,7 @@ def contaminations(
     """One row for each document and item it holds: `doc_id, item_id, kind, coverage, consistency, changed, start`.
 
     `kind` is `verbatim` when no slot was changed, else `reparameterised`; `start` is the word where it
-    begins. Items with fewer than five words must occur as a whole; items without words, missing texts
+    begins (a run of names counts as one where only that finds the item). Items with fewer than five words must occur as a whole; items without words, missing texts
     and missing item ids match nothing. Repeated rows are reported once each; equal items under several ids each
     match; an empty table on either side gives an empty result. Documents never move: the items go to them
     in blocks of at most `block_items`, one pass over the documents for each block.
