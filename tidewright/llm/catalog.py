@@ -5,6 +5,9 @@ from . import (  # noqa: F401
     exact_dedup,
     hilbert,
     licences,
+    merkle,
+    negatives,
+    packing,
     piece_bpe,
     pseudo_lm,
     simhash,

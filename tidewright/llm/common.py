@@ -29,6 +29,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of a string's bytes, by the usual table."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    data = f"hex(encode({text}))"
+    parts = f"list_transform(range(1, length({data})::BIGINT, 2), lambda i: ('0x' || substr({data}, i, 2))::BIGINT)"
+    step = f"xor(c >> 8, ({table}::BIGINT[])[xor(c & 255, b) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {parts}), lambda c, b: {step}), 4294967295)"
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, text)` alone, so that other columns cannot clash; a missing text is empty."""
     return df.select(q(id_col).alias("doc_id"), F.coalesce(q(text_col).cast("string"), F.lit("")).alias("text"))
