@@ -17,7 +17,9 @@ from ..operators.evaluate import classification_metrics, detect_problem_type, re
 from ..operators.neighbors import knn_classify, knn_regress
 from ..operators.sampling import kfold, stratified_kfold, train_test_split, train_test_split_stratified
 from ..schema import TableError, q
+from .closed_form import LINEAR, gram_fold_scores
 from .learners import CLASSIFIERS, NEIGHBORS, REGRESSORS, feature_frame, fit, resolve
+from .parzen import Range, suggest
 
 PARALLEL_FITS = 4
 
@@ -144,34 +146,73 @@ def tune_grid(
         data.unpersist()
 
 
+def _trial_scores(
+    data: DataFrame, features: Sequence[str], target: str, algorithm: str, key, folds: int
+) -> Callable[[Sequence[dict[str, Any]]], list[list[float]]]:
+    """Scores every fold of a list of parameter sets; linear learners need the rows once for all sets together."""
+    if algorithm in LINEAR:
+        return gram_fold_scores(data, features, target, algorithm, folds)
+    return lambda trials: _fold_scores(data, features, target, algorithm, key, folds, trials)
+
+
+def _searched(
+    df: DataFrame, features: Sequence[str], target: str, algorithm: str, key, trials: int, folds: int, seed: int, seconds: float | None,
+    batch: int, draw: Callable[[list[tuple[dict[str, Any], float]]], dict[str, Any]],
+) -> dict[str, Any]:
+    """Draw and score parameter sets, `batch` at a time; a set whose fit fails scores lowest and the search goes on."""
+    data = _folded(df, features, target, algorithm, key, folds, seed)
+    started, done, scores = time.monotonic(), [], []
+    try:
+        score = _trial_scores(data, features, target, algorithm, key, folds)
+        while len(done) < trials and (not done or seconds is None or time.monotonic() - started < seconds):
+            drawn = [draw(done) for _ in range(min(batch, trials - len(done)))]
+            try:
+                found = score(drawn)
+            except Exception:  # one bad set must not end the search
+                found = [_tried(score, params, folds) for params in drawn]
+            scores += found
+            done += [(params, sum(f) / len(f)) for params, f in zip(drawn, found)]
+        return {**_best([d[0] for d in done], scores), "not_run": trials - len(done)}
+    finally:
+        data.unpersist()
+
+
+def _tried(score: Callable[[Sequence[dict[str, Any]]], list[list[float]]], params: dict[str, Any], folds: int) -> list[float]:
+    try:
+        return score([params])[0]
+    except Exception:
+        return [float("-inf")] * folds
+
+
 def tune_random(
     df: DataFrame, features: Sequence[str], target: str, algorithm: str, key, trials: int = 50, folds: int = 3,
-    seed: int = 42, seconds: float | None = None,
+    seed: int = 42, seconds: float | None = None, grid: dict[str, list[Any]] | None = None,
 ) -> dict[str, Any]:
     """Best of seeded draws from the ranges that the grid spans.
 
     All trials are run unless a time budget in `seconds` is given; `not_run` counts those it cut off.
     """
     rng = random.Random(seed)
-    grid = GRIDS.get(algorithm, {})
+    ranges = {name: Range.of(values) for name, values in (grid or GRIDS.get(algorithm, {})).items()}
+    draw = lambda done: {name: r.uniform(rng) for name, r in ranges.items()}
+    return _searched(df, features, target, algorithm, key, trials, folds, seed, seconds, PARALLEL_FITS, draw)
 
-    def draw(values: list[Any]) -> Any:
-        if not all(isinstance(v, (int, float)) for v in values):
-            return rng.choice(values)
-        if all(isinstance(v, int) for v in values):
-            return rng.randint(min(values), max(values))
-        return math.exp(rng.uniform(math.log(min(values)), math.log(max(values))))
 
-    data = _folded(df, features, target, algorithm, key, folds, seed)
-    started, drawn, scores = time.monotonic(), [], []
-    try:
-        while len(drawn) < trials and (not drawn or seconds is None or time.monotonic() - started < seconds):
-            batch = [{name: draw(values) for name, values in grid.items()} for _ in range(min(4, trials - len(drawn)))]
-            drawn += batch
-            scores += _fold_scores(data, features, target, algorithm, key, folds, batch)
-        return {**_best(drawn, scores), "not_run": trials - len(drawn)}
-    finally:
-        data.unpersist()
+def tune_parzen(
+    df: DataFrame, features: Sequence[str], target: str, algorithm: str, key, trials: int = 50, folds: int = 3,
+    seed: int = 42, seconds: float | None = None, grid: dict[str, list[Any]] | None = None, startup: int = 10, batch: int = 1,
+) -> dict[str, Any]:
+    """Best of trials drawn where good ones are dense and others are not.
+
+    The first `startup` trials are drawn uniformly; after that each parameter comes from the candidate with the largest
+    ratio of the density of the best tenth to that of the others (see `parzen.py`). With `batch` above one that
+    many trials are drawn before the next are scored, so that Spark can fit them together. All trials are run unless
+    a time budget in `seconds` is given; `not_run` counts those it cut off.
+    """
+    rng = random.Random(seed)
+    ranges = {name: Range.of(values) for name, values in (grid or GRIDS.get(algorithm, {})).items()}
+    draw = lambda done: suggest(ranges, done, rng, startup)
+    return _searched(df, features, target, algorithm, key, trials, folds, seed, seconds, batch, draw)
 
 
 def automl_select(

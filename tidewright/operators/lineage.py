@@ -8,6 +8,7 @@ from ..session import durable
 from .lookup import lookup_join, measure
 
 MAX_DEPTH = 10
+LEVELS_PER_CUT = 4
 
 
 def lineage_upsert(existing: DataFrame, new: DataFrame, key: str = "transformation_id", seq: str = "seq") -> DataFrame:
@@ -26,56 +27,57 @@ def edge_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("parent_id", "child_id").agg(F.min("created_at").alias("created_at"))
 
 
-def lineage_chain(transformations: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """`(root, transformation_id, level, cut)` of everything each root depends on, nearest level first.
+def _reach(
+    links: DataFrame, starts: DataFrame, max_depth: int | None, levels_per_cut: int = LEVELS_PER_CUT
+) -> DataFrame:
+    """`(root, node, level)` of all that each `root` leads to over `links` (`value`, `next`: an array of ids), the root at level 0.
 
-    `transformations` is `(transformation_id, dependencies)` with an array of ids, `roots` has
-    one column `root`. An id is expanded once for each root, at its nearest level. `cut` marks rows at
-    `max_depth` that have dependencies left. Each level is written: it feeds the result and the next level.
+    Several levels are one job: within it a node may be met again, and the nearest level is kept when the reached nodes are
+    written. The written table is the only one that is read again, and its last level leads on.
     """
-    nodes = transformations.select(F.col("transformation_id").alias("value"), "dependencies")
-    size = measure(nodes)
-    start = roots.select("root", F.col("root").alias("transformation_id")).distinct()
-    reached, seen, depth = start, None, 0
-    while True:
-        step = lookup_join(reached, nodes, "transformation_id", ["dependencies"], measured=size)
-        # Ids that are no transformation end the chain there.
-        level = durable(step.filter(F.col("dependencies").isNotNull()).withColumn("level", F.lit(depth)))
-        if seen is not None and level.isEmpty():
-            break
-        seen = level if seen is None else seen.union(level)
-        if depth == max_depth:
+    size = measure(links)
+    reached = durable(starts.select("root", F.col("root").alias("node")).distinct().withColumn("level", F.lit(0)))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        steps = levels_per_cut if max_depth is None else min(levels_per_cut, max_depth - depth)
+        level = reached.filter(F.col("level") == depth) if depth else reached
+        found = reached
+        for step in range(1, steps + 1):
+            linked = lookup_join(level.select("root", "node"), links, "node", ["next"], measured=size)
+            level = linked.select("root", F.explode("next").alias("node")).distinct().withColumn("level", F.lit(depth + step))
+            found = found.unionByName(level)
+        reached = durable(found.groupBy("root", "node").agg(F.min("level").alias("level")))
+        depth += steps
+        if reached.filter(F.col("level") == depth).isEmpty():
             break
-        depth += 1
-        following = level.select("root", F.explode("dependencies").alias("transformation_id")).distinct()
-        reached = following.join(seen.select("root", "transformation_id"), ["root", "transformation_id"], "left_anti")
-    left = (F.col("level") == max_depth) & (F.size("dependencies") > 0)
-    return seen.select("root", "transformation_id", "level", left.alias("cut"))
+    return reached
+
+
+def lineage_chain(transformations: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """`(root, transformation_id, level, cut)` of everything each root depends on, at its nearest level.
+
+    `transformations` is `(transformation_id, dependencies)` with an array of ids, `roots` has one column `root`. Ids that
+    are no transformation end the chain. `cut` marks rows at `max_depth` that have dependencies left.
+    """
+    nodes = transformations.select(F.col("transformation_id").alias("value"), F.col("dependencies").alias("next"))
+    reached = _reach(nodes, roots, max_depth)
+    known = nodes.select("value", F.size(F.coalesce("next", F.array())).alias("left"))
+    met = lookup_join(reached, known, "node", ["left"]).filter("left is not null")
+    left = (F.col("level") == max_depth) & (F.col("left") > 0)
+    return met.select("root", F.col("node").alias("transformation_id"), "level", left.alias("cut"))
 
 
 def lineage_cycle_check(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """`(parent_id, child_id, creates_cycle)`: would the edge let the child reach its parent?
 
-    Follows the ancestors of each candidate's parent level by level until the child is met; visited nodes are not
-    followed again. Nodes have few parents and many children, so this is the short way round.
+    Ancestors of each distinct parent are followed to the end, candidates with one parent together. Nodes have few parents and many children,
+    so this is the short way round.
     """
-    parents = edges.select(F.col("child_id").alias("node"), F.col("parent_id").alias("next")).distinct()
+    parents = edges.select(F.col("child_id").alias("value"), F.col("parent_id").alias("to")).distinct()
+    links = durable(parents.groupBy("value").agg(F.collect_list("to").alias("next")))
     todo = candidates.select("parent_id", "child_id").distinct()
-    seen = durable(todo.select("parent_id", "child_id", F.col("parent_id").alias("node")))
-    frontier = seen
-    hits = [frontier.filter(F.col("node") == F.col("child_id")).select("parent_id", "child_id")]
-    while True:
-        going = frontier.filter(F.col("node") != F.col("child_id"))
-        reached = going.join(parents, "node").select("parent_id", "child_id", F.col("next").alias("node")).distinct()
-        frontier = durable(reached.join(seen, ["parent_id", "child_id", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        hits.append(frontier.filter(F.col("node") == F.col("child_id")).select("parent_id", "child_id"))
-        seen = seen.union(frontier)
-    closed = hits[0]
-    for h in hits[1:]:
-        closed = closed.union(h)
-    closed = closed.distinct().withColumn("creates_cycle", F.lit(True))
+    reached = _reach(links, todo.select(F.col("parent_id").alias("root")), None)
+    closed = reached.select(F.col("root").alias("parent_id"), F.col("node").alias("child_id"), F.lit(True).alias("creates_cycle"))
     return todo.join(closed, ["parent_id", "child_id"], "left").na.fill(False, subset=["creates_cycle"])
 
 

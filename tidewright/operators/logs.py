@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as
 
 from ..schema import q
 from .lookup import lookup_join
-from .sequences import MICROS, in_sequence, micros, running_latest, trailing
+from .sequences import MICROS, Walk, in_sequence, micros, running_latest, trailing_sums, walk_in_ranges
 
 
 @dataclass(frozen=True)
@@ -79,8 +80,7 @@ def user_frequent_misses(
 
 def rate_limit_counts(log: DataFrame, key: str, ts: str, limits: Limits = Limits()) -> DataFrame:
     """Requests of the trailing minute, hour and day, this one included, and what is left."""
-    one = F.count("*")
-    counted = trailing(log, key, ts, {"minute_requests": (60, one), "hour_requests": (3600, one), "day_requests": (86400, one)})
+    counted = trailing_sums(log, key, ts, {"minute_requests": (60, None), "hour_requests": (3600, None), "day_requests": (86400, None)})
     left = {"minute": limits.per_minute, "hour": limits.per_hour, "day": limits.per_day}
     return counted.withColumns(
         {f"{k}_remaining": F.greatest(F.lit(v) - F.col(f"{k}_requests"), F.lit(0)) for k, v in left.items()}
@@ -89,7 +89,7 @@ def rate_limit_counts(log: DataFrame, key: str, ts: str, limits: Limits = Limits
 
 def cost_budget(log: DataFrame, key: str, ts: str, cost: str, seconds: float = 60, limits: Limits = Limits()) -> DataFrame:
     """Cost spent in the trailing span, what is left of the budget and whether it is exceeded."""
-    spent = trailing(log, key, ts, {"spent": (seconds, F.sum(q(cost)))})
+    spent = trailing_sums(log, key, ts, {"spent": (seconds, q(cost))})
     return spent.withColumns(
         {
             "remaining": F.greatest(F.lit(limits.cost_per_minute) - F.col("spent"), F.lit(0.0)),
@@ -98,17 +98,19 @@ def cost_budget(log: DataFrame, key: str, ts: str, cost: str, seconds: float = 6
     )
 
 
-class Admission:
+class Admission(Walk):
     """Limits of one key; keeps only admitted requests of the last day, so its size is bounded."""
 
-    def __init__(self, limits: Limits):
-        self.limits = limits
-        self.admitted: list[tuple[int, float]] = []
+    def __init__(self, limits: Limits, state: str | None = None, ts: str = "", cost: str = ""):
+        self.limits, self.ts, self.cost = limits, ts, cost
+        self.admitted: list[tuple[int, float]] = [tuple(a) for a in json.loads(state)] if state else []
+
+    def _forget(self, at: int) -> None:
+        if self.admitted and at - self.admitted[0][0] > 86400 * MICROS:
+            self.admitted = [(t, c) for t, c in self.admitted if at - t <= 86400 * MICROS]
 
     def admit(self, at: int, cost: float) -> tuple[bool, str]:
-        self.admitted = [(t, c) for t, c in self.admitted if at - t <= 86400 * MICROS] if (
-            self.admitted and at - self.admitted[0][0] > 86400 * MICROS
-        ) else self.admitted
+        self._forget(at)
         minute = hour = 0
         spent = 0.0
         for t, c in reversed(self.admitted):
@@ -125,33 +127,29 @@ class Admission:
         self.admitted.append((at, cost))
         return True, "ok"
 
+    def rows(self, rows: pd.DataFrame) -> dict[str, list]:
+        verdicts = [self.admit(at, float(c)) for at, c in zip(micros(rows[self.ts]), rows[self.cost].tolist())]
+        return {"allowed": [v for v, _ in verdicts], "reason": [r for _, r in verdicts]}
 
-def admit_requests(log: DataFrame, key: str, ts: str, cost: str, limits: Limits = Limits(), order: Sequence[str] = ()) -> DataFrame:
-    """Add `allowed` and `reason`; refused requests do not count against the limits.
-
-    Every decision depends on the ones before, so a key is walked in order with bounded state.
-    """
-    schema = T.StructType([*log.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("reason", T.StringType())])
+    def state(self) -> str:
+        return json.dumps(self.admitted)
 
-    def make_step():
-        current: dict = {"key": None, "gate": None}
 
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            verdicts = []
-            for k, at, price in zip(rows[key].tolist(), micros(rows[ts]), rows[cost].tolist()):
-                if current["gate"] is None or current["key"] != k:
-                    current.update(key=k, gate=Admission(limits))
-                verdicts.append(current["gate"].admit(at, float(price)))
-            return rows.assign(allowed=[v for v, _ in verdicts], reason=[r for _, r in verdicts])
-
-        return step
+def admit_requests(
+    log: DataFrame, key: str, ts: str, cost: str, limits: Limits = Limits(), order: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
+    """Add `allowed` and `reason`; refused requests do not count against the limits.
 
-    return in_sequence(log, [key], [ts, *order], make_step, schema)
+    Every decision depends on the ones before. A key of any size is walked in ranges at the same time; ranges that
+    began with other admitted requests than assumed are walked again.
+    """
+    made = [T.StructField("allowed", T.BooleanType()), T.StructField("reason", T.StringType())]
+    return walk_in_ranges(log, key, [ts, *order], lambda state: Admission(limits, state, ts, cost), made, ranges)
 
 
 def brute_force_alert(log: DataFrame, key: str, ts: str, seconds: float = 900, more_than: int = 10) -> DataFrame:
     """Failures whose key had more than the allowed number in the trailing span."""
-    counted = trailing(log, key, ts, {"recent_failures": (seconds, F.count("*"))}, include_edge=False)
+    counted = trailing_sums(log, key, ts, {"recent_failures": (seconds, None)}, include_edge=False)
     return counted.filter(F.col("recent_failures") > more_than)
 
 
@@ -163,7 +161,7 @@ def replay_dedup(log: DataFrame, key: str, ts: str, seconds: float = 300, order:
     """
     span = int(seconds * MICROS)
     day = F.floor(F.unix_micros(q(ts)) / (86400 * MICROS))
-    counted = trailing(log, key, ts, {"__near": (seconds, F.count("*"))})
+    counted = trailing_sums(log, key, ts, {"__near": (seconds, None)})
     begin = F.when(F.col("__near") == 1, F.unix_micros(q(ts)))
     pieces = running_latest(counted, key, [ts, *order], begin, day, "__piece").drop("__near")
     schema = T.StructType([*log.schema.fields, T.StructField("accepted", T.BooleanType())])

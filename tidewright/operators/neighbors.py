@@ -1,82 +1,256 @@
-"""Exact nearest neighbours without a join of all pairs.
+"""Exact nearest neighbours by pivots, without a join of all pairs.
 
-Both sides are cut into blocks of bounded size. A task compares one block of queries with one
-block of candidates in numpy and returns k rows per query; the best k over all blocks follow.
+Rows are filed in the cell of the nearest pivot. A query first meets one part of its own cell, which bounds how far its
+neighbours can be; after that it is sent only to cells that can hold a nearer row by the triangle inequality. Both times a
+task compares bounded blocks in numpy.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 
 from ..functions.hashing import row_hash
 from ..schema import q
+from ..session import durable
+from .lookup import lookup_join
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 20_000  # rows of a cell that are compared at once
+MOST_PIVOTS = 1_024
+SAMPLE = 8  # sampled rows per pivot
 CHUNK = 256
+SLACK = 1e-9
+
+
+def _spread_pivots(points: np.ndarray, wanted: int) -> np.ndarray:
+    """Means of `wanted` clusters of the sample, in random order; fewer if it holds fewer different rows."""
+    rng = np.random.default_rng(42)
+    points = np.unique(points, axis=0)
+    centres = points[rng.permutation(len(points))[:wanted]]
+    for _ in range(5):
+        near = np.concatenate([_distances(points[i : i + CHUNK], centres).argmin(axis=1) for i in range(0, len(points), CHUNK)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, points)
+        counts = np.bincount(near, minlength=len(centres))[:, None]
+        centres = np.where(counts > 0, sums / np.maximum(counts, 1), centres)
+    return centres
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of `a` to all rows of `b`, to rounding."""
+    square = np.sum(a * a, axis=1)[:, None] + np.sum(b * b, axis=1)[None, :] - 2 * a @ b.T
+    return np.sqrt(np.maximum(square, 0.0))
+
 
+def _stack(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def _closest(base: np.ndarray, ids: np.ndarray, point: np.ndarray, near: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
+
+def _closest(base: np.ndarray, ids: np.ndarray, point: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Exact distances of the candidates in `near`, the k best by distance and id."""
-    if own is not None:
-        near = near[ids[near] != own]
     exact = np.sqrt(np.sum(np.square(base[near] - point), axis=1))
     best = np.lexsort((ids[near], exact))[:k]
     return near[best], exact[best]
 
 
-def nearest(
-    train: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, exclude_self: bool = False,
-    by: str | None = None, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """`(query, neighbor, distance, position)` of the k closest rows (of the same `by`, if given).
+@dataclass
+class Cells:
+    """What is known of the cells: at a level the first 2^level pivots are used.
 
-    Vectors are arrays of numbers. Ties go to the smaller key.
+    `radius[level, p]` bounds the distance of the rows of any group in the cell to its pivot, and `blocks[level, p]` is the
+    number of parts that its rows are cut into, by the largest group.
     """
-    spark = train.sparkSession
-    n_train, n_query = train.count(), queries.count()
-    lanes = max(1, spark.sparkContext.defaultParallelism)
-    train_blocks = max(1, -(-n_train // block_rows))
-    query_blocks = max(1, -(-n_query // min(block_rows, max(1, -(-n_query // lanes)))))
-    group = q(by) if by else F.lit(0)
-
-    def cut(df: DataFrame, blocks: int, others: int, own: str, other: str) -> DataFrame:
-        chosen = df.select(q(key).alias("id"), q(vector).cast("array<double>").alias("x"), group.alias("g"))
-        placed = chosen.withColumn(own, F.pmod(row_hash(F.col("id")), F.lit(blocks)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    left = cut(queries, query_blocks, train_blocks, "qb", "tb")
-    right = cut(train, train_blocks, query_blocks, "tb", "qb")
-    take = k
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    blocks: np.ndarray
+    between: np.ndarray  # distances of the pivots
+
+    def borders(self, point: np.ndarray, level: int, limit: float) -> list[int]:
+        """Cells that can hold a row within `limit` of the point.
+
+        The rows of a cell lie within its radius, and nearer to its pivot than to the one the point is nearest to.
+        """
+        used = 1 << level
+        away = np.sqrt(np.sum(np.square(self.pivots[:used] - point), axis=1))
+        slack = SLACK * (away + 1)
+        own = int(away.argmin())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beyond = (away * away - away[own] * away[own]) / (2 * self.between[own, :used])
+        beyond[own] = 0.0
+        open_ = (self.radius[level, :used] >= 0) & (away - self.radius[level, :used] <= limit + slack) & ~(beyond > limit + slack)
+        return np.flatnonzero(open_).tolist()
+
+
+def _placed(rows: DataFrame, pivots: Broadcast) -> DataFrame:
+    """Add `p`, the nearest of the pivots of the row's level, and `away`, the distance to it."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = pivots.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, levels = _stack(batch.column("x")), batch.column("level").to_numpy(zero_copy_only=False)
+            cell, away = np.zeros(len(x), dtype=np.int32), np.zeros(len(x))
+            for level in np.unique(levels):
+                for rows_ in np.array_split(np.flatnonzero(levels == level), max(1, np.count_nonzero(levels == level) // CHUNK)):
+                    found = _distances(x[rows_], centres[: 1 << level]).argmin(axis=1)
+                    cell[rows_] = found
+                    away[rows_] = np.sqrt(np.sum(np.square(x[rows_] - centres[found]), axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=[*batch.schema.names, "p", "away"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("p", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    return rows.mapInArrow(place, schema)
+
+
+def _compared(asked: DataFrame, rows: DataFrame, k: int, kind: T.DataType) -> DataFrame:
+    """`(rep, neighbor, distance)`: the k best of each cell part for the queries `rep, g, p, part, x, limit` sent there.
+
+    Queries of a part are cut into lanes of bounded size, and the part goes to each of them.
+    """
+    lanes = asked.groupBy("g", "p", "part").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_ROWS)
+    lanes = lanes.select("g", "p", "part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("lanes"))
+    few = durable(lanes)  # parts with many queries: at most one for every BLOCK_ROWS rows
+    count = F.coalesce(F.col("lanes"), F.lit(1))
+    left = asked.join(few, ["g", "p", "part"], "left").withColumn("lane", F.pmod(F.xxhash64("rep"), count).cast("int")).drop("lanes")
+    right = rows.join(few, ["g", "p", "part"], "left").withColumn("lane", F.explode(F.sequence(F.lit(0), count - 1))).drop("lanes")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query": [], "neighbor": [], "distance": []})
+            return pd.DataFrame(columns=["rep", "neighbor", "distance"], dtype=object)
         points, base = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        ids, asked = b["id"].to_numpy(), a["id"].to_numpy()
+        ids, asked_, limits = b["id"].to_numpy(), a["rep"].to_numpy(), a["limit"].to_numpy()
         squares = np.sum(base * base, axis=1)
-        wanted = min(len(ids), take + 1)
+        wanted = min(len(ids), k)
         out: list[tuple] = []
         for start in range(0, len(points), CHUNK):
             block = points[start : start + CHUNK]
             own_squares = np.sum(block * block, axis=1)[:, None]
             rough = own_squares + squares[None, :] - 2 * block @ base.T
             edge = np.partition(rough, wanted - 1, axis=1)[:, wanted - 1]
+            edge = np.minimum(edge, np.square(limits[start : start + CHUNK]))
             # The rough form loses digits, so everything near its edge is measured exactly.
-            slack = 1e-9 * (own_squares[:, 0] + squares.max() + 1)
+            slack = SLACK * (own_squares[:, 0] + squares.max() + 1)
             for i in range(len(block)):
                 near = np.flatnonzero(rough[i] <= edge[i] + slack[i])
-                own = asked[start + i] if exclude_self else None
-                found, exact = _closest(base, ids, block[i], near, take, own)
-                out += [(asked[start + i], ids[j], d) for j, d in zip(found, exact)]
-        return pd.DataFrame(out, columns=["query", "neighbor", "distance"])
-
-    kind = train.schema[key].dataType
-    schema = T.StructType([T.StructField("query", kind), T.StructField("neighbor", kind), T.StructField("distance", T.DoubleType())])
-    parts = left.groupBy("qb", "tb", "g").cogroup(right.groupBy("qb", "tb", "g")).applyInPandas(compare, schema)
-    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbor"))
-    return parts.withColumn("position", rank).filter(F.col("position") <= k)
+                found, exact = _closest(base, ids, block[i], near, k)
+                out += [(asked_[start + i], ids[j], d) for j, d in zip(found, exact)]
+        return pd.DataFrame(out, columns=["rep", "neighbor", "distance"])
+
+    keys = ["g", "p", "part", "lane"]
+    schema = T.StructType([T.StructField("rep", T.StringType()), T.StructField("neighbor", kind), T.StructField("distance", T.DoubleType())])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("rep").orderBy("distance", "neighbor"))
+    return found.withColumn("position", rank).filter(F.col("position") <= k)
+
+
+def border_routes(asked: DataFrame, cells: Broadcast) -> DataFrame:
+    """The cell parts that queries `rep, g, level, x, p, part, limit` still have to see; their first one is left out."""
+    kinds = asked.schema
+    schema = T.StructType([kinds[c] for c in ("rep", "g", "p", "part", "x", "limit")])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = cells.value
+        for batch in batches:
+            x = _stack(batch.column("x")) if batch.num_rows else np.zeros((0, 0))
+            rows, cell, part = [], [], []
+            columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("level", "limit", "p", "part"))
+            for i, (level, limit, own, seen) in enumerate(zip(*columns)):
+                for p in known.borders(x[i], int(level), limit):
+                    for b in range(known.blocks[level, p]):
+                        if p != own or b != seen:
+                            rows.append(i)
+                            cell.append(p)
+                            part.append(b)
+            taken = pa.array(rows, pa.int64())
+            held = {c: batch.column(c).take(taken) for c in ("rep", "g", "x", "limit")}
+            yield pa.RecordBatch.from_arrays(
+                [held["rep"], held["g"], pa.array(cell, pa.int32()), pa.array(part, pa.int32()), held["x"], held["limit"]], names=schema.names
+            )
+
+    return asked.mapInArrow(route, schema)
+
+
+def nearest(
+    train: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, exclude_self: bool = False,
+    by: str | None = None, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """`(query, neighbor, distance, position)` of the k closest rows (of the same `by`, if given).
+
+    Vectors are arrays of numbers of one length; rows without one take no part. Ties go to the smaller key, and keys are unique in `train`.
+    Equal query vectors are searched once, and of equal rows only the few with the smallest keys are compared.
+    """
+    spark, kind = train.sparkSession, train.schema[key].dataType
+    wanted = k + 1 if exclude_self else k
+    group = F.coalesce(F.concat(F.lit("="), q(by).cast("string")), F.lit("")) if by else F.lit("")
+
+    def plain(df: DataFrame) -> DataFrame:
+        chosen = df.select(q(key).alias("id"), q(vector).cast("array<double>").alias("x"), group.alias("g")).filter("x is not null")
+        return chosen.withColumn("rep", F.sha2(F.concat_ws(",", "g", F.col("x").cast("array<string>")), 256))
+
+    # Of equal rows no more than `wanted` can be among the nearest: Spark drops the others before they are shuffled.
+    least = F.row_number().over(W.partitionBy("rep").orderBy("id"))
+    rows = durable(plain(train).withColumn("__r", least).filter(F.col("__r") <= wanted).drop("__r", "rep"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0]
+    schema = T.StructType(
+        [T.StructField("query", queries.schema[key].dataType), T.StructField("neighbor", kind), T.StructField("distance", T.DoubleType()), T.StructField("position", T.IntegerType())]
+    )
+    if not most:
+        return spark.createDataFrame([], schema)
+    top = max(0, math.floor(math.log2(min(MOST_PIVOTS, math.sqrt(most)))))
+    # At most SAMPLE * MOST_PIVOTS rows.
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE << top).select("x").toArrow().column("x").combine_chunks()
+    pivots = _spread_pivots(_stack(sample), 1 << top)
+    top = min(top, len(pivots).bit_length() - 1)
+    centres = spark.sparkContext.broadcast(pivots)
+
+    # A group uses about as many pivots as the root of its size.
+    level = F.least(F.lit(top), F.floor(F.log2(F.sqrt(F.col("n").cast("double"))))).cast("int").alias("level")
+    levels = sizes.select("g", level)
+
+    def levelled(df: DataFrame) -> DataFrame:
+        if by is None:
+            return df.withColumn("level", F.lit(top))
+        return lookup_join(df, levels, "g", ["level"], map_key="g").filter("level is not null")
+
+    placed = durable(_placed(levelled(rows), centres))
+    held = placed.groupBy("level", "g", "p").agg(F.count("*").alias("n"), F.max("away").alias("r"))
+    # One row per level and pivot.
+    radius, blocks = np.full((top + 1, len(pivots)), -1.0), np.zeros((top + 1, len(pivots)), dtype=np.int64)
+    for r in held.groupBy("level", "p").agg(F.max("n").alias("n"), F.max("r").alias("r")).collect():
+        radius[r["level"], r["p"]] = r["r"] * (1 + SLACK)
+        blocks[r["level"], r["p"]] = -(-r["n"] // block_rows)
+    cells = spark.sparkContext.broadcast(Cells(pivots, radius, blocks, _distances(pivots, pivots)))
+    parts = F.array(*[F.array(*[F.lit(int(b)) for b in line]) for line in np.maximum(blocks, 1)])
+    # Blocks of one part in most cells; written as an array literal of at most (top + 1) * pivots numbers.
+    of_cell = F.element_at(F.element_at(parts, F.col("level") + 1), F.col("p") + 1)
+    filed = placed.withColumn("part", F.pmod(F.xxhash64("id"), of_cell).cast("int")).select("id", "g", "p", "part", "x")
+
+    asked = plain(queries)
+    unique = levelled(asked.groupBy("rep").agg(F.first("g").alias("g"), F.first("x").alias("x")))
+    unique = durable(_placed(unique, centres).withColumn("part", F.pmod(F.xxhash64("rep"), of_cell).cast("int")).drop("away"))
+    first = durable(_compared(unique.withColumn("limit", F.lit(float("inf"))), filed, wanted, kind))
+    limits = first.groupBy("rep").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+    limit = F.when(F.col("n") >= wanted, F.col("far")).otherwise(F.lit(float("inf")))
+    bound = unique.join(limits, "rep", "left").withColumn("limit", limit).drop("n", "far")
+    second = _compared(border_routes(bound, cells), filed, wanted, kind)
+    best = _best(first.unionByName(second), wanted)
+    listed = best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))).alias("found"))
+    answered = lookup_join(asked.select("id", "rep"), listed, "rep", ["found"], map_key="rep").filter("found is not null")
+    others = F.filter("found", lambda n: n["neighbor"] != F.col("id")) if exclude_self else F.col("found")
+    cut = answered.select(F.col("id").alias("query"), F.posexplode(F.slice(others, 1, k)).alias("__at", "__n"))
+    return cut.select("query", F.col("__n.neighbor").alias("neighbor"), F.col("__n.distance").alias("distance"), (F.col("__at") + 1).alias("position"))
 
 
 def knn_classify(

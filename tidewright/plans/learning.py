@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..modeling import learners, training
-from ..operators import evaluate, explain, neighbors, reduce
+from ..operators import evaluate, explain, neighbors, reduce, trees
 from ..operators.sampling import train_test_split, train_test_split_stratified
 from ..session import scratch_path, spread
 from ..sources import table
@@ -336,10 +339,36 @@ def automl_lines_query(spark, sf):
     return rounded(spark.createDataFrame(rows, "algorithm string, cv_score double, cv_std double, r2_score double, best boolean"), "cv_score", "cv_std", "r2_score")
 
 
-@query("tune_random")
+PENALTIES = [0.01, 1_000_000.0]
+
+
+def _drawn(count: int) -> list[float]:
+    """Penalties as a seeded search draws them, evenly by their logarithm."""
+    rng = random.Random(42)
+    return [math.exp(rng.uniform(math.log(PENALTIES[0]), math.log(PENALTIES[1]))) for _ in range(count)]
+
+
+@query(
+    "tune_random",
+    f"""WITH {RIDGE_FOLDS}, p AS (SELECT unnest({_drawn(50)})::DOUBLE AS alpha), {_ridge_scores('o', 'f3')}, g AS (SELECT alpha, avg(r2) AS score FROM r GROUP BY 1)
+    SELECT round(alpha, 6) AS alpha, round(score, 6) AS score FROM g""",
+)
 def tune_random_query(spark, sf):
-    data = labelled_texts(spark, sf)
-    return _trials(spark, training.tune_random(data, TEXT_FEATURES, "toxic", "logistic_regression", "doc_id", trials=10))
+    found = training.tune_random(_priced(spark, sf), ["customer"], "price", "ridge_regression", "o_orderkey", grid={"alpha": PENALTIES})
+    rows = [(t["params"]["alpha"], float(t["score"])) for t in found["trials"]]
+    return rounded(spark.createDataFrame(rows, "alpha double, score double"), "alpha", "score")
+
+
+# What the search should come near: the best penalty of a fine grid over the whole range.
+@query(
+    "tune_parzen",
+    f"""WITH {RIDGE_FOLDS}, p AS (SELECT pow(10, -2 + 8.0 * i / 2000) AS alpha FROM range(0, 2001) t(i)), {_ridge_scores('o', 'f3')}, g AS (SELECT alpha, avg(r2) AS score FROM r GROUP BY 1)
+    SELECT 50 AS trials, 0 AS not_run, round(max(score), 5) AS score FROM g""",
+)
+def tune_parzen_query(spark, sf):
+    found = training.tune_parzen(_priced(spark, sf), ["customer"], "price", "ridge_regression", "o_orderkey", grid={"alpha": PENALTIES})
+    row = (len(found["trials"]), found["not_run"], float(found["score"]))
+    return rounded(spark.createDataFrame([row], "trials int, not_run int, score double"), "score", places=5)
 
 
 @query("automl_select")
@@ -551,6 +580,64 @@ def shap_sampling_query(spark, sf):
     return rounded(explain.shap_sampling(model, data, "o_orderkey", ORDER_FEATURES), "shap")
 
 
+CHARGE_FEATURES = ["bulk", "discount", "tax"]
+
+
+def _grown(depth: int) -> str:
+    """A regression tree of the table `x` (key, f, y) by least squared error: `a<depth>` has the node of each row, `nodes` the splits."""
+    steps = ["a0 AS (SELECT *, 1 AS node FROM x)"]
+    for d in range(depth):
+        steps.append(
+            f"""v{d} AS (SELECT node, k, f[k] AS value, count(*) AS n, sum(y) AS s FROM a{d}, range(1, 4) t(k) GROUP BY ALL),
+            w{d} AS (SELECT node, k, value + 0.5 AS t, sum(n) OVER u AS n, sum(s) OVER u AS s, sum(n) OVER (PARTITION BY node, k) AS nt, sum(s) OVER (PARTITION BY node, k) AS st
+              FROM v{d} WINDOW u AS (PARTITION BY node, k ORDER BY value)),
+            b{d} AS (SELECT node, max(nt) AS n, arg_max(k, s * s / n + (st - s) * (st - s) / (nt - n)) AS k, arg_max(t, s * s / n + (st - s) * (st - s) / (nt - n)) AS t FROM w{d} WHERE n < nt GROUP BY node),
+            a{d + 1} AS (SELECT key, f, y, 2 * a.node + CASE WHEN f[k] > t THEN 1 ELSE 0 END AS node FROM a{d} a JOIN b{d} b ON a.node = b.node)"""
+        )
+    steps.append("nodes AS (" + " UNION ALL ".join(f"SELECT * FROM b{d}" for d in range(depth)) + ")")
+    return ", ".join(steps)
+
+
+# All subsets of the features: known ones decide the way, at others a row is shared out as the training rows went.
+SUBSETS = f"""x AS (SELECT l_orderkey * 10 + l_linenumber AS key, [floor(l_quantity / 10), round(l_discount * 100), round(l_tax * 100)]::DOUBLE[] AS f, l_extendedprice * l_discount / 1000 AS y FROM lineitem),
+  {_grown(3)}, leaves AS (SELECT node, count(*) AS n, avg(y) AS value FROM a3 GROUP BY 1),
+  counts AS (SELECT node, n FROM nodes UNION ALL SELECT node, n FROM leaves),
+  way AS (SELECT l.node AS leaf, value, p.k, p.t, (l.node >> d) & 1 AS side, c.n / p.n AS share FROM leaves l, range(0, 3) r(d), nodes p, counts c WHERE p.node = l.node >> (d + 1) AND c.node = l.node >> d),
+  cells AS (SELECT DISTINCT f FROM x), sets AS (SELECT s FROM range(0, 8) r(s)),
+  reached AS (SELECT f, s, leaf, any_value(value) * product(CASE WHEN (s >> (k - 1)) & 1 = 0 THEN share WHEN (f[k] > t) = (side = 1) THEN 1 ELSE 0 END) AS part FROM cells, sets, way GROUP BY 1, 2, 3),
+  worth AS (SELECT f, s, sum(part) AS v FROM reached GROUP BY 1, 2),
+  phi AS (SELECT a.f, k, sum((b.v - a.v) * CASE WHEN bit_count(a.s) = 1 THEN 1 ELSE 2 END / 6) AS shap FROM worth a JOIN worth b ON a.f = b.f, range(1, 4) t(k)
+    WHERE (a.s >> (k - 1)) & 1 = 0 AND b.s = a.s + (1 << (k - 1)) GROUP BY 1, 2)"""
+
+
+def _charges(spark, sf):
+    data = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.floor(F.col("l_quantity") / 10).cast("double").alias("bulk"),
+        F.round(F.col("l_discount") * 100).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"),
+        (F.col("l_extendedprice") * F.col("l_discount") / 1000).alias("charge"),
+    )
+    return data, learners.fit(data, CHARGE_FEATURES, "charge", "decision_tree_regressor", max_depth=3)
+
+
+@query(
+    "shap_tree",
+    f"""WITH {SUBSETS} SELECT x.key AS line, ['bulk', 'discount', 'tax'][k] AS feature, round(shap, 6) + 0 AS shap FROM x JOIN phi ON x.f = phi.f""",
+)
+def shap_exact_query(spark, sf):
+    data, model = _charges(spark, sf)
+    return rounded(trees.shap_tree(model, data, "line", CHARGE_FEATURES), "shap")
+
+
+@query(
+    "shap_tree_importance",
+    f"""WITH {SUBSETS} SELECT ['bulk', 'discount', 'tax'][k] AS feature, round(avg(abs(shap)), 6) AS importance, round(abs(avg(shap)), 6) AS mean_value FROM x JOIN phi ON x.f = phi.f GROUP BY 1""",
+)
+def shap_importance_query(spark, sf):
+    data, model = _charges(spark, sf)
+    found = rounded(trees.shap_tree_importance(model, data, "line", CHARGE_FEATURES), "importance", "mean_value")
+    return found.withColumn("mean_value", F.abs("mean_value"))
+
+
 # The local fit of a linear model is the model, in units of each feature's deviation.
 @query(
     "lime_local_line",
