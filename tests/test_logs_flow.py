@@ -1,15 +1,16 @@
 import json
 import random
 
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tidewright.operators import lineage, logs, registry, userfn
 from tidewright.plans import flow
 from tidewright.schema import TableError
 from tidewright.session import scratch_path
 from tidewright.sources import append_dataset, scan_auto, scan_excel, scan_records, sink_csv, sink_excel, sink_parquet
-from tidewright.streaming import jobs
+from tidewright.streaming import jobs, timers
 
 
 def log_rows(seed, users=3, n=400):
@@ -80,6 +81,71 @@ def test_sessions_stream_equals_batch(spark):
     assert closed and set(closed) <= set(batch)
 
 
+def test_timed_streams_equal_batch_and_drop_late_rows(spark):
+    timers.timed(spark)
+    rows = log_rows(6, users=3, n=200)
+    folder = scratch_path(spark, "in")
+    ordered = sorted(rows)
+    for i in range(0, len(ordered), 70):  # rows come out of order inside a file
+        part = ordered[i : i + 70]
+        random.Random(i).shuffle(part)
+        as_log(spark, part).coalesce(1).write.mode("append").parquet(folder)
+    late = [(5, "u0", 1.0), (6, "u9", 1.0)]
+    as_log(spark, late).coalesce(1).write.mode("append").parquet(folder)
+    schema = as_log(spark, rows).schema
+    stream = jobs.file_stream(spark, folder, schema, files_per_batch=1)
+
+    found = jobs.run_closed(stream, "ts", lambda e: timers.timed_sessions(e, "user", "ts", 120, "10 minutes"))
+    names = ["user", "created_at", "last_update", "updates"]
+    batch = jobs.sessions(as_log(spark, rows), "user", "ts", "2 minutes")
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(map(tuple, batch.select(*names).collect()))
+
+    alerts = jobs.run_closed(stream, "ts", lambda e: timers.timed_brute_force(e, "user", "ts", 2, 15, "10 minutes"))
+    windows = jobs.brute_force_windows(as_log(spark, rows), "user", "ts", 2)
+    got = sorted(map(tuple, alerts.select("user", "start", "failures").collect()))
+    assert got and got == sorted(map(tuple, windows.select("user", "w.start", "failures").collect()))
+
+    totals = jobs.run_closed(stream, "ts", lambda e: jobs.incremental_stats(e, "ts", "cost", "1 hour", "10 minutes"))
+    plain = jobs.incremental_stats(as_log(spark, rows), "ts", "cost", "1 hour")
+    assert sorted(map(tuple, totals.select("bucket", "rows").collect())) == sorted(map(tuple, plain.select("bucket", "rows").collect()))
+
+
+def test_open_state_is_bounded():
+    """What a key keeps of a long log: sessions that may still grow, minutes of windows that are open."""
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.value = set(), None
+
+        def getValueState(self, *_):
+            return self
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, value: setattr(self, "value", value)
+        clear = lambda self: setattr(self, "value", None)
+        listTimers = lambda self: sorted(self.timers)
+        deleteTimer = lambda self, t: self.timers.discard(t)
+        registerTimer = lambda self, t: self.timers.add(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    key = T.StructField("user", T.StringType())
+    for step in (timers.OpenSessions("ts", 120_000_000, key), timers.MinuteRing("ts", 15, 0, key)):
+        handle, made, most = Handle(), 0, 0
+        step.init(handle)
+        for i in range(300):
+            at = pd.Timestamp(i * 300, unit="s")
+            list(step.handleInputRows(("u",), iter([pd.DataFrame({"ts": [at]})]), None))
+            for timer in sorted(t for t in handle.timers if t <= (i * 300 - 600) * 1000):
+                handle.timers.discard(timer)
+                made += sum(len(out) for out in step.handleExpiredTimer(("u",), Now((i * 300 - 600) * 1000), Now(timer)))
+            most = max(most, len(handle.value[0]))
+        assert made > 250 and most <= 8
+
+
 def test_lineage(spark):
     nodes = spark.createDataFrame([(1, []), (2, [1]), (3, [2, 1]), (4, [3, 99])], "transformation_id int, dependencies array<int>")
     roots = spark.createDataFrame([(4,)], "root int")

@@ -10,7 +10,7 @@ from ..operators import userfn
 from ..operators.logs import Limits
 from ..session import scratch_path
 from ..sources import table
-from ..streaming import jobs
+from ..streaming import jobs, timers
 from . import flow
 from .activity import ADMISSION
 from .inputs import GAPS, orders_with_gaps, rounded, stamp
@@ -157,7 +157,9 @@ def event_stream(spark, sf):
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_update, count(*) AS updates FROM s GROUP BY user_id, session""",
 )
 def sessions_query(spark, sf):
-    out = jobs.run_complete(jobs.sessions(event_stream(spark, sf), "user_id", "ts"))
+    timers.timed(spark)
+    stream = event_stream(spark, sf).select("user_id", "ts")
+    out = jobs.run_closed(stream, "ts", lambda e: timers.timed_sessions(e, "user_id", "ts", 3600))
     return out.withColumns({"created_at": stamp("created_at"), "last_update": stamp("last_update")})
 
 
@@ -166,7 +168,7 @@ def sessions_query(spark, sf):
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, count(*) AS rows, round(sum(value), 4) AS total FROM events GROUP BY 1""",
 )
 def stats_query(spark, sf):
-    out = jobs.run_complete(jobs.incremental_stats(event_stream(spark, sf), "ts", "value"))
+    out = jobs.run_closed(event_stream(spark, sf), "ts", lambda e: jobs.incremental_stats(e, "ts", "value"))
     out = out.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd")).drop("data_hash")
     return rounded(out, "total", places=4)
 
@@ -203,5 +205,6 @@ def replay_keys_query(spark, sf):
 )
 def brute_query(spark, sf):
     failures = event_stream(spark, sf).filter("event_type = 'error'").select("user_id", "ts")
-    out = jobs.run_complete(jobs.brute_force_windows(failures, "user_id", "ts", 1))
-    return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "failures")
+    timers.timed(spark)
+    out = jobs.run_closed(failures, "ts", lambda e: timers.timed_brute_force(e, "user_id", "ts", 1))
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "failures")

@@ -51,7 +51,7 @@ class OpenSessions(StatefulProcessor):
             held += [(t, t, 1) for t in micros(batch[self.ts])]
         merged: list[tuple[int, int, int]] = []
         for first, last, n in sorted(held):
-            if merged and first - merged[-1][1] < self.gap:
+            if merged and first - merged[-1][1] <= self.gap:
                 a, b, m = merged[-1]
                 merged[-1] = (a, max(b, last), m + n)
             else:
