@@ -384,27 +384,70 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     assert got == {(10 * i + k, i): "verbatim" if not k else "reparameterised" for i in range(3) for k in range(3)}
 
 
+def brute_items(text, items):
+    """Every item against every place of the text, plain and with folded names."""
+    want = set()
+    for read_ in (D.Text.of(text), D.Text.folded(text)):
+        for item in items if read_ else []:
+            share, agree, _, _ = D.compare(item, read_, set(range(-len(item.words), len(read_.low) + 1)))
+            if share >= D.SHARE - 1e-12 and agree >= D.CONSISTENT:
+                want.add(item.item_id)
+    return want
+
+
 def test_decontamination_index_loses_nothing():
     rnd = random.Random(4)
-    texts = [" ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 30))) for _ in range(60)]
-    items = [D.Item.of(i, t) for i, t in enumerate(texts)]
+    cast = ["Tom", "Anna Maria", "Peter", "USA"]
+    parts = [*WORDS, "5", "twelve", "miles", "km", "Tom", "Anna", "the", "."]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))) for _ in range(60)]
+    texts += [". ".join(f"{rnd.choice(cast)} {prose(9 * i + k, rnd.randint(2, 5))}" for k in range(4)) for i in range(30)]
+    items = [v for i, t in enumerate(texts) for v in D.Item.both(i, t) if v.words]
     index = D.anchors(items)
-    for k in range(40):
+    hits = 0
+    for k in range(120):
         chosen = rnd.sample(texts, 2)
         words = f"{prose(k, 10)} {chosen[0]} {prose(k + 99, 3)} {chosen[1]}".split()
         for _ in range(rnd.randint(0, 3)):
-            words[rnd.randrange(len(words))] = "changed"
+            words[rnd.randrange(len(words))] = rnd.choice(["changed", "Zoe", "Tom Smith", "7"])
         text = " ".join(words)
-        tokens, values = D.template(text)
-        want = set()
-        for item in items:
-            at = defaultdict(list)
-            for i in range(len(tokens) - item.width + 1):
-                at[tuple(tokens[i : i + item.width])].append(i)
-            share, agree, _, _ = D.compare(item, tokens, values, at)
-            if share >= D.SHARE - 1e-12 and agree >= D.CONSISTENT:
-                want.add(item.item_id)
-        assert {h[0] for h in D.find_items(text, items, index)} == want
+        text = rnd.choice([str, str, str.lower, str.upper, str.title])(text)
+        want = brute_items(text, items)
+        hits += len(want)
+        assert {h[0] for h in D.find_items(text, index)} == want
+    assert hits > 120
+
+
+FORMS = [
+    ("If Anna walks 12 miles and then Peter walks 30 miles, how many miles did Anna and Peter walk in all on that day?", None),
+    ("A train covers 60 miles in two hours. How many miles in one hour does the train cover on its way to Rome?",
+     "A train covers 90 km in three hours. How many km in one hour does the train cover on its way to Rome?"),
+    ("Tom O'Neil of the USA has five apples. Mary has three apples. How many apples do Tom O'Neil and Mary have together?",
+     "TOM O'BRIEN of the UK has 7 apples. LISA has twelve apples. How many apples do TOM O'BRIEN and LISA have together?"),
+    ("The NASA probe sent 14 pictures of Mars to Anna before it was lost behind the large grey moon.",
+     "The ESA probe sent 250 pictures of Venus to Zoe before it was lost behind the large grey moon."),
+]
+
+
+@pytest.mark.parametrize("number", range(len(FORMS)))
+def test_decontamination_in_any_case_and_with_number_words(number):
+    text, other = FORMS[number]
+    items = [v for i, (t, _) in enumerate(FORMS) for v in D.Item.both(i, t)]
+    index = D.anchors(items)
+    for k, case in enumerate((str, str.lower, str.upper, str.title, str.swapcase, str.capitalize)):
+        got = D.find_items(f"{prose(k, 30)}. {case(text)} {prose(k + 50, 30)}", index)
+        assert [h[0] for h in got] == [number] and (got[0][3] == 0 or case in (str.title, str.swapcase))
+    if other:
+        for case in (str, str.upper):
+            got = D.find_items(f"{prose(1, 30)}. {case(other)} {prose(2, 30)}", index)
+            assert [h[0] for h in got] == [number] and got[0][3] > 0
+    assert D.find_items(prose(7, 400), index) == []
+
+
+def test_decontamination_of_missing_ids(spark):
+    docs = spark.createDataFrame([(None, QUESTION), (None, QUESTION), (3, ""), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, QUESTION), (9, QUESTION)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in D.contaminations(docs, items).collect()] == [(None, 9)] * 2
+    assert [r["doc_id"] for r in D.drop_contaminated(docs, items).collect()] == [3, 3]
 
 
 def test_licence_families_and_unknown(spark, odd, empty):
