@@ -304,18 +304,46 @@ def brute_rules(rows):
     return {i: (hit[i], hit[i] / n[i]) for i in n if hit[i] >= least and hit[i] / n[i] >= 0.5 and hit[i] / n[i] / base >= 1.2}
 
 
-def test_mined_rules_of_four_and_more_tokens(spark):
-    """Four words block together; three of them do not, so no shorter rule stands for the long one."""
+def best_by_brute_force(marked):
+    """The confidence of the surest of all rules that fits each row."""
+    want = brute_rules([(r["tokens"], r["blocked"]) for r in marked if r["blocked"] is not None])
+    return {r["page_id"]: max((c for i, (_, c) in want.items() if set(i) <= set(r["tokens"])), default=None) for r in marked}
+
+
+def paths(words):
+    return [(i, f"http://h.org/{i}/{'-'.join(w)}", "") for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("most", [14, 0])
+def test_mined_rules_of_any_length_by_brute_force(spark, most):
+    """Four words block together and three do not; other rows share words by chance, and pages without a label have parts of them."""
+    rnd = random.Random(8)
     words = [["aa", "bb", "cc", "dd"]] * 10 + [list(w) for w in itertools.combinations(["aa", "bb", "cc", "dd"], 3)] * 12
-    pages = spark.createDataFrame([(i, f"http://h.org/{i}/{'-'.join(w)}", "") for i, w in enumerate(words)], "page_id long, url string, html string")
-    labels = spark.createDataFrame([(i, 1, int(len(w) == 4)) for i, w in enumerate(words)], "doc_id long, quality int, toxic int")
+    words += [sorted(rnd.sample(["ee", "ff", "gg", "hh", "ii", "aa"], rnd.randint(1, 5))) for _ in range(60)]
+    words += [["kk", "ll", "mm"]] * 6  # always together: any one of them is enough
+    blocked = [len(w) == 4 and w[0] == "aa" and w[-1] == "dd" or "ff" in w and "gg" in w and rnd.random() < 0.8 or w[0] == "kk" for w in words]
+    size = len(words)
+    words += [["kk"], ["ll", "aa"], ["mm", "nn"], ["ff", "gg"], ["ff"], ["gg", "ff", "ee"], []]
+    pages = spark.createDataFrame(paths(words), "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(blocked)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_rules.judge_urls(pages, labels, most_groups=most).collect()}
+    marked = pages.select("page_id", url_rules.url_tokens(F.col("url")).alias("tokens"))
+    marked = marked.withColumn("blocked", F.when(F.col("page_id") < size, F.element_at(F.array(*[F.lit(b) for b in [*blocked, *[False] * 7]]), F.col("page_id").cast("int") + 1)))
+    want = best_by_brute_force(marked.collect())
+    assert {i: r["confidence"] and round(r["confidence"], 9) for i, r in got.items()} == {i: c and round(c, 9) for i, c in want.items()}
+    assert {want[size + k] is not None for k in range(3)} == {True} and want[size + 4] is None
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_forty_shared_tokens(spark, nested):
+    """Ten of sixty rows share a long path; or every row has the beginning of one."""
+    long = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    words = [long[: 40 if i < 10 else 5 + i % 33] if nested else long if i < 10 else [f"x{chr(97 + i % 26)}"] for i in range(60)]
+    pages = spark.createDataFrame([*paths(words), (900, "http://h.org/900/" + long[39], ""), (901, "http://other.com/901", "")], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, 1, int(i < 10)) for i in range(60)], "doc_id long, quality int, toxic int")
     got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, labels).collect()}
-    assert got == {i: "block" if len(w) == 4 else "allow" for i, w in enumerate(words)}
-    marked = pages.select("page_id", url_rules.url_tokens(F.col("url")).alias("tokens")).withColumn("blocked", F.col("page_id") < 10)
-    want = brute_rules([(r["tokens"], r["blocked"]) for r in marked.collect()])
-    rules = url_rules.mine_rules(marked)
-    assert {r.tokens: r.support for r in rules} == {i: s for i, (s, _) in want.items()} and max(map(len, want)) == 8
-    assert all(abs(r.confidence - want[r.tokens][1]) < 1e-9 for r in rules)
+    assert got == {**{i: "block" if i < 10 else got[i] for i in range(60)}, 900: "block", 901: "allow"}
+    assert nested or all(got[i] == "allow" for i in range(10, 60))
 
 
 def test_toxicity_learns_folds_and_exempts(spark, empty, odd):

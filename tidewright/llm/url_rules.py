@@ -1,8 +1,10 @@
 """URL judgements: given host and path rules first, association rules mined from labels for the rest.
 
-Spark's FP-growth mines sets of URL tokens from the labelled rows. Rules that lead to `block` are pruned
-by support, confidence and lift, and found for a URL by an inverted index: each rule is
-filed under its rarest token, and only rules filed under a URL's own tokens are tried.
+Spark's FP-growth mines sets of URL tokens from the labelled rows. Tokens that the same labelled rows have are one group, of which a
+URL needs any one member: that says all that the sets of its members would say. Rules that lead to `block` are pruned
+by support, confidence and lift, and where a shorter rule is as sure; they are found for a URL by an inverted index: each rule is
+filed under its rarest group, and only rules filed under a URL's own groups are tried. Rows with very many groups have more sets than can
+be listed; there only sets are followed that no shorter one has the rows of.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 BLOCKED = "label=block"
 INDEX_RULES = 200_000  # rules that one index may hold; beyond it the support has to be raised
+MOST_GROUPS = 14  # groups in a row up to which all of their sets are listed
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -63,50 +66,118 @@ def url_tokens(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    tokens: tuple[str, ...]
+    groups: tuple[str, ...]
     confidence: float
     support: int
 
 
+@dataclass
+class Rules:
+    """Mined rules over groups of tokens; `group_of` names the group of each token that takes part."""
+
+    rules: list[Rule]
+    group_of: dict[str, str]
+
+
+def token_groups(rows: DataFrame, needed: float) -> DataFrame:
+    """`(token, grp)` from `(row, blocked, tokens)`: tokens with enough blocked rows, those of the same rows in one group.
+
+    Rows are told apart by sums of two hashes. Tokens that every row has say nothing and are left out.
+    """
+    total = rows.count()
+    cells = rows.select("row", "blocked", F.explode("tokens").alias("token"))
+    sums = [F.sum(F.xxhash64(F.col("row"), F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(2)]
+    marks = cells.groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("b"), *sums)
+    kept = marks.filter((F.col("b") >= needed) & (F.col("n") < total))
+    names = kept.groupBy("n", "s0", "s1").agg(F.min("token").alias("grp"), F.collect_list("token").alias("tokens"))
+    return names.select(F.explode("tokens").alias("token"), "grp")
+
+
+def _sets_by_growth(rows: DataFrame, needed: float, least: float) -> DataFrame:
+    """`(groups, support, confidence)` of all sets with enough blocked rows, by FP-growth."""
+    total = rows.count()
+    marked = rows.select(F.when(F.col("blocked"), F.concat("groups", F.array(F.lit(BLOCKED)))).otherwise(F.col("groups")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(needed / total - 1e-9, 0.0), minConfidence=least).fit(marked)
+    found = model.associationRules.filter((F.size("consequent") == 1) & F.array_contains("consequent", BLOCKED))
+    return found.select(F.array_sort("antecedent").alias("groups"), F.round(F.col("support") * total).cast("long").alias("support"), "confidence")
+
+
+def _sets_by_levels(rows: DataFrame, needed: float) -> DataFrame:
+    """The same without sets that have the rows of a smaller one, level by level: each is as sure as the smaller one.
+
+    All parts of a set that is kept are kept, so a level is built from pairs of the one before that differ in their last group.
+    """
+    level = durable(rows.select("row", "blocked", F.explode("groups").alias("g")).select("row", "blocked", F.array("g").alias("groups")))
+    counted = durable(level.groupBy("groups").agg(F.count("*").alias("n"), F.count_if("blocked").alias("support")))
+    found, size = counted, 1
+    while True:
+        head, last = F.slice("groups", 1, size - 1), F.element_at("groups", -1)
+        left = level.select("row", "blocked", "groups", head.alias("head"), last.alias("last"))
+        right = level.select(F.col("row").alias("r"), head.alias("h"), last.alias("l"))
+        pairs = left.join(right, (F.col("row") == F.col("r")) & (F.col("head") == F.col("h")) & (F.col("last") < F.col("l")))
+        pairs = pairs.select("row", "blocked", F.concat("groups", F.array("l")).alias("groups"))
+        sums = pairs.groupBy("groups").agg(F.count("*").alias("n"), F.count_if("blocked").alias("support")).filter(F.col("support") >= needed)
+        parts = sums.select("groups", "n", F.explode("groups").alias("out")).select("groups", "n", F.array_remove("groups", F.col("out")).alias("part"))
+        known = counted.select(F.col("groups").alias("part"), F.col("n").alias("m"))
+        own = parts.join(known, "part").filter(F.col("n") < F.col("m")).groupBy("groups").agg(F.count("*").alias("parts")).filter(F.col("parts") == size + 1)
+        counted = durable(sums.join(own.select("groups"), "groups"))
+        if counted.isEmpty():
+            break
+        level = durable(pairs.join(counted.select("groups"), "groups", "left_semi"))
+        found, size = found.unionByName(counted), size + 1
+    return found.select("groups", "support", (F.col("support") / F.col("n")).alias("confidence"))
+
+
 def mine_rules(
     labelled: DataFrame, tokens: str = "tokens", blocked: str = "blocked", min_share: float = 0.005, min_rows: int = 5,
-    min_confidence: float = 0.5, min_lift: float = 1.2, max_tokens: int | None = None,
-) -> list[Rule]:
+    min_confidence: float = 0.5, min_lift: float = 1.2, most_groups: int = MOST_GROUPS,
+) -> Rules:
     """Rules `tokens -> block` from all labelled rows; no labelled rows give no rules.
 
     A rule needs `min_rows` and `min_share` of the rows with its tokens and the label together, and the
-    confidence and lift given. Its number of tokens has no bound unless `max_tokens` is given.
+    confidence and lift given; its number of tokens has no bound. Rules that hold a rule which is as sure are left out: they decide nothing.
     """
-    items = durable(
-        labelled.select(
-            F.when(q(blocked), F.concat(q(tokens), F.array(F.lit(BLOCKED)))).otherwise(q(tokens)).alias("items")
-        )
-    )
-    rows = items.count()
-    hits = items.filter(F.array_contains("items", BLOCKED)).count()
-    needed = max(min_rows, min_share * rows)
-    if not rows or hits < needed:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=needed / rows - 1e-9, minConfidence=min_confidence).fit(items)
-    mined = model.associationRules.filter(
-        (F.size("consequent") == 1)
-        & F.array_contains("consequent", BLOCKED)
-        & (F.col("lift") >= min_lift)
+    rows = durable(labelled.select(q(tokens).alias("tokens"), q(blocked).alias("blocked")).withColumn("row", F.monotonically_increasing_id()))
+    total, hits = rows.agg(F.count("*"), F.count_if("blocked")).first()
+    needed = max(min_rows, min_share * total)
+    if not total or hits < needed:
+        return Rules([], {})
+    groups = durable(token_groups(rows, needed))
+    # Each row has few tokens, so few tokens can have a share of all rows.
+    group_of = {r["token"]: r["grp"] for r in groups.collect()}
+    cells = rows.select("row", "blocked", F.explode("tokens").alias("token")).join(groups, "token")
+    marked = durable(cells.groupBy("row", "blocked").agg(F.array_sort(F.collect_set("grp")).alias("groups")))
+    most = marked.agg(F.max(F.size("groups"))).first()[0] or 0
+    if not most:
+        return Rules([], {})
+    sets = _sets_by_growth(marked, needed, min_confidence) if most <= most_groups else _sets_by_levels(marked, needed)
+    sure = sets.filter(
+        (F.col("support") >= needed - 1e-9) & (F.col("confidence") >= min_confidence) & (F.col("confidence") / (hits / total) >= min_lift)
     )
-    if max_tokens is not None:
-        mined = mined.filter(F.size("antecedent") <= max_tokens)
-    found = mined.limit(INDEX_RULES + 1).collect()
+    found = sure.limit(INDEX_RULES + 1).collect()
     if len(found) > INDEX_RULES:
         raise ValueError(f"more than {INDEX_RULES} rules; raise min_share")
-    return [Rule(tuple(sorted(r["antecedent"])), r["confidence"], round(r["support"] * rows)) for r in found]
+    return Rules(shortest([Rule(tuple(r["groups"]), r["confidence"], r["support"]) for r in found]), group_of)
+
+
+def shortest(rules: Sequence[Rule]) -> list[Rule]:
+    """Rules of which no part is a rule that is as sure."""
+    kept: dict[str, list[Rule]] = defaultdict(list)
+    out = []
+    for rule in sorted(rules, key=lambda r: (len(r.groups), r.groups)):
+        own = set(rule.groups)
+        if not any(k.confidence >= rule.confidence and own.issuperset(k.groups) for g in rule.groups for k in kept.get(g, ())):
+            kept[rule.groups[0]].append(rule)
+            out.append(rule)
+    return out
 
 
 def rule_index(rules: Sequence[Rule]) -> dict[str, list[Rule]]:
-    """Each rule under that of its tokens which the fewest rules have."""
-    used = Counter(t for r in rules for t in r.tokens)
+    """Each rule under that of its groups which the fewest rules have."""
+    used = Counter(g for r in rules for g in r.groups)
     index: dict[str, list[Rule]] = defaultdict(list)
     for rule in rules:
-        index[min(rule.tokens, key=lambda t: (used[t], t))].append(rule)
+        index[min(rule.groups, key=lambda g: (used[g], g))].append(rule)
     return dict(index)
 
 
@@ -133,16 +204,17 @@ def judge_urls(
     )
     marks = marks.filter("number is not null").groupBy("number").agg(F.max("blocked").alias("blocked"))
     labelled = narrow.select("tokens", number.alias("number")).join(marks, "number")
-    index = rule_index(mine_rules(labelled, **mining))
-    shared = pages.sparkSession.sparkContext.broadcast(index)
+    mined_ = mine_rules(labelled, **mining)
+    # Bounded by INDEX_RULES rules over tokens that a share of the labelled rows have.
+    shared = pages.sparkSession.sparkContext.broadcast((mined_.group_of, rule_index(mined_.rules)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filed = shared.value
+        group_of, filed = shared.value
         for batch in batches:
             best = []
             for tokens in batch.column("tokens").to_pylist():
-                own = set(tokens)
-                fits = [r.confidence for t in tokens for r in filed.get(t, ()) if own.issuperset(r.tokens)]
+                own = {group_of[t] for t in tokens if t in group_of}
+                fits = [r.confidence for g in own for r in filed.get(g, ()) if own.issuperset(r.groups)]
                 best.append(max(fits) if fits else None)
             names = ["page_id", "host", "path"]
             yield pa.RecordBatch.from_arrays(
