@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewright.modeling import learners, parzen, training
 from tidewright.modeling.closed_form import gram_fold_scores
-from tidewright.operators import lineage, logs, neighbors, sequences, trees
+from tidewright.operators import lineage, logs, neighbors, reduce, sequences, trees
+from tidewright.session import scratch_path
+from tidewright.streaming import jobs
 
 FEATURES = ["a", "b", "c"]
 
@@ -266,25 +268,51 @@ def test_admission_over_ranges_equals_the_walk_in_order(spark, ranges):
     assert len({v for v in got.values()}) == 3
 
 
-def test_lineage_of_cycles_and_long_chains(spark):
-    deps = {i: [i - 1] for i in range(1, 30)} | {0: [], 40: [41, 2], 41: [42], 42: [40, 99], 50: None}
+@pytest.mark.parametrize("graph_rows, walked", [(10**6, 1 << 21), (10**6, 8), (0, 8)])
+def test_lineage_of_cycles_and_long_chains(spark, monkeypatch, graph_rows, walked):
+    monkeypatch.setattr(lineage, "WALKED", walked)
+    deps = {i: [i - 1, None] for i in range(1, 30)} | {0: [], 40: [41, 2], 41: [42], 42: [40, 99], 50: None}
     nodes = spark.createDataFrame(list(deps.items()), "transformation_id long, dependencies array<long>")
     roots = spark.createDataFrame([(29,), (40,), (0,), (77,)], "root long")
 
     def slow(root, depth):
         near, level = {root: 0}, [root]
         for d in range(1, depth + 1):
-            level = [n for i in level for n in deps.get(i) or [] if n not in near]
+            level = [n for i in level for n in deps.get(i) or [] if n is not None and n not in near]
             near.update(dict.fromkeys(level, d))
         return {n: d for n, d in near.items() if n in deps}
 
     for depth in (3, 10):
         got = {}
-        for r in lineage.lineage_chain(nodes, roots, depth).collect():
+        for r in lineage.lineage_chain(nodes, roots, depth, graph_rows).collect():
             got.setdefault(r["root"], {})[r["transformation_id"]] = r["level"]
-            assert r["cut"] == (r["level"] == depth and bool(deps[r["transformation_id"]]))
+            assert r["cut"] == (r["level"] == depth and any(d is not None for d in deps[r["transformation_id"]] or []))
         assert got == {r: slow(r, depth) for r in (29, 40, 0)}
-    edges = spark.createDataFrame([(a, b) for b, some in deps.items() for a in some or []], "parent_id long, child_id long")
-    asked = [(29, 0), (0, 29), (40, 42), (2, 40), (40, 2), (7, 7), (500, 501)]
-    found = {(r["parent_id"], r["child_id"]): r["creates_cycle"] for r in lineage.lineage_cycle_check(edges, spark.createDataFrame(asked, "parent_id long, child_id long")).collect()}
-    assert found == {(p, c): c in ({p} | set(slow(p, 100))) for p, c in asked}
+    edges = spark.createDataFrame([(a, b) for b, some in deps.items() for a in some or [] if a is not None], "parent_id long, child_id long")
+    asked = spark.createDataFrame([(29, 0), (0, 29), (40, 42), (2, 40), (40, 2), (7, 7), (500, 501)], "parent_id long, child_id long")
+    found = {(r["parent_id"], r["child_id"]): r["creates_cycle"] for r in lineage.lineage_cycle_check(edges, asked, graph_rows).collect()}
+    assert found == {(p, c): c in ({p} | set(slow(p, 100))) for p, c in map(tuple, asked.collect())}
+
+
+@pytest.mark.parametrize("fan_in", [16, 2])
+def test_incremental_components_equal_one_fit(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(reduce, "FAN_IN", fan_in)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 1e4
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, None)], "id long, v array<double>").repartition(7)
+    stored = reduce.StoredScatter(spark, scratch_path(spark, "scatter"))
+    for part in range(4):
+        held = stored.take(df.filter(F.col("id") % 4 == part), "v")
+    assert stored.take(df, "v", 2).rows == held.rows == 300 and stored.last()[0] == 3  # a batch that comes again counts once
+    assert stored.take(df.limit(0), "v").rows == 300
+    whole = reduce.fit_pca(df.filter("v is not null"), 3, "v")
+    again = stored.last()[1].components(3)
+    assert np.allclose(whole.loadings, again.loadings, atol=1e-6) and np.allclose(whole.variances, again.variances) and np.allclose(whole.means, again.means)
+
+    folder = scratch_path(spark, "in")
+    wide = spark.createDataFrame([(float(a), float(b)) for a, b in x[:, :2]], "a double, b double")
+    for part in wide.randomSplit([1.0] * 3, 1):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    got = jobs.scatter_stream(jobs.file_stream(spark, folder, wide.schema, 1), ["a", "b"], scratch_path(spark, "scatter")).components(2)
+    want = reduce.fit_pca(wide, 2, ["a", "b"])
+    assert np.allclose(got.loadings, want.loadings) and np.allclose(got.variances, want.variances)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import durable
-from .lookup import lookup_join, measure
+from .lookup import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join, measure
 
 MAX_DEPTH = 10
 LEVELS_PER_CUT = 4
+ROOTS = 2_048  # roots that are followed at once
+WALKED = 1 << 21  # ids that they may lead to together
 
 
 def lineage_upsert(existing: DataFrame, new: DataFrame, key: str = "transformation_id", seq: str = "seq") -> DataFrame:
@@ -27,47 +35,117 @@ def edge_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("parent_id", "child_id").agg(F.min("created_at").alias("created_at"))
 
 
+class _Graph:
+    """Links of a graph small enough to be everywhere: numbered ids, and the numbers that each leads to."""
+
+    def __init__(self, links: pa.Table):
+        lists = links.column("next").combine_chunks()
+        held = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        to = lists.flatten()
+        kept = to.is_valid().to_numpy(zero_copy_only=False)
+        values = links.column("value").to_pandas()
+        codes, ids = pd.factorize(pd.concat([values, to.drop_null().to_pandas()], ignore_index=True))
+        self.ids, self.kind = pd.Index(ids), lists.type.value_type
+        start, to_code = codes[: len(values)][held[kept]], codes[len(values) :]
+        order = np.lexsort((to_code, start))
+        self.to = to_code[order]
+        self.begin = np.searchsorted(start[order], np.arange(len(self.ids) + 1))
+        self.known = np.zeros(len(self.ids), dtype=bool)
+        self.known[codes[: len(values)]] = True
+
+    def walk(self, roots: np.ndarray, max_depth: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """`(place of the root, number of the id, level)` of all that the numbered roots lead to; few roots at a time where they lead far."""
+        size = len(self.ids)
+        seen = np.sort(np.arange(len(roots)) * size + roots)
+        found = [(np.arange(len(roots)), roots, np.zeros(len(roots), dtype=np.int32))]
+        place, node, depth = found[0][0], roots, 0
+        while len(node) and (max_depth is None or depth < max_depth):
+            depth += 1
+            count = self.begin[node + 1] - self.begin[node]
+            first = np.repeat(self.begin[node] - np.cumsum(count) + count, count)
+            keys = np.unique(np.repeat(place, count) * size + self.to[first + np.arange(len(first))])
+            at = np.minimum(np.searchsorted(seen, keys), len(seen) - 1)
+            keys = keys[seen[at] != keys]
+            if len(seen) + len(keys) > WALKED and len(roots) > 1:
+                half = len(roots) // 2
+                yield from self.walk(roots[:half], max_depth)
+                yield from ((p + half, n, level) for p, n, level in self.walk(roots[half:], max_depth))
+                return
+            seen = np.sort(np.concatenate([seen, keys]), kind="stable")
+            place, node = keys // size, keys % size
+            found.append((place, node, np.full(len(node), depth, dtype=np.int32)))
+        yield tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _reach_by_walks(graph: _Graph, starts: DataFrame, max_depth: int | None, kind: T.DataType) -> DataFrame:
+    shared = starts.sparkSession.sparkContext.broadcast(graph)
+    schema = T.StructType(
+        [starts.schema["root"], T.StructField("node", kind), T.StructField("level", T.IntegerType()), T.StructField("left", T.IntegerType())]
+    )
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        ids = pa.array(g.ids, type=g.kind)
+        out = np.diff(g.begin)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROOTS):
+                roots = batch.column(0).slice(at, ROOTS)
+                codes = g.ids.get_indexer(roots.to_pandas())
+                inside = np.flatnonzero(codes >= 0)
+                for place, node, level in g.walk(codes[inside], max_depth):
+                    left = pa.array(out[node].astype(np.int32), mask=~g.known[node])
+                    yield pa.RecordBatch.from_arrays([roots.take(pa.array(inside[place])), ids.take(pa.array(node)), pa.array(level), left], names=schema.names)
+                outside = roots.filter(pa.array(codes < 0))  # ids without links lead to themselves alone
+                nothing = pa.array([0] * len(outside), pa.int32())
+                yield pa.RecordBatch.from_arrays([outside, outside, nothing, pa.nulls(len(outside), pa.int32())], names=schema.names)
+
+    return starts.mapInArrow(walk, schema)
+
+
 def _reach(
-    links: DataFrame, starts: DataFrame, max_depth: int | None, levels_per_cut: int = LEVELS_PER_CUT
+    links: DataFrame, roots: DataFrame, max_depth: int | None, levels_per_cut: int = LEVELS_PER_CUT, graph_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """`(root, node, level)` of all that each `root` leads to over `links` (`value`, `next`: an array of ids), the root at level 0.
+    """`(root, node, level, left)` of all that each `root` leads to over `links` (`value`, `next`: an array of ids), the root at level 0.
 
-    Several levels are one job: within it a node may be met again, and the nearest level is kept when the reached nodes are
-    written. The written table is the only one that is read again, and its last level leads on.
+    `left` is the number of links of the node, missing where it has no row in `links`. A graph whose measured rows and bytes are within the limits of a
+    broadcast goes to the roots, which are followed where they are. Otherwise levels are joined, several in one job: within it a node
+    may be met again, and the nearest level is kept when the reached nodes are written.
     """
-    size = measure(links)
-    reached = durable(starts.select("root", F.col("root").alias("node")).distinct().withColumn("level", F.lit(0)))
+    starts = roots.select("root").distinct()
+    rows, width = measure(links)
+    if rows <= graph_rows and width <= BROADCAST_BYTES:
+        return _reach_by_walks(_Graph(links.toArrow()), starts, max_depth, links.schema["value"].dataType)
+    reached = durable(starts.select("root", F.col("root").alias("node")).withColumn("level", F.lit(0)))
     depth = 0
     while max_depth is None or depth < max_depth:
         steps = levels_per_cut if max_depth is None else min(levels_per_cut, max_depth - depth)
         level = reached.filter(F.col("level") == depth) if depth else reached
         found = reached
         for step in range(1, steps + 1):
-            linked = lookup_join(level.select("root", "node"), links, "node", ["next"], measured=size)
-            level = linked.select("root", F.explode("next").alias("node")).distinct().withColumn("level", F.lit(depth + step))
+            linked = lookup_join(level.select("root", "node"), links, "node", ["next"], measured=(rows, width))
+            level = linked.select("root", F.explode("next").alias("node")).filter("node is not null").distinct().withColumn("level", F.lit(depth + step))
             found = found.unionByName(level)
         reached = durable(found.groupBy("root", "node").agg(F.min("level").alias("level")))
         depth += steps
         if reached.filter(F.col("level") == depth).isEmpty():
             break
-    return reached
+    counts = links.select("value", F.size(F.array_distinct(F.filter(F.coalesce("next", F.array()), lambda n: n.isNotNull()))).alias("left"))
+    return lookup_join(reached, counts, "node", ["left"])
 
 
-def lineage_chain(transformations: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def lineage_chain(transformations: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, graph_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`(root, transformation_id, level, cut)` of everything each root depends on, at its nearest level.
 
-    `transformations` is `(transformation_id, dependencies)` with an array of ids, `roots` has one column `root`. Ids that
+    `transformations` is `(transformation_id, dependencies)` with one row per id and an array of ids, `roots` has one column `root`. Ids that
     are no transformation end the chain. `cut` marks rows at `max_depth` that have dependencies left.
     """
     nodes = transformations.select(F.col("transformation_id").alias("value"), F.col("dependencies").alias("next"))
-    reached = _reach(nodes, roots, max_depth)
-    known = nodes.select("value", F.size(F.coalesce("next", F.array())).alias("left"))
-    met = lookup_join(reached, known, "node", ["left"]).filter("left is not null")
+    met = _reach(nodes, roots, max_depth, graph_rows=graph_rows).filter("left is not null")
     left = (F.col("level") == max_depth) & (F.col("left") > 0)
     return met.select("root", F.col("node").alias("transformation_id"), "level", left.alias("cut"))
 
 
-def lineage_cycle_check(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+def lineage_cycle_check(edges: DataFrame, candidates: DataFrame, graph_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`(parent_id, child_id, creates_cycle)`: would the edge let the child reach its parent?
 
     Ancestors of each distinct parent are followed to the end, candidates with one parent together. Nodes have few parents and many children,
@@ -76,7 +154,7 @@ def lineage_cycle_check(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     parents = edges.select(F.col("child_id").alias("value"), F.col("parent_id").alias("to")).distinct()
     links = durable(parents.groupBy("value").agg(F.collect_list("to").alias("next")))
     todo = candidates.select("parent_id", "child_id").distinct()
-    reached = _reach(links, todo.select(F.col("parent_id").alias("root")), None)
+    reached = _reach(links, todo.select(F.col("parent_id").alias("root")), None, graph_rows=graph_rows)
     closed = reached.select(F.col("root").alias("parent_id"), F.col("node").alias("child_id"), F.lit(True).alias("creates_cycle"))
     return todo.join(closed, ["parent_id", "child_id"], "left").na.fill(False, subset=["creates_cycle"])
 

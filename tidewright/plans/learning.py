@@ -53,6 +53,20 @@ def pca_report_query(spark, sf):
     return rounded(reduce.fit_pca(_pair(spark, sf), 2, ["l_quantity", "percent"]).report(spark), "explained_variance", "ratio", "cumulative")
 
 
+@query(
+    "pca_incremental",
+    f"""WITH {PAIR} SELECT l_orderkey, round((l_quantity - mx) * vx + (l_discount * 100 - my) * vy, 4) AS "PC1",
+    round((l_quantity - mx) * -vy + (l_discount * 100 - my) * vx, 4) AS "PC2" FROM lineitem, v""",
+)
+def pca_incremental_query(spark, sf):
+    """The table arrives in three parts; each is read once and taken into what is stored of the ones before."""
+    rows, columns = _pair(spark, sf), ["l_quantity", "percent"]
+    stored = reduce.StoredScatter(spark, scratch_path(spark, "scatter"))
+    for part in range(3):
+        held = stored.take(rows.filter(F.col("l_orderkey") % 3 == part), columns)
+    return rounded(reduce.apply_pca(rows, held.components(2)), "PC1", "PC2", places=4)
+
+
 @query("pca_embeddings")
 def pca_embeddings_query(spark, sf):
     return reduce.pca(table(spark, sf, "embeddings"), 8, "embedding")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.logs import Admission, Limits
+from ..operators.reduce import Scatter, StoredScatter
 from ..operators.sequences import micros
 from ..schema import q
 from ..session import scratch_path
@@ -77,6 +78,20 @@ def run_closed(events: DataFrame, ts: str, build: Callable[[DataFrame], DataFram
     return run_append(job, path, state)
 
 
+def scatter_stream(rows: DataFrame, columns: list[str], folder: str, state: str | None = None) -> Scatter:
+    """Take every micro-batch into the scatter stored in `folder`, from which components follow at any time."""
+    spark = rows.sparkSession
+    stored = StoredScatter(spark, folder)
+    job = (
+        rows.writeStream.foreachBatch(lambda batch, number: stored.take(batch, columns, number) and None)
+        .option("checkpointLocation", state or scratch_path(spark, "stream-state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    return stored.last()[1]
+
+
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
     """Sessions that end after a pause: `(key, created_at, last_update, updates)`.
 
