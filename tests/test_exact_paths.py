@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidewright.modeling import learners, parzen, training
+from tidewright.modeling import boosting, learners, parzen, sigmoid, training
 from tidewright.modeling.closed_form import gram_fold_scores
 from tidewright.operators import lineage, logs, neighbors, reduce, sequences, trees
 from tidewright.session import scratch_path
@@ -246,7 +246,7 @@ def test_a_hot_key_of_trailing_sums_is_many_ranges(spark):
     found = sequences._range_totals(laid.repartitionByRange(6, "key", "us").sortWithinPartitions("key", "us"), ["__v0"])
     ends = found.filter("slot < 0").collect()
     assert len({r["range"] for r in ends}) == 6
-    carried = {r: c for r, c in sequences._carried(ends, 1)}
+    carried = {r: c for r, c in sequences._carried(ends, ["__v0"])}
     assert carried[0] == 0 and sorted(carried.values()) == [carried[i] for i in range(6)] and 0 < carried[5] < 20_000
 
 
@@ -316,3 +316,83 @@ def test_incremental_components_equal_one_fit(spark, monkeypatch, fan_in):
     got = jobs.scatter_stream(jobs.file_stream(spark, folder, wide.schema, 1), ["a", "b"], scratch_path(spark, "scatter")).components(2)
     want = reduce.fit_pca(wide, 2, ["a", "b"])
     assert np.allclose(got.loadings, want.loadings) and np.allclose(got.variances, want.variances)
+
+
+def plain_boosting(x, y, classes, rounds, depth, rate):
+    """The same booster row by row."""
+    n, d = x.shape
+    edges = [(v[:-1] + v[1:]) / 2 for v in (np.unique(x[:, f]) for f in range(d))]
+    score = np.tile(np.log(np.bincount(y, minlength=classes) / n), (n, 1))
+
+    def grow(rows, g, level):
+        best = None
+        total = g[rows].sum()
+        if level < depth:
+            for f in range(d):
+                for t in edges[f]:
+                    left = rows[x[rows, f] <= t]
+                    if 0 < len(left) < len(rows):
+                        a, m = g[left].sum(), len(left)
+                        gain = a * a / m + (total - a) ** 2 / (len(rows) - m) - total**2 / len(rows)
+                        if best is None and gain > 1e-11 or best is not None and gain > best[0] * (1 + 1e-9) + 1e-12:
+                            best = (gain, f, t)
+        if best is None:
+            curve = np.abs(g[rows]) * (1 - np.abs(g[rows]))
+            return {r: (classes - 1) / classes * total / curve.sum() for r in rows}
+        low = x[rows, best[1]] <= best[2]
+        return {**grow(rows[low], g, level + 1), **grow(rows[~low], g, level + 1)}
+
+    for _ in range(rounds):
+        e = np.exp(score - score.max(axis=1, keepdims=True))
+        chance = e / e.sum(axis=1, keepdims=True)
+        step = np.zeros_like(score)
+        for k in range(classes):
+            for r, v in grow(np.arange(n), (y == k) - chance[:, k], 0).items():
+                step[r, k] = rate * v
+        score = score + step
+    e = np.exp(score - score.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_boosting_of_classes_equals_a_plain_booster(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "FAN_IN", 2)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 9, 150), rng.integers(0, 5, 150)]).astype(float)
+    y = np.clip((x[:, 0] + 2 * x[:, 1] + rng.normal(0, 1.5, 150)) // 5, 0, 2).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), "abc"[k]) for i, (r, k) in enumerate(zip(x, y))], "id int, u double, v double, y string").repartition(5)
+    model = learners.fit(df, ["u", "v"], "y", "gradient_boosting_classifier", trees=6, max_depth=2)
+    loaded = learners.load_model(learners.save_model(model, scratch_path(spark, "model")))
+    rows = {r["id"]: r for r in learners.predict_batch(loaded, df, ["u", "v"], probabilities=True).collect()}
+    want = plain_boosting(x, y, 3, 6, 2, 0.1)
+    assert np.allclose([rows[i]["probabilities"] for i in range(150)], want, atol=1e-9)
+    assert [rows[i]["prediction"] for i in range(150)] == ["abc"[k] for k in want.argmax(axis=1)]
+    found = {r["feature"]: r["importance"] for r in learners.feature_importance(model, ["u", "v"], spark).collect()}
+    assert sum(found.values()) == pytest.approx(1) and min(found.values()) > 0.05
+
+
+@pytest.mark.parametrize("target", ["two", "kind"])
+def test_probabilities_of_support_vector_machines(spark, grown, target):
+    model = learners.fit(grown, FEATURES, target, "svc", max_iter=30)
+    loaded = learners.load_model(learners.save_model(model, scratch_path(spark, "model")))
+    rows = learners.predict_batch(loaded, grown, FEATURES, probabilities=True).collect()
+    classes = 2 if target == "two" else 3
+    assert all(len(r["probabilities"]) == classes and abs(sum(r["probabilities"]) - 1) < 1e-9 and r["confidence"] == max(r["probabilities"]) for r in rows)
+    sure = [r for r in rows if r["confidence"] > 0.8]
+    assert len(sure) > 20 and sum(r["prediction"] == r[target] for r in sure) > 0.8 * len(sure)
+    margins = learners.predict_batch(learners.fit(grown, FEATURES, target, "svc", max_iter=5, probability=False), grown, FEATURES)
+    assert margins.agg(F.max("confidence")).first()[0] > 0
+
+
+def test_sigmoid_is_the_likeliest_curve(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(0, 2, 400)
+    hit = rng.random(400) < 1 / (1 + np.exp(-(1.3 * m - 0.4)))
+    slope, shift = sigmoid.fit_sigmoid(spark.createDataFrame([(float(a), bool(b)) for a, b in zip(m, hit)], "margin double, hit boolean"))
+    t = np.where(hit, (hit.sum() + 1) / (hit.sum() + 2), 1 / ((~hit).sum() + 2))
+    p = 1 / (1 + np.exp(-(slope * m + shift)))
+    assert abs((t - p).sum()) < 1e-6 and abs((m * (t - p)).sum()) < 1e-6
+    apart = spark.createDataFrame([(float(i), i > 0) for i in range(-5, 6)], "margin double, hit boolean")
+    steep = sigmoid.fit_sigmoid(apart)
+    assert 0 < steep[0] < 50
+    one = spark.createDataFrame([(float(i), True) for i in range(5)], "margin double, hit boolean")
+    assert all(np.isfinite(sigmoid.fit_sigmoid(one)))

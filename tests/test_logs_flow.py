@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from tidewright.operators import lineage, logs, registry, userfn
+from tidewright.operators import encode, lineage, logs, registry, scale, userfn
 from tidewright.plans import flow
 from tidewright.schema import TableError
 from tidewright.session import scratch_path
@@ -187,6 +187,42 @@ def test_steps(spark, people):
         flow.import_steps(json.dumps(spoiled))
 
 
+def test_steps_that_fail_at_run_time(spark):
+    rows = [(i, "2024-01-0%d" % (i % 9 + 1) if i % 4 else "no date", float(i), "ab"[i % 2]) for i in range(40)] + [(99, None, 1.0, None)]
+    df = spark.createDataFrame(rows, "id int, day string, x double, kind string")
+
+    @F.udf("int")
+    def burst(x):
+        return 1 // 0 if x == 7 else 1
+
+    steps = [
+        {"action": "extract_date_components", "params": {"column": "day", "components": ["day"]}},
+        {"action": "scale_numeric", "params": {"column": "x", "method": "minmax"}},
+        {"action": "apply_user_function", "params": {"fn": lambda d: d.withColumn("one", burst(F.col("id")))}},
+        {"action": "encode_categorical", "params": {"column": "kind", "method": "label"}},
+        {"action": "apply_frequency_encoding", "params": {"column": "kind"}},
+    ]
+    out, status = flow.run_transformations(df, steps)
+    got = [(r["position"], r["status"], r["failed_rows"]) for r in status.orderBy("position").collect()]
+    assert got == [(0, "error", 10), (1, "success", None), (2, "error", None), (3, "success", None), (4, "success", None)]
+    assert "one" not in out.columns and not [c for c in out.columns if c.startswith("__")]
+    made = {r["id"]: r for r in out.collect()}
+    assert made[4]["day_day"] is None and made[5]["day_day"] == 6 and made[99]["day_day"] is None
+    assert made[0]["x"] == 0.0 and made[39]["x"] == 1.0 and made[3]["kind"] == 0.5 and made[99]["kind"] is None
+    _, stopped = flow.run_transformations(df, steps, continue_on_error=False)
+    assert [(r["position"], r["status"]) for r in stopped.orderBy("position").collect()] == [(0, "error"), (1, "success"), (2, "error")]
+
+
+def test_joined_fits_equal_single_ones(spark):
+    df = spark.createDataFrame([(i, float(i % 5), i % 3, "xyz"[i % 3] if i % 4 else None, i % 2 == 0) for i in range(50)], "id int, v double, n int, s string, b boolean")
+    joined = encode.fit_all_categories(df, ["n", "s", "b"])
+    for c in ("n", "s", "b"):
+        assert sorted(map(tuple, joined[c].frame.collect())) == sorted(map(tuple, encode.fit_categories(df, c).frame.collect()))
+    both = scale.fit_scalers(df, {"minmax": ["v"], "standard": ["n", "v"]})
+    assert both["minmax"]["v"].columns == scale.fit_scaler(df, "v", "minmax").columns
+    assert both["standard"]["n"].columns == scale.fit_scaler(df, "n").columns
+
+
 def test_preprocess(spark, people):
     done = flow.preprocess(people, flow.Preparation(label_columns=["category"], scale_columns=["value"]))
     assert done.table.count() == 5

@@ -97,13 +97,41 @@ def _tau(xs, ys):
     return s / math.sqrt((pairs - tx) * (pairs - ty))
 
 
-@pytest.mark.parametrize("cell_rows", [10_000, 20])
-def test_kendall(spark, cell_rows):
+def test_kendall(spark):
     rng = random.Random(4)
     xs = [5.0 if rng.random() < 0.3 else round(rng.gauss(0, 3), 1) for _ in range(300)]
     ys = [round(x / 2 + rng.gauss(0, 2), 1) for x in xs]
-    df = spark.createDataFrame(list(zip(xs, ys)) + [(1.0, None)], "x double, y double")
-    assert correlation.kendall(df, "x", "y", cell_rows) == pytest.approx(_tau(xs, ys), rel=1e-12)
+    zs = [rng.choice([1.0, 2.0, None, float("nan")]) for _ in xs]
+    df = spark.createDataFrame([*zip(xs, ys, zs), (1.0, None, 1.0)], "x double, y double, z double")
+    assert correlation.kendall(df, "x", "y") == pytest.approx(_tau(xs, ys), rel=1e-12)
+    got = {(r["x"], r["y"]): r["corr"] for r in correlation.corr_kendall(df, ["x", "y", "z"]).collect()}
+    full = [(x, y, z) for x, y, z in zip(xs, ys, zs) if z in (1.0, 2.0)]
+    assert got["x", "y"] == got["y", "x"] == pytest.approx(_tau(xs, ys), rel=1e-12)
+    assert got["y", "z"] == pytest.approx(_tau([y for _, y, _ in full], [z for *_, z in full]), rel=1e-12)
+    assert got["x", "z"] == pytest.approx(_tau([x for x, *_ in full] + [1.0], [z for *_, z in full] + [1.0]), rel=1e-12)
+    same = spark.createDataFrame([(1.0, float(i)) for i in range(5)], "x double, y double")
+    assert correlation.kendall(same, "x", "y") is None
+
+
+def test_metrics_of_many_classes(spark):
+    """Classes are summed in Spark: there is no number of them that is refused."""
+    rows = [(i % 1500, (i * 7) % 1500 if i % 3 else i % 1500) for i in range(6000)]
+    df = spark.createDataFrame(rows, "y int, p int")
+    got = evaluate.classification_metrics(df, "y", "p")
+    assert got["accuracy"] == pytest.approx(sum(y == p for y, p in rows) / len(rows))
+    recall = [sum(p == c for y, p in rows if y == c) / 4 for c in range(0, 1500, 100)]
+    assert 0 < got["recall"] < 1 and got["recall"] == pytest.approx(got["accuracy"]) and recall
+    small = spark.createDataFrame([("a", "b"), ("a", "a"), ("b", "b"), ("b", None)], "y string, p string")
+    assert evaluate.classification_metrics(small, "y", "p", "a") == {"accuracy": pytest.approx(2 / 3), "precision": 1.0, "recall": 0.5, "f1_score": pytest.approx(2 / 3)}
+    assert evaluate.classification_metrics(small, "y", "p", "z")["f1_score"] == 0.0
+    assert sorted(map(tuple, evaluate.confusion_matrix(small, "y", "p").collect())) == [("a", "a", 1), ("a", "b", 1), ("b", "a", 0), ("b", "b", 1)]
+
+
+def test_samples_of_many_groups(spark):
+    df = spark.range(60_000).select("id", (F.col("id") % 12_000).cast("string").alias("g"))
+    assert sampling.undersample(df.filter("id >= 10"), "g", "id").count() == 4 * 12_000
+    taken = sampling.sample_stratified(df, "g", "id", 24_000)
+    assert taken.count() == 24_000 and taken.groupBy("g").count().select("count").distinct().count() == 1
 
 
 def _ranks(values):

@@ -25,6 +25,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import TableError, numeric_columns, q, require
+from .boosting import fit_softmax_trees
+from .sigmoid import Sigmoids, fit_sigmoids, held_out_margins
 
 CLASSIFIERS = (
     "random_forest_classifier",
@@ -123,8 +125,7 @@ def estimator(name: str, rows: int, classes: int = 2, spread: float = 1.0, **par
         return DecisionTreeRegressor(**tree, **common)
     boost = {"maxIter": trees, "maxDepth": params.get("max_depth", 3), "stepSize": params.get("learning_rate", 0.1), "seed": SEED}
     if name == "gradient_boosting_classifier":
-        one = GBTClassifier(**boost, **common)
-        return one if classes == 2 else OneVsRest(classifier=one, parallelism=4, **common)
+        return GBTClassifier(**boost, **common)
     if name == "gradient_boosting_regressor":
         return GBTRegressor(**boost, **common)
     if name == "logistic_regression":
@@ -190,12 +191,26 @@ def fit(
         stages.append(FourierFeatures(inputCol="raw_features", outputCol="features", gamma=float(width)))
     else:
         assembler.setOutputCol("features")
+    if algorithm == "gradient_boosting_classifier" and len(labels) > 2:
+        options = {"rounds": params.get("trees", TREES), "depth": params.get("max_depth") or 3, "rate": params.get("learning_rate", 0.1)}
+        boosted = fit_softmax_trees(labelled, features, len(labels), weight=weight, **options)
+        return PipelineModel([*stages, boosted, IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)])
     spread = 1.0
     if algorithm == "ridge_regression":
         spread = labelled.agg(F.stddev_pop("label")).first()[0] or 1.0
     learner = estimator(algorithm, rows, len(labels) or 2, spread, **params)
     if weight is not None:
         learner.setWeightCol(weight)
+    if algorithm == "svc" and params.get("probability", True):
+        columns = [c.name for c in labelled.schema if c.name in (*features, "label", weight)]
+        narrow = labelled.select(*[q(c) for c in columns]).persist()
+        try:
+            margins = held_out_margins(narrow, features, lambda part: Pipeline(stages=[*stages, learner]).fit(part))
+            curves = fit_sigmoids(margins, len(labels))
+            fitted = Pipeline(stages=[*stages, learner]).fit(narrow).stages
+        finally:
+            narrow.unpersist()
+        return PipelineModel([*fitted, curves, IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)])
     stages.append(learner)
     if classify:
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels))
@@ -208,13 +223,14 @@ def label_model(labels: Sequence[str], target: str) -> StringIndexerModel:
 
 def learner_of(model: PipelineModel):
     """The fitted learner stage."""
-    return next(s for s in reversed(model.stages) if not isinstance(s, (IndexToString, VectorAssembler, FourierFeatures)))
+    return next(s for s in reversed(model.stages) if not isinstance(s, (IndexToString, VectorAssembler, FourierFeatures, Sigmoids)))
 
 
 def predict_batch(model: PipelineModel, df: DataFrame, features: Sequence[str], probabilities: bool = False, check: bool = True) -> DataFrame:
     """Add `prediction` and `confidence`; gaps and non-numeric features are refused.
 
-    Confidence is the largest class probability, or the largest margin of learners without one.
+    Confidence is the largest class probability, or the largest margin of learners without one (support vector machines fitted with
+    `probability=False`).
     """
     feature_frame(df, features)
     if check:

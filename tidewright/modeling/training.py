@@ -94,6 +94,8 @@ def _fold_scores(
 
     def run(task: tuple[dict[str, Any], int]) -> float:
         params, i = task
+        if algorithm == "svc":
+            params = {"probability": False, **params}  # scores need no more than the side of the margin
         model = _trained(data.filter(F.col("fold") != i), features, target, algorithm, key, **params)
         scored = model.transform(data.filter(F.col("fold") == i))
         return score_of(evaluate(scored, target, problem), problem)

@@ -6,19 +6,16 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import corr_strength
 from ..schema import TableError, q, require_numeric
+from ..session import durable
 from .lookup import lookup_join
-from .ranking import running_totals
+from .sequences import keyed_totals
 
 MAX_COLUMNS = 100
 PAIRS_PER_PASS = 300
-CELL_ROWS = 500_000
-MAX_CUTS = 1_000
 
 
 def _pairs(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str]]:
@@ -49,46 +46,35 @@ def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _matrix(df, columns, upper)
 
 
-def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Complete pairs with their number of rows."""
-    both = df.select(q(x).cast("double").alias("x"), q(y).cast("double").alias("y"))
-    return both.na.drop().groupBy("x", "y").agg(F.count("*").alias("n"))
+def _ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`(key, value, n, before)` of each distinct value of each column, numbered by `key`: its rows and those with smaller values.
 
-
-def _with_rank(df: DataFrame, column: str, output: str, kept: list[DataFrame], weight: str | None = None) -> DataFrame:
-    """Add the average rank of a column; rows may stand for `weight` equal rows.
-
-    The value counts stay cached until the caller releases what is in `kept`.
+    All columns are counted in one pass, and their running totals are one order of columns and values.
     """
-    n = F.count("*") if weight is None else F.sum(weight)
-    counts = df.filter(q(column).isNotNull()).groupBy(q(column).alias("value")).agg(n.alias("n"), F.count("*").alias("w"))
-    counts = counts.persist()
-    kept.append(counts)
-    size = counts.count()
-    ranked = running_totals(counts, "value", ["n"], rows=size)
-    mapping = ranked.select("value", "w", (F.col("before_n") + (F.col("n") + 1) / 2).alias(output))
-    return lookup_join(df, mapping, column, [output])
+    cells = F.array(*[F.struct(F.lit(i).alias("key"), q(c).cast("double").alias("value")) for i, c in enumerate(columns)])
+    counts = df.select(F.inline(cells)).filter("value is not null").groupBy("key", "value").agg(F.count("*").cast("double").alias("n"))
+    laid = counts.withColumns({"slot": F.lit(0), "total": F.col("n"), "distinct": F.lit(1.0)})
+    found = keyed_totals(laid, ["value"], ["total", "distinct"], ["value", "n"])
+    return found.select("key", "value", "n", (F.col("total") - F.col("n")).alias("before"), (F.col("distinct") - 1).cast("long").alias("place"))
+
+
+def _rank_correlations(df: DataFrame, columns: Sequence[str], pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Pearson correlations of average ranks of columns without gaps."""
+    ranks = durable(_ranks(df, columns).select("key", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")))
+    sizes = {r["key"]: r["n"] for r in ranks.groupBy("key").agg(F.count("*").alias("n")).collect()}
+    ranked = df.select(*[q(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)])
+    for i in range(len(columns)):
+        own = ranks.filter(F.col("key") == i).select("value", F.col("rank").alias(f"__r{i}"))
+        ranked = lookup_join(ranked, own, f"__v{i}", [f"__r{i}"], measured=(sizes.get(i, 0), 40 * sizes.get(i, 0)))
+    place = {c: i for i, c in enumerate(columns)}
+    values = ranked.agg(*[F.corr(f"__r{place[x]}", f"__r{place[y]}") for x, y in pairs]).first()
+    return dict(zip(pairs, values))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> float | None:
-    """Pearson correlation of average ranks, weighted by equal pairs."""
-    cells = _cells(df, x, y).persist()
-    kept = [cells]
-    try:
-        total = cells.agg(F.sum("n")).first()[0]
-        if not total:
-            return None
-        ranked = _with_rank(_with_rank(cells, "x", "rx", kept, "n"), "y", "ry", kept, "n")
-        middle = (total + 1) / 2
-        dx, dy = F.col("rx") - middle, F.col("ry") - middle
-        row = ranked.agg(
-            F.sum(F.col("n") * dx * dy).alias("xy"), F.sum(F.col("n") * dx * dx).alias("xx"), F.sum(F.col("n") * dy * dy).alias("yy")
-        ).first()
-        scale = math.sqrt(row["xx"] * row["yy"])
-        return row["xy"] / scale if scale else None
-    finally:
-        for frame in kept:
-            frame.unpersist()
+    """Pearson correlation of average ranks over the complete rows of a pair."""
+    both = df.select(q(x), q(y)).na.drop()
+    return _rank_correlations(both, [x, y], [(x, y)])[x, y]
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -96,102 +82,83 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = _pairs(df, columns)
     row = df.agg(F.count("*").alias("rows"), *[F.count(q(c)).alias(c) for c in columns]).first()
     full = [c for c in columns if row[c] == row["rows"]]
-    found: dict[tuple[str, str], float | None] = {}
-    if len(full) > 1:
-        ranked, kept = df.select(*[q(c) for c in full]), []
-        for c in full:
-            ranked = _with_rank(ranked, c, f"__rank_{c}", kept)
-        inside = [(x, y) for x, y in pairs if x in full and y in full]
-        values = ranked.agg(*[F.corr(q(f"__rank_{x}"), q(f"__rank_{y}")) for x, y in inside]).first()
-        found = dict(zip(inside, values))
-        for frame in kept:
-            frame.unpersist()
+    inside = [(x, y) for x, y in pairs if x in full and y in full]
+    found = _rank_correlations(df, full, inside) if inside else {}
     return _matrix(df, columns, [(x, y, found[x, y] if (x, y) in found else spearman(df, x, y)) for x, y in pairs])
 
 
-def _rising_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Weighted number of pairs that rise in both x and y, bit by bit over the ranks of y."""
-    order = np.lexsort((-y, x))
-    rank = np.unique(y, return_inverse=True)[1][order]
-    w = w[order].astype("float64")
-    total = 0.0
-    for b in range(int(rank.max()).bit_length() if len(rank) else 0):
-        prefix = rank >> (b + 1)
-        by = np.argsort(prefix, kind="stable")
-        high = ((rank[by] >> b) & 1).astype(bool)
-        low_weight = np.where(high, 0.0, w[by])
-        seen = np.cumsum(low_weight)
-        starts = np.r_[True, np.diff(prefix[by]) != 0]
-        base = np.maximum.accumulate(np.where(starts, seen - low_weight, 0.0))
-        total += float(np.sum(w[by][high] * (seen - base)[high]))
-    return total
-
-
-def _signed_pairs(pdf: pd.DataFrame, x: str = "x", y: str = "y") -> float:
-    a, b, w = pdf[x].to_numpy(), pdf[y].to_numpy(), pdf["n"].to_numpy()
-    return _rising_pairs(a, b, w) - _rising_pairs(a, -b, w)
+def _there(column: str):
+    return q(column).isNotNull() & ~F.isnan(q(column).cast("double"))
 
 
-def _cut(cells: DataFrame, column: str, cuts: int) -> DataFrame:
-    """Ranges of a column where every value that repeats a lot gets a range of its own."""
-    from pyspark.ml.feature import Bucketizer
+LEVEL_BITS = 6  # bits that number a level of the tree
 
-    shares = [i / cuts for i in range(1, cuts)]
-    marks = sorted(set(cells.agg(F.percentile_approx(column, shares, 20 * cuts)).first()[0]))
-    splits = [float("-inf"), *marks, float("inf")]
-    out = Bucketizer(splits=splits, inputCol=column, outputCol="__b").transform(cells)
-    at = F.element_at(F.array(*[F.lit(float(s)) for s in splits]), F.col("__b").cast("int") + 1)
-    return out.withColumn(f"b{column}", 2 * F.col("__b") + F.when(at == F.col(column), 0).otherwise(1)).drop("__b")
 
+def _kendalls(df: DataFrame, pairs: list[tuple[str, str]]) -> list[float | None]:
+    """Tau-b of each pair of columns over its complete rows, without listing pairs of rows.
 
-def kendall(df: DataFrame, x: str, y: str, cell_rows: int = CELL_ROWS) -> float | None:
-    """Tau-b without listing pairs.
-
-    Equal pairs are counted first. When many distinct ones remain, both columns are cut into
-    ranges: pairs in different ranges of both are counted from the grid of range totals, the
-    rest inside each range of x and of y, so a task only sees one range.
+    Equal rows are counted first. The places of the distinct values of y are leaves of a binary tree: two rows with different y part at one node,
+    where one goes left and one right. At each node the rows that go right are met by the running total, over x, of those that went left: that is the number
+    of pairs that rise. All nodes of all levels and pairs of columns are one order of rows, so no node has to fit a task. Pairs of
+    rows that fall follow from the numbers of ties.
     """
-    cells = _cells(df, x, y).persist()
-    sizes = cells.agg(F.sum("n").alias("n"), F.count("*").alias("cells")).first()
-    n = sizes["n"] or 0
-    if n < 2:
-        return None
-    tied = {
-        c: cells.groupBy(c).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
-        for c in ("x", "y")
-    }
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": [_signed_pairs(pdf)]})
-
-    if sizes["cells"] <= cell_rows:
-        parts = cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(whole, "s double")
-    else:
-        cuts = min(MAX_CUTS, max(2, -(-sizes["cells"] // cell_rows)))
-        cut = _cut(_cut(cells, "x", cuts), "y", cuts)
-        grid = cut.groupBy(F.col("bx").alias("x"), F.col("by").alias("y")).agg(F.sum("n").alias("n"))
-
-        def outside_x_range(pdf: pd.DataFrame) -> pd.DataFrame:
-            inner = sum(_signed_pairs(g) for _, g in pdf.groupby("bx"))
-            return pd.DataFrame({"s": [_signed_pairs(pdf) - inner]})
-
-        # A range of one single value holds only ties and needs no work.
-        mixed_x = cut.filter(F.col("bx") % 2 == 1)
-        mixed_y = cut.filter(F.col("by") % 2 == 1)
-        parts = (
-            grid.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(whole, "s double")
-            .union(mixed_x.groupBy("bx").applyInPandas(whole, "s double"))
-            .union(mixed_y.groupBy("by").applyInPandas(outside_x_range, "s double"))
-        )
-    signed = parts.agg(F.sum("s")).first()[0]
-    cells.unpersist()
-    pairs = n * (n - 1) / 2
-    scale = math.sqrt((pairs - tied["x"]) * (pairs - tied["y"]))
-    return signed / scale if scale else None
+    cells = F.array(
+        *[
+            F.when(_there(x) & _there(y), F.struct(F.lit(i).alias("pair"), q(x).cast("double").alias("x"), q(y).cast("double").alias("y")))
+            for i, (x, y) in enumerate(pairs)
+        ]
+    )
+    rows = df.select(F.inline(F.filter(cells, lambda c: c.isNotNull())))
+    counted = durable(rows.groupBy("pair", "x", "y").agg(F.count("*").cast("double").alias("n")))
+    tied = F.sum(F.col("n") * (F.col("n") - 1) / 2)
+    sizes = {r["pair"]: r for r in counted.groupBy("pair").agg(F.sum("n").alias("n"), tied.alias("xy")).collect()}
+    ties = {}
+    for c in ("x", "y"):
+        sums = counted.groupBy("pair", c).agg(F.sum("n").alias("n"))
+        ties[c] = {r["pair"]: r["t"] for r in sums.groupBy("pair").agg(tied.alias("t")).collect()}
+
+    # Places of the distinct values of y, from one order of all pairs.
+    values = counted.select(F.col("pair").alias("key"), F.col("y").alias("value")).distinct()
+    laid = values.withColumns({"slot": F.lit(0), "at": F.lit(1.0)})
+    places = durable(keyed_totals(laid, ["value"], ["at"], ["value"]).select("key", "value", (F.col("at") - 1).cast("long").alias("place")))
+    depth = max(1, int(places.agg(F.max("place")).first()[0] or 0).bit_length())
+    key = F.concat_ws(":", F.col("key").cast("string"), F.col("value").cast("string"))
+    named = places.select(key.alias("value"), "place")
+    placed = lookup_join(counted.withColumn("__y", F.concat_ws(":", F.col("pair").cast("string"), F.col("y").cast("string"))), named, "__y", ["place"])
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level")
+    spread_ = placed.select("pair", "x", "n", "place", levels)
+    bit = F.expr("shiftright(place, level) & 1")
+    node = F.expr(f"((pair * {1 << LEVEL_BITS} + level) * {1 << 40}) + shiftright(place, level + 1)")
+    laid = spread_.select(
+        node.cast("long").alias("key"), "x", (1 - bit).cast("int").alias("side"), "place", F.when(bit == 1, 0).otherwise(-1).cast("int").alias("slot"),
+        F.when(bit == 1, F.lit(0.0)).otherwise(F.col("n")).alias("left"), "n",
+    )
+    # Rows that go right come before those of the same x that go left: only smaller x count.
+    met = keyed_totals(laid, ["x", "side", "place"], ["left"], ["n"])
+    pair = F.expr(f"key div {1 << (40 + LEVEL_BITS)}")
+    rising = {r["pair"]: r["r"] for r in met.groupBy(pair.alias("pair")).agg(F.sum(F.col("n") * F.col("left")).alias("r")).collect()}
+    out = []
+    for i in range(len(pairs)):
+        if i not in sizes or sizes[i]["n"] < 2:
+            out.append(None)
+            continue
+        n = sizes[i]["n"]
+        all_, x, y = n * (n - 1) / 2, ties["x"][i], ties["y"][i]
+        signed = 2 * (rising.get(i) or 0.0) - (all_ - x - y + sizes[i]["xy"])
+        scale = math.sqrt((all_ - x) * (all_ - y))
+        out.append(signed / scale if scale else None)
+    return out
+
+
+def kendall(df: DataFrame, x: str, y: str) -> float | None:
+    """Tau-b of two columns over their complete rows."""
+    return _kendalls(df, [(x, y)])[0]
 
 
 def corr_kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _matrix(df, columns, [(x, y, kendall(df, x, y)) for x, y in _pairs(df, columns)])
+    """Full matrix, all pairs of columns in one pass."""
+    pairs = _pairs(df, columns)
+    return _matrix(df, columns, [(x, y, t) for (x, y), t in zip(pairs, _kendalls(df, pairs))])
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:

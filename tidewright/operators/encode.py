@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from ..schema import TableError, numeric_columns, q, require
 from ..session import durable
@@ -54,6 +55,27 @@ def fit_categories(df: DataFrame, column: str, null_token: str | None = None) ->
     return Categories(column, numbered, numbered.count(), null_token)
 
 
+def fit_all_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, Categories]:
+    """Categories of several columns from one pass; a column with more than `LOCAL_ROWS` of them is fitted by itself."""
+    columns = list(dict.fromkeys(require(df, columns)))
+    cells = [F.struct(F.lit(i).alias("c"), q(c).cast("string").alias("value")) for i, c in enumerate(columns)]
+    counts = df.select(F.inline(F.array(*cells))).filter("value is not null").groupBy("c", "value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("c").orderBy("value"))
+    rows = counts.withColumn("place", place).filter(F.col("place") <= LOCAL_ROWS + 1).collect()
+    out = {}
+    for i, c in enumerate(columns):
+        own = [(r["value"], r["n"]) for r in rows if r["c"] == i]
+        kind = df.schema[c].dataType
+        if len(own) > LOCAL_ROWS or not isinstance(kind, (T.StringType, T.IntegralType, T.BooleanType, T.DateType)):
+            out[c] = fit_categories(df, c)
+            continue
+        read = int if isinstance(kind, T.IntegralType) else (lambda v: v == "true") if isinstance(kind, T.BooleanType) else date.fromisoformat if isinstance(kind, T.DateType) else str
+        values = sorted((read(v), n) for v, n in own)
+        schema = T.StructType([T.StructField("value", kind), T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+        out[c] = Categories(c, df.sparkSession.createDataFrame([(v, k, n) for k, (v, n) in enumerate(values)], schema), len(values))
+    return out
+
+
 def _replace(df: DataFrame, cats: Categories, values: dict[str, Column], result) -> DataFrame:
     """Swap the column for `result(joined)` built from the looked-up values."""
     mapping = cats.frame.select("value", "n", *[c.alias(name) for name, c in values.items()])

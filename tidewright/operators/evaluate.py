@@ -7,53 +7,61 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import TableError, q
+from ..session import durable
 from .quantiles import quantiles
 from .ranking import running_totals
 
-MAX_CLASSES = 1_000
+def _pairs(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """`(y, p, n)`: rows of each pair of classes."""
+    return df.select(q(label).alias("y"), q(prediction).alias("p")).na.drop().groupBy("y", "p").agg(F.count("*").alias("n"))
 
 
-def _counts(df: DataFrame, label: str, prediction: str) -> dict[tuple[Any, Any], int]:
-    """Rows per pair of classes; the classes are few, so the pairs are too."""
-    pairs = df.select(q(label).alias("y"), q(prediction).alias("p")).na.drop().groupBy("y", "p").agg(F.count("*").alias("n"))
-    rows = pairs.limit(MAX_CLASSES * MAX_CLASSES + 1).collect()
-    classes = {r["y"] for r in rows} | {r["p"] for r in rows}
-    if len(classes) > MAX_CLASSES:
-        raise TableError(f"more than {MAX_CLASSES} classes")
-    return {(r["y"], r["p"]): r["n"] for r in rows}
+def _class_sums(pairs: DataFrame) -> DataFrame:
+    """`(c, real, said, hit)` of each class."""
+    none = F.lit(0).cast("long")
+    own = F.struct(F.col("y").alias("c"), F.col("n").alias("real"), none.alias("said"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(none).alias("hit"))
+    other = F.struct(F.col("p").alias("c"), none.alias("real"), F.col("n").alias("said"), none.alias("hit"))
+    return pairs.select(F.inline(F.array(own, other))).groupBy("c").agg(*[F.sum(x).alias(x) for x in ("real", "said", "hit")])
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """`(label, prediction, n)` for every pair of classes, zeros included."""
-    counts = _counts(df, label, prediction)
-    classes = sorted({y for y, _ in counts} | {p for _, p in counts})
-    rows = [(str(y), str(p), counts.get((y, p), 0)) for y in classes for p in classes]
-    return df.sparkSession.createDataFrame(rows, "label string, prediction string, n long")
+    """`(label, prediction, n)` for every pair of classes, zeros included.
+
+    The matrix has as many cells as classes times classes; the list of classes goes to each of them.
+    """
+    pairs = durable(_pairs(df, label, prediction))
+    classes = _class_sums(pairs).select("c")
+    # The result is the square of this list, so it is short wherever the result can be made.
+    listed = classes.agg(F.sort_array(F.collect_list("c")).alias("all"))
+    grid = listed.select(F.explode("all").alias("y"), "all").repartition("y").select("y", F.explode("all").alias("p"))
+    cells = grid.join(pairs, ["y", "p"], "left")
+    return cells.select(F.col("y").cast("string").alias("label"), F.col("p").cast("string").alias("prediction"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def classification_metrics(df: DataFrame, label: str, prediction: str, positive: Any = None) -> dict[str, float]:
-    """Accuracy, precision, recall and F1: of the positive class for two classes, else weighted."""
-    counts = _counts(df, label, prediction)
-    total = sum(counts.values())
-    if not total:
+    """Accuracy, precision, recall and F1: of the positive class for two classes, else weighted.
+
+    Everything is summed in Spark, whatever the number of classes.
+    """
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    precision, recall = part(F.col("hit"), F.col("said")), part(F.col("hit"), F.col("real"))
+    scored = _class_sums(_pairs(df, label, prediction)).withColumns({"precision": precision, "recall": recall})
+    both = F.col("precision") + F.col("recall")
+    scored = scored.withColumn("f1_score", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(F.lit(0.0)))
+    names = ("precision", "recall", "f1_score")
+    one = F.struct(*names)
+    chosen = F.max_by(one, F.col("c")) if positive is None else F.max_by(F.when(F.col("c") == F.lit(positive), one), F.col("c") == F.lit(positive))
+    row = scored.agg(
+        F.count("*").alias("classes"), F.sum("real").alias("rows"), F.sum("hit").alias("hits"), chosen.alias("chosen"),
+        *[F.sum(F.col(n) * F.col("real")).alias(n) for n in names],
+    ).first()
+    if not row["rows"]:
         raise TableError("no labelled predictions")
-    classes = sorted({y for y, _ in counts} | {p for _, p in counts})
-
-    def of(c: Any) -> tuple[float, float, float, int]:
-        hit = counts.get((c, c), 0)
-        said = sum(n for (_, p), n in counts.items() if p == c)
-        real = sum(n for (y, _), n in counts.items() if y == c)
-        precision, recall = hit / said if said else 0.0, hit / real if real else 0.0
-        both = precision + recall
-        return precision, recall, 2 * precision * recall / both if both else 0.0, real
-
-    if len(classes) <= 2:
-        precision, recall, f1, _ = of(positive if positive is not None else classes[-1])
+    if row["classes"] <= 2:
+        found = {n: (row["chosen"][n] if row["chosen"] is not None else 0.0) for n in names}
     else:
-        each = [of(c) for c in classes]
-        precision, recall, f1 = (sum(e[i] * e[3] for e in each) / total for i in range(3))
-    accuracy = sum(counts.get((c, c), 0) for c in classes) / total
-    return {"accuracy": accuracy, "precision": precision, "recall": recall, "f1_score": f1}
+        found = {n: row[n] / row["rows"] for n in names}
+    return {"accuracy": row["hits"] / row["rows"], **found}
 
 
 def metric_rows(spark, metrics: dict[str, float | None]) -> DataFrame:

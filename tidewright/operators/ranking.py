@@ -82,3 +82,14 @@ def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_
         .withColumn(name, F.col("__start") + inner)
         .drop("__pid", "__id", "__start")
     )
+
+
+def global_running(df: DataFrame, order: str, column: str, name: str = "before") -> DataFrame:
+    """Add the total of a whole-number column over all rows before, for distinct values of any type in `order`."""
+    placed = global_index(df, [order], "__at")
+    cut = F.expr(f"__at div {BUCKET_ROWS}")
+    inner = placed.withColumn("__b", cut).withColumn("__in", F.coalesce(F.sum(column).over(W.partitionBy("__b").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # One row for every `BUCKET_ROWS` rows.
+    sums = placed.groupBy(cut.alias("__b")).agg(F.sum(column).alias("__s"))
+    shift = sums.select("__b", F.coalesce(F.sum("__s").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    return inner.join(F.broadcast(shift), "__b").withColumn(name, F.col("__in") + F.col("__shift")).drop("__at", "__b", "__in", "__shift")

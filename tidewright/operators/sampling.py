@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions.hashing import SPAN, row_hash
-from ..schema import TableError, as_list, q, require
-from .ranking import BUCKET_ROWS, global_index
+from ..schema import as_list, q, require
+from ..session import durable
+from .lookup import lookup_join
+from .ranking import BUCKET_ROWS, global_index, global_running
 
 FOLD_SCALE = 1_000_000
 
@@ -38,66 +40,59 @@ def sample_random(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 4
     return placed.filter(F.col("__at") < n).select(*[q(c) for c in df.columns])
 
 
-def _keep_smallest(df: DataFrame, by: str, key, seed: int, groups: dict) -> DataFrame:
-    """Per group the `__q` rows with the smallest hash, exactly, without sorting a whole group.
+def _group(by: str) -> Column:
+    """The group of a row as text; a missing one is a group of its own."""
+    return F.coalesce(F.concat(F.lit("="), q(by).cast("string")), F.lit("-"))
 
-    `groups` maps a group to its `(rows, rows to keep)`. A hash threshold leaves a few more
-    rows than wanted; only those are ranked. It is checked and widened where it kept too few.
+
+def _group_sizes(df: DataFrame, by: str) -> DataFrame:
+    """`(__g, value, n)` of each group, written once: groups may be many."""
+    return durable(df.groupBy(q(by).alias("value")).agg(F.count("*").alias("n")).withColumn("__g", _group("value")))
+
+
+def _keep_smallest(df: DataFrame, by: str, key, seed: int, groups: DataFrame) -> DataFrame:
+    """Per group the `take` rows with the smallest hash, exactly, without sorting a whole group.
+
+    `groups` holds `(__g, n, take)`. A hash threshold leaves a few more rows than wanted; only those are ranked. It
+    is checked and widened where it kept too few.
     """
-    hashed = df.withColumn("__h", _hash(df, key, seed))
+    hashed = df.withColumn("__h", _hash(df, key, seed)).withColumn("__by", _group(by))
     widen = 1.0
     while True:
-        rows = [
-            (g, take, min(SPAN, int(widen * (take + 10 * math.sqrt(take) + 100) / max(n, 1) * SPAN)))
-            for g, (n, take) in groups.items()
-        ]
-        schema = T.StructType(
-            [
-                T.StructField("__by", df.schema[by].dataType),
-                T.StructField("__q", T.LongType()),
-                T.StructField("__cut", T.LongType()),
-            ]
-        )
-        cuts = df.sparkSession.createDataFrame(rows, schema)
-        near = hashed.join(F.broadcast(cuts), q(by).eqNullSafe(F.col("__by"))).filter(F.col("__h") < F.col("__cut"))
-        kept = {r["__by"]: r["n"] for r in near.groupBy("__by").agg(F.count("*").alias("n")).collect()}
-        if all(kept.get(g, 0) >= min(take, n) or cut >= SPAN for (g, take, cut), (n, _) in zip(rows, groups.values())):
+        near_share = F.lit(widen) * (F.col("take") + 10 * F.sqrt("take") + 100) / F.greatest("n", F.lit(1))
+        cut = F.when(near_share >= 1, F.lit(SPAN)).otherwise(F.floor(near_share * SPAN)).cast("long")
+        cuts = groups.filter("take > 0").select("__g", "n", F.col("take").alias("__q"), cut.alias("__cut"))
+        near = lookup_join(hashed, cuts, "__by", ["__q", "__cut"], map_key="__g").filter(F.col("__h") < F.col("__cut"))
+        kept = near.groupBy("__by").agg(F.count("*").alias("kept"))
+        short = cuts.join(kept, F.col("__g") == F.col("__by"), "left")
+        short = short.filter((F.coalesce("kept", F.lit(0)) < F.least("__q", "n")) & (F.col("__cut") < SPAN))
+        if short.isEmpty():
             break
         widen *= 2
     ranked = _class_rank(near, by, key, seed, F.col("__cut"))
     return ranked.filter(F.col("__rank") < F.col("__q")).select(*[q(c) for c in df.columns])
 
 
-def _group_sizes(df: DataFrame, by: str, limit: int = 10_000) -> dict:
-    found = df.groupBy(q(by).alias("g")).agg(F.count("*").alias("n")).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise TableError(f"{by} has more than {limit} groups")
-    return {r["g"]: r["n"] for r in found}
-
-
 def sample_stratified(df: DataFrame, by: str, key: str | Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Per stratum max(1, floor(share x n)) rows, and at most `n` in all.
 
     Strata come in sorted order, so the overall limit cuts the last ones.
     """
-    sizes = {g: c for g, c in _group_sizes(df, by).items() if g is not None}
-    total = df.count()
+    sizes = _group_sizes(df, by)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     if total <= n:
         return df
-    takes, left = {}, n
-    for g in sorted(sizes):
-        take = min(max(1, sizes[g] * n // total), sizes[g], left)
-        left -= take
-        if take:
-            takes[g] = (sizes[g], take)
-    return _keep_smallest(df, by, key, seed, takes)
+    share = F.least(F.greatest(F.lit(1), F.expr(f"(n * {n}) div {total}")), F.col("n"))
+    wanted = sizes.filter("value is not null").withColumn("share", share)
+    earlier = global_running(wanted, "value", "share")
+    return _keep_smallest(df, by, key, seed, earlier.withColumn("take", F.greatest(F.lit(0), F.least(F.col("share"), F.lit(n) - F.col("before")))))
 
 
 def undersample(df: DataFrame, by: str, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest one."""
-    sizes = {g: c for g, c in _group_sizes(df, by).items() if g is not None}
-    least = min(sizes.values())
-    return _keep_smallest(df, by, key, seed, {g: (c, least) for g, c in sizes.items()})
+    sizes = _group_sizes(df, by).filter("value is not null")
+    least = sizes.agg(F.min("n")).first()[0] or 0
+    return _keep_smallest(df, by, key, seed, sizes.withColumn("take", F.lit(least)))
 
 
 def sample_systematic(df: DataFrame, order: Sequence[str], target: int = 10_000) -> DataFrame:
@@ -130,8 +125,8 @@ def _class_rank(df: DataFrame, by: str, key, seed: int, top: Column | None = Non
     Classes are spread over hash ranges and ranked range by range, so a class that holds most
     rows is never sorted by one task.
     """
-    sizes = _group_sizes(df, by)
-    parts = max(1, -(-max(sizes.values(), default=1) // BUCKET_ROWS))
+    largest = df.groupBy(q(by)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    parts = max(1, -(-largest // BUCKET_ROWS))
     hashed = df.withColumn("__h", _hash(df, key, seed))
     placed = hashed.withColumn("__p", F.floor(F.col("__h") / (F.lit(SPAN) if top is None else top) * F.lit(parts)).cast("int"))
     order = ["__h", *[q(k) for k in as_list(key)]]
@@ -152,12 +147,11 @@ def train_test_split_stratified(
     """Add `is_test` with the same share in every class; plain split when a class is too small."""
     share = _test_share(df, test_size)
     sizes = _group_sizes(df, by)
-    if min(sizes.values(), default=0) < 2 or sum(sizes.values()) * share < len(sizes):
+    least, rows, groups = sizes.agg(F.min("n"), F.sum("n"), F.count("*")).first()
+    if (least or 0) < 2 or rows * share < groups:
         return train_test_split(df, key, test_size, seed)
-    takes = [(g, int(math.floor(n * share + 0.5))) for g, n in sizes.items()]
-    schema = T.StructType([T.StructField("__g", df.schema[by].dataType), T.StructField("__take", T.LongType())])
-    quota = df.sparkSession.createDataFrame(takes, schema)
-    ranked = _class_rank(df, by, key, seed).join(F.broadcast(quota), q(by).eqNullSafe(F.col("__g")))
+    quota = sizes.select("__g", F.floor(F.col("n") * F.lit(share) + 0.5).cast("long").alias("__take"))
+    ranked = lookup_join(_class_rank(df, by, key, seed).withColumn("__by", _group(by)), quota, "__by", ["__take"], map_key="__g")
     return ranked.withColumn("is_test", F.col("__rank") < F.col("__take")).select(*[q(c) for c in df.columns], "is_test")
 
 
@@ -174,16 +168,12 @@ def stratified_kfold(df: DataFrame, by: str, key: str | Sequence[str], folds: in
 
 def class_weights(df: DataFrame, by: str) -> DataFrame:
     """`(class, n, weight)` with weight = rows / (classes x class rows)."""
-    sizes = {g: n for g, n in _group_sizes(df, by).items() if g is not None}
-    total = sum(sizes.values())
-    rows = [(g, n, total / (len(sizes) * n)) for g, n in sizes.items()]
-    schema = T.StructType(
-        [T.StructField("class", df.schema[by].dataType), T.StructField("n", T.LongType()), T.StructField("weight", T.DoubleType())]
-    )
-    return df.sparkSession.createDataFrame(rows, schema)
+    sizes = _group_sizes(df, by).filter("value is not null")
+    total, groups = sizes.agg(F.sum("n"), F.count("*")).first()
+    return sizes.select(F.col("value").alias("class"), "n", (F.lit(float(total or 0)) / (F.lit(groups) * F.col("n"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, by: str, column: str = "weight") -> DataFrame:
     """Add the balanced class weight as a column for `weightCol`."""
-    weights = class_weights(df, by).select(F.col("class").alias("__c"), F.col("weight").alias(column))
-    return df.join(F.broadcast(weights), q(by) == F.col("__c"), "left").drop("__c")
+    weights = class_weights(df, by).select(_group("class").alias("__g"), F.col("weight").alias(column))
+    return lookup_join(df.withColumn("__by", _group(by)), weights, "__by", [column], map_key="__g").drop("__by")

@@ -87,6 +87,19 @@ def fit_scaler(
     return Scaler(kind, params, low, high - low)
 
 
+def fit_scalers(df: DataFrame, columns: dict[str, Sequence[str]]) -> dict[str, dict[str, Scaler]]:
+    """Scalers of single columns by method (minmax or standard), all from one aggregate."""
+    wanted = [(m, c) for m, names in columns.items() for c in names]
+    ends = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, F.max)}
+    row = df.agg(*[f(q(c)).alias(f"{x}{i}") for i, (m, c) in enumerate(wanted) for x, f in zip("ab", ends[m])]).first()
+    out: dict[str, dict[str, Scaler]] = {}
+    for i, (m, c) in enumerate(wanted):
+        first, second = row[f"a{i}"], row[f"b{i}"]
+        params = (0.0, 1.0) if first is None else (float(first), (float(second) if m == "standard" else float(second) - float(first)) or 1.0)
+        out.setdefault(m, {})[c] = Scaler(m, {c: params})
+    return out
+
+
 def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
     return df.withColumns({c: scaler.expression(c) for c in scaler.columns if c in df.columns})
 

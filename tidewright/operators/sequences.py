@@ -69,18 +69,11 @@ def trailing_sums(
     for i, span in enumerate(spans):
         marks.append(F.struct((us - span).alias("us"), F.lit(0 if include_edge else 2).alias("side"), F.lit(i + 1).alias("slot"), *none))
     laid = rows.filter(q(ts).isNotNull()).select(q(key).alias("key"), "__rid", F.inline(F.array(*marks)))
-    order = ["key", "us", "side", "__rid", "slot"]
-    # The ranges are sampled, so what is worked out in them is written together with their number.
-    found = durable(_range_totals(laid.repartitionByRange(*order).sortWithinPartitions(*order), names))
-    carried = _carried(found.filter("slot < 0").select("range", "slot", "key", *names).collect(), len(names))
-    carry = df.sparkSession.createDataFrame(carried or [(-1, *[0.0] * len(names))], "range int, " + ", ".join(f"c{i} double" for i in range(len(names))))
-    # One row per range.
-    full = found.filter("slot >= 0").join(F.broadcast(carry), "range", "left")
-    totals = [F.col(n) + F.when(F.col("head"), F.coalesce(F.col(f"c{i}"), F.lit(0.0))).otherwise(F.lit(0.0)) for i, n in enumerate(names)]
+    full = keyed_totals(laid, ["us", "side", "__rid", "slot"], names, ["__rid", "slot"])
     wide = full.groupBy("__rid").agg(
         *[
-            F.max(F.when(F.col("slot") == slot, total)).alias(f"{n}_{slot}")
-            for n, total, (seconds, _) in zip(names, totals, measures.values())
+            F.max(F.when(F.col("slot") == slot, F.col(n))).alias(f"{n}_{slot}")
+            for n, (seconds, _) in zip(names, measures.values())
             for slot in (0, spans.index(int(seconds * MICROS)) + 1)
         ]
     )
@@ -91,15 +84,33 @@ def trailing_sums(
     return rows.join(wide, "__rid", "left").select(*[q(c) for c in df.columns], *out)
 
 
-def _range_totals(laid: DataFrame, names: Sequence[str]) -> DataFrame:
+def keyed_totals(laid: DataFrame, order: Sequence[str], names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Running totals of the columns `names` over the rows of each `key` in the given order, the row itself included.
+
+    Rows with a negative `slot` count but are not returned; `(key, *keep, *names)` of the others are. Keys and order are cut into ranges of
+    equal size, so a key with all rows is many tasks; the order has to tell rows apart.
+    """
+    sorted_ = laid.select(*dict.fromkeys(["key", "slot", *order, *names, *keep])).repartitionByRange("key", *order).sortWithinPartitions("key", *order)
+    found = durable(_range_totals(sorted_, names, keep))
+    carried = _carried(found.filter("slot < 0").select("range", "slot", "key", *names).collect(), names)
+    fields = "range int, " + ", ".join(f"c{i} double" for i in range(len(names)))
+    # One row per range.
+    carry = laid.sparkSession.createDataFrame(carried or [(-1, *[0.0] * len(names))], fields)
+    full = found.filter("slot >= 0").join(F.broadcast(carry), "range", "left")
+    missing = F.when(F.col("head"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return full.select("key", *keep, *[(F.col(n) + missing * F.coalesce(F.col(f"c{i}"), F.lit(0.0))).alias(n) for i, n in enumerate(names)])
+
+
+def _range_totals(laid: DataFrame, names: Sequence[str], keep: Sequence[str] = ("__rid", "slot")) -> DataFrame:
     """Running totals per key inside each partition, for the marks that ask for one (`slot` of 0 or more).
 
     `head` tells rows of the first key of the partition. Two more rows give the totals of its first key (slot -1) and its last (-2).
     """
+    kept = [c for c in keep if c != "slot"]
     schema = T.StructType(
         [
-            T.StructField("range", T.IntegerType()), laid.schema["key"], T.StructField("__rid", T.LongType()), T.StructField("slot", T.IntegerType()),
-            T.StructField("head", T.BooleanType()), *[T.StructField(n, T.DoubleType()) for n in names],
+            T.StructField("range", T.IntegerType()), T.StructField("key", laid.schema["key"].dataType), T.StructField("slot", T.IntegerType()), T.StructField("head", T.BooleanType()),
+            *[T.StructField(c, laid.schema[c].dataType) for c in kept], *[T.StructField(n, T.DoubleType()) for n in names],
         ]
     )
 
@@ -129,8 +140,8 @@ def _range_totals(laid: DataFrame, names: Sequence[str]) -> DataFrame:
             ask = np.flatnonzero(slots >= 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(ask), place, dtype=np.int32)), keys.take(pa.array(ask)), batch.column("__rid").take(pa.array(ask)),
-                    pa.array(slots[ask]), pa.array(head[ask]), *[pa.array(sums[ask, i]) for i in range(len(names))],
+                    pa.array(np.full(len(ask), place, dtype=np.int32)), keys.take(pa.array(ask)), pa.array(slots[ask].astype(np.int32)), pa.array(head[ask]),
+                    *[batch.column(c).take(pa.array(ask)) for c in kept], *[pa.array(sums[ask, i]) for i in range(len(names))],
                 ],
                 names=schema.names,
             )
@@ -138,8 +149,8 @@ def _range_totals(laid: DataFrame, names: Sequence[str]) -> DataFrame:
             ends = [(-1, first), (-2, last)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([place] * 2, pa.int32()), pa.array([k[0] for _, (k, _) in ends], kind), pa.array([None] * 2, pa.int64()),
-                    pa.array([s for s, _ in ends], pa.int32()), pa.array([False] * 2), *[pa.array([float(t[i]) for _, (_, t) in ends]) for i in range(len(names))],
+                    pa.array([place] * 2, pa.int32()), pa.array([k[0] for _, (k, _) in ends], kind), pa.array([s for s, _ in ends], pa.int32()), pa.array([False] * 2),
+                    *[pa.nulls(2, batch.column(c).type) for c in kept], *[pa.array([float(t[i]) for _, (_, t) in ends]) for i in range(len(names))],
                 ],
                 names=schema.names,
             )
@@ -147,16 +158,16 @@ def _range_totals(laid: DataFrame, names: Sequence[str]) -> DataFrame:
     return laid.mapInArrow(total, schema)
 
 
-def _carried(ends: list, width: int) -> list[tuple]:
+def _carried(ends: list, names: Sequence[str]) -> list[tuple]:
     """`(range, totals)` that the ranges before hand on to the first key of a range; two rows per range come in."""
     first = {r["range"]: r for r in ends if r["slot"] == -1}
     last = {r["range"]: r for r in ends if r["slot"] == -2}
-    out, open_key, held = [], None, [0.0] * width
+    out, open_key, held = [], None, [0.0] * len(names)
     for place in sorted(first):
-        before = held if open_key == [first[place]["key"]] else [0.0] * width
+        before = held if open_key == [first[place]["key"]] else [0.0] * len(names)
         out.append((place, *before))
         single = first[place]["key"] == last[place]["key"]
-        ends_with = [float(last[place][f"__v{i}"]) for i in range(width)]
+        ends_with = [float(last[place][n]) for n in names]
         held = [a + b for a, b in zip(before, ends_with)] if single else ends_with
         open_key = [last[place]["key"]]
     return out

@@ -5,16 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.text import content_words
 from ..operators import clean, dates, encode, profile, reduce, scale, text
 from ..operators.userfn import apply_user_function
-from ..schema import TableError, numeric_columns, q, string_columns
+from ..schema import TableError, as_timestamp, numeric_columns, q, string_columns
+from ..session import durable
 from ..sources import scan_parquet, sink_parquet
 
 AUDIT_SCHEMA = "position int, step string, action string, column string, affected_rows long"
@@ -125,29 +127,153 @@ ACTIONS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def apply_transformations(
-    df: DataFrame, steps: Sequence[dict[str, Any]], continue_on_error: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """Run steps in order; returns the table and `(position, action, status, error)`.
+# Steps whose fit reads one column, and those that change the rows, so that no fit may be taken before them.
+_BY_CATEGORY = {"encode_categorical": ("label", "frequency", "count"), "apply_frequency_encoding": ("frequency",)}
+_KEEPS_ROWS = ("extract_date_components", "extract_time_deltas", "encode_categorical", "apply_frequency_encoding", "scale_numeric", "tokenize_text")
 
-    A failing step leaves the table as it was and is reported.
-    """
+
+def _parts(step: dict[str, Any]) -> tuple[str | None, dict[str, Any]]:
+    return step.get("action") or step.get("function"), step.get("params") or step.get("args") or {}
+
+
+def _counted(name: str | None, params: dict[str, Any]) -> str | None:
+    """The encoding of a step that needs no more than the number of rows of each category."""
+    methods = _BY_CATEGORY.get(name or "", ())
+    method = params.get("method") if name == "encode_categorical" else "frequency"
+    return method if method in methods else None
+
+
+def _fits_of(df: DataFrame, steps: Sequence[dict[str, Any]]) -> dict[tuple[str, str, str], Any]:
+    """Fits of columns that no step before has changed: all scalers from one aggregate and all categories from another, run together."""
+    scaled: dict[str, list[str]] = {}
+    listed: list[str] = []
+    changed: set[str] = set()
+    numeric = set(numeric_columns(df))
+    for step in steps:
+        name, params = _parts(step)
+        column = params.get("column")
+        if name not in _KEEPS_ROWS:
+            break
+        if not isinstance(column, str) or column not in df.columns or column in changed:
+            continue
+        if name == "scale_numeric" and column in numeric and scale.METHODS.get(params.get("method", "standard")) in ("minmax", "standard"):
+            scaled.setdefault(scale.METHODS[params.get("method", "standard")], []).append(column)
+        elif _counted(name, params):
+            listed.append(column)
+        if name in ("scale_numeric", "encode_categorical", "apply_frequency_encoding", "tokenize_text"):
+            changed.add(column)
+    tasks: list[Callable[[], dict]] = []
+    if scaled:
+        tasks.append(lambda: {("scale", m, c): f for m, found in scale.fit_scalers(df, scaled).items() for c, f in found.items()})
+    if listed:
+        tasks.append(lambda: {("categories", "", c): f for c, f in encode.fit_all_categories(df, listed).items()})
+    if not tasks:
+        return {}
+    with ThreadPool(len(tasks)) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(lambda task: task()), tasks)
+    return {k: v for part in found for k, v in part.items()}
+
+
+def _run_step(df: DataFrame, name: str | None, params: dict[str, Any], fits: dict[tuple[str, str, str], Any], marked: int | None) -> DataFrame:
+    """One step, with its fit where that is at hand; `marked` adds a column that tells rows whose value the step could not read."""
+    if name not in ACTIONS:
+        raise TableError(f"unknown action {name!r}")
+    column = params.get("column")
+    bad = None
+    if marked is not None and name in ("extract_date_components", "extract_time_deltas"):
+        for c in (params.get("column"), params.get("date_col"), params.get("reference_col")):
+            if c in df.columns:
+                miss = q(c).isNotNull() & as_timestamp(df, c).isNull()
+                bad = miss if bad is None else bad | miss
+    categories = fits.pop(("categories", "", column), None) if _counted(name, params) else None
+    scaler = fits.pop(("scale", scale.METHODS.get(params.get("method", "standard"), ""), column), None) if name == "scale_numeric" and isinstance(column, str) else None
+    # A mark of an earlier step is no column of the table for this one.
+    marks = [c for c in df.columns if c.startswith(MARK)]
+    if categories is not None:
+        how = {"label": encode.apply_label, "frequency": lambda d, f: encode.encode_frequency(d, column, f), "count": lambda d, f: encode.encode_count(d, column, f)}
+        changed = how[_counted(name, params)](df, categories)
+    elif scaler is not None:
+        low, high = params.get("custom_range", (0.0, 1.0))
+        changed = scale.apply_scaler(df, replace(scaler, low=low, width=high - low) if scaler.method == "minmax" else scaler)
+    else:
+        changed = ACTIONS[name](df, **params)
+    changed.schema  # resolve the plan here, so its errors belong to this step
+    if any(m not in changed.columns for m in marks):
+        raise TableError(f"{name} drops columns that it was not given")
+    return changed if bad is None else changed.withColumn(f"{MARK}{marked}", bad)
+
+
+MARK = "__step_failed_"
+
+
+def _chain(df: DataFrame, steps: Sequence[tuple[int, dict[str, Any]]], continue_on_error: bool, mark: bool) -> tuple[DataFrame, list[tuple]]:
+    fits = _fits_of(df, [s for _, s in steps])
     status = []
-    for i, step in enumerate(steps):
-        name = step.get("action") or step.get("function")
-        params = step.get("params") or step.get("args") or {}
+    for i, step in steps:
+        name, params = _parts(step)
         try:
-            if name not in ACTIONS:
-                raise TableError(f"unknown action {name!r}")
-            changed = ACTIONS[name](df, **params)
-            changed.schema  # resolve the plan here, so its errors belong to this step
-            df = changed
+            df = _run_step(df, name, params, fits, i if mark else None)
             status.append((i, str(name), "success", None))
         except Exception as error:  # one bad step must not hide the others' results
             status.append((i, str(name), "error", str(error)[:500]))
             if not continue_on_error:
                 break
-    return df, df.sparkSession.createDataFrame(status, "position int, action string, status string, error string")
+    return df, status
+
+
+def apply_transformations(
+    df: DataFrame, steps: Sequence[dict[str, Any]], continue_on_error: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Run steps in order; returns the table and `(position, action, status, error)`.
+
+    A failing step leaves the table as it was and is reported. Fits that do not depend on other steps are worked out together. The table is
+    lazy: what goes wrong only when rows are read shows when it is used, or in `run_transformations`.
+    """
+    out, status = _chain(df, list(enumerate(steps)), continue_on_error, False)
+    return out, df.sparkSession.createDataFrame(status, "position int, action string, status string, error string")
+
+
+def run_transformations(
+    df: DataFrame, steps: Sequence[dict[str, Any]], continue_on_error: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Run steps and write the table; returns it and `(position, action, status, failed_rows, error)` of what happened to its rows.
+
+    Values that a step cannot read give no error: they are counted against the step in the same run, which reports it as `error` with their number, and
+    its columns are missing in those rows. If the run itself fails, the first step that fails with all before it is found by halving, reported and left
+    out, and the others are run again.
+    """
+    spark = df.sparkSession
+    left = list(enumerate(steps))
+    broken: dict[int, tuple] = {}
+    while True:
+        out, status = _chain(df, left, continue_on_error, True)
+        marks = [c for c in out.columns if c.startswith(MARK)]
+        seen = Observation()
+        counted = out.observe(seen, *[F.count_if(q(m)).alias(m) for m in marks]) if marks else out
+        try:
+            written = durable(counted.drop(*marks))
+            failed = seen.get if marks else {}
+            break
+        except Exception as error:
+            good, bad = 0, len(left)  # the first `good` steps run, the first `bad` do not
+            while bad - good > 1:
+                middle = (good + bad) // 2
+                try:
+                    durable(_chain(df, left[:middle], continue_on_error, False)[0])
+                    good = middle
+                except Exception as closer:
+                    bad, error = middle, closer
+            i, step = left.pop(good)
+            broken[i] = (i, str(_parts(step)[0]), "error", None, str(error)[:500])
+            if not continue_on_error:
+                left = left[:good]
+    rows = list(broken.values())
+    for i, name, state, error in status:
+        if not continue_on_error and broken and i > min(broken):
+            continue
+        n = failed.get(f"{MARK}{i}")
+        rows.append((i, name, "error" if n else state, n, f"{n} rows could not be read" if n else error))
+    return written, spark.createDataFrame(sorted(rows, key=lambda r: r[0]), "position int, action string, status string, failed_rows long, error string")
 
 
 def pipeline_preview(df: DataFrame, steps: Sequence[dict[str, Any]], order: Sequence[str], rows: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -54,6 +54,24 @@ def transformations_query(spark, sf):
     return rounded(df.drop("o_orderdate"), "o_totalprice", "o_orderpriority")
 
 
+# Every seventh date is no date; a step that reads it is told how many it could not.
+@query(
+    "run_transformations",
+    """SELECT 0 AS position, 'extract_date_components' AS action, 'error' AS status, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS failed_rows FROM orders
+    UNION ALL SELECT 1, 'extract_time_deltas', 'error', count(*) FILTER (WHERE o_orderkey % 7 = 0) FROM orders
+    UNION ALL SELECT 2, 'scale_numeric', 'success', NULL UNION ALL SELECT 3, 'no_such_step', 'error', NULL UNION ALL SELECT 4, 'encode_categorical', 'success', NULL""",
+)
+def run_transformations_query(spark, sf):
+    shown = F.when(F.col("o_orderkey") % 7 == 0, F.lit("unknown")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", shown.alias("shown"), F.lit("2030-01-01").alias("until"))
+    steps = [
+        {"action": "extract_date_components", "params": {"column": "shown", "components": ["year"]}},
+        {"action": "extract_time_deltas", "params": {"date_col": "shown", "reference_col": "until"}},
+        *STEPS[1:4],
+    ]
+    return flow.run_transformations(orders, steps)[1].drop("error")
+
+
 @query(
     "pipeline_preview",
     """WITH o AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100), m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM o)

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..modeling import learners, training
+from ..modeling import learners, sigmoid, training
 from ..operators import evaluate, explain, neighbors, reduce, trees
 from ..operators.sampling import train_test_split, train_test_split_stratified
 from ..session import scratch_path, spread
@@ -229,6 +229,54 @@ query(
 )(_stumps("gradient_boosting_regressor", trees=2))
 
 
+def _softmax_round(number: int, source: str) -> str:
+    """A stump for each of three classes on the gradients of the softmax: cells are months with `c` rows, `y0..y2` of each class and scores `f0..f2`."""
+    n = number
+    steps = [
+        f"""p{n} AS (SELECT *, exp(f0) + exp(f1) + exp(f2) AS z FROM {source}),
+        g{n} AS (SELECT month, c, f0, f1, f2, y0, y1, y2, {', '.join(f'exp(f{k}) / z AS q{k}' for k in range(3))} FROM p{n}),
+        h{n} AS (SELECT *, {', '.join(f'y{k} - c * q{k} AS r{k}, c * q{k} * (1 - q{k}) AS v{k}' for k in range(3))} FROM g{n})"""
+    ]
+    for k in range(3):
+        low, high = "FILTER (WHERE h.month <= t.month)", "FILTER (WHERE h.month > t.month)"
+        steps.append(
+            f"""s{n}{k} AS (SELECT t.month AS t, pow(sum(r{k}) {low}, 2) / sum(c) {low} + pow(sum(r{k}) {high}, 2) / sum(c) {high} AS gain,
+              2.0 / 3 * sum(r{k}) {low} / sum(v{k}) {low} AS low, 2.0 / 3 * sum(r{k}) {high} / sum(v{k}) {high} AS high FROM h{n} t, h{n} h GROUP BY 1),
+            b{n}{k} AS (SELECT * FROM s{n}{k} WHERE gain IS NOT NULL ORDER BY gain DESC, t LIMIT 1)"""
+        )
+    moved = ", ".join(f"f{k} + 0.1 * CASE WHEN month <= b{n}{k}.t THEN b{n}{k}.low ELSE b{n}{k}.high END AS f{k}" for k in range(3))
+    steps.append(f"m{n} AS (SELECT month, c, y0, y1, y2, {moved} FROM h{n}, b{n}0, b{n}1, b{n}2)")
+    return ", ".join(steps)
+
+
+# Where margins take two values, the likeliest curve meets the share of each, with labels drawn in from 0 and 1.
+@query(
+    "svc_sigmoid",
+    """WITH m AS (SELECT CASE WHEN l_quantity > 25 THEN 0.8 ELSE -0.4 END AS margin, l_discount >= 0.06 AS hit FROM lineitem), n AS (SELECT count(*) FILTER (WHERE hit) AS a, count(*) FILTER (WHERE NOT hit) AS b FROM m)
+    SELECT margin::DOUBLE AS margin, round(avg(CASE WHEN hit THEN (a + 1) / (a + 2) ELSE 1 / (b + 2) END), 6) AS probability FROM m, n GROUP BY 1""",
+)
+def sigmoid_query(spark, sf):
+    margin = F.when(F.col("l_quantity") > 25, 0.8).otherwise(-0.4)
+    rows = table(spark, sf, "lineitem").select(margin.alias("margin"), (F.col("l_discount") >= 0.06).alias("hit"))
+    slope, shift = sigmoid.fit_sigmoid(rows)
+    curve = 1 / (1 + F.exp(-(F.lit(slope) * F.col("margin") + F.lit(shift))))
+    return rounded(rows.select("margin").distinct().withColumn("probability", curve), "probability")
+
+
+# Two rounds of boosting by stumps for three classes, from counts by month.
+@query(
+    "fit_gradient_boosting_classes",
+    f"""WITH cells AS (SELECT month(o_orderdate) AS month, count(*)::DOUBLE AS c, {', '.join(f"count(*) FILTER (WHERE o_orderstatus = '{s}')::DOUBLE AS y{k}" for k, s in enumerate("FOP"))} FROM orders GROUP BY 1),
+    t AS (SELECT {', '.join(f'ln(sum(y{k}) / sum(c)) AS f{k}' for k in range(3))} FROM cells), m0 AS (SELECT cells.*, f0, f1, f2 FROM cells, t), {_softmax_round(1, 'm0')}, {_softmax_round(2, 'm1')}
+    SELECT month, {', '.join(f'round(exp(f{k}) / (exp(f0) + exp(f1) + exp(f2)), 6) AS p{k}' for k in range(3))} FROM m2""",
+)
+def boosted_classes_query(spark, sf):
+    data = table(spark, sf, "orders").select(F.month("o_orderdate").cast("int").alias("month"), "o_orderstatus")
+    model = _fitted(data, ["month"], "o_orderstatus", "gradient_boosting_classifier", trees=2, max_depth=1)
+    scored = learners.predict_batch(model, data.select("month").distinct(), ["month"], probabilities=True)
+    return rounded(scored.select("month", *[F.col("probabilities")[k].alias(f"p{k}") for k in range(3)]), "p0", "p1", "p2")
+
+
 # With one yes-or-no feature and hardly any penalty the probabilities are the shares of its two groups.
 @query(
     "fit_logistic_regression_shares",
