@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import Param, Params, TypeConverters
@@ -60,11 +61,17 @@ def fit_sigmoid(margins: DataFrame, margin: str = "margin", hit: str = "hit") ->
 def held_out_margins(data: DataFrame, features: list[str], train: Callable[[DataFrame], Transformer], folds: int = FOLDS) -> DataFrame:
     """`(label, margins)` of all rows, each from a learner that was fitted without its fold; equal rows share a fold."""
     marked = data.withColumn("__fold", F.pmod(F.xxhash64(*[F.col(f"`{f}`") for f in features], "label"), F.lit(folds)))
-    out = None
-    for i in range(folds):
+
+    def fold(i: int) -> DataFrame:
         scored = train(marked.filter(F.col("__fold") != i)).transform(marked.filter(F.col("__fold") == i))
-        part = scored.select("label", vector_to_array("rawPrediction").alias("margins"))
-        out = part if out is None else out.unionByName(part)
+        return scored.select("label", vector_to_array("rawPrediction").alias("margins"))
+
+    # The fits are many small jobs each, so they are started together.
+    with ThreadPool(folds) as pool:
+        parts = pool.map(inheritable_thread_target(data.sparkSession)(fold), range(folds))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

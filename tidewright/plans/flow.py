@@ -10,7 +10,7 @@ from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_words
 from ..operators import clean, dates, encode, profile, reduce, scale, text
@@ -248,11 +248,10 @@ def run_transformations(
     while True:
         out, status = _chain(df, left, continue_on_error, True)
         marks = [c for c in out.columns if c.startswith(MARK)]
-        seen = Observation()
-        counted = out.observe(seen, *[F.count_if(q(m)).alias(m) for m in marks]) if marks else out
         try:
-            written = durable(counted.drop(*marks))
-            failed = seen.get if marks else {}
+            # The marks are written with the rows, so counting them reads nothing else.
+            written = durable(out)
+            failed = written.agg(*[F.count_if(q(m)).alias(m) for m in marks]).first().asDict() if marks else {}
             break
         except Exception as error:
             good, bad = 0, len(left)  # the first `good` steps run, the first `bad` do not
@@ -273,7 +272,7 @@ def run_transformations(
             continue
         n = failed.get(f"{MARK}{i}")
         rows.append((i, name, "error" if n else state, n, f"{n} rows could not be read" if n else error))
-    return written, spark.createDataFrame(sorted(rows, key=lambda r: r[0]), "position int, action string, status string, failed_rows long, error string")
+    return written.drop(*marks), spark.createDataFrame(sorted(rows, key=lambda r: r[0]), "position int, action string, status string, failed_rows long, error string")
 
 
 def pipeline_preview(df: DataFrame, steps: Sequence[dict[str, Any]], order: Sequence[str], rows: int = 100) -> tuple[DataFrame, DataFrame]:

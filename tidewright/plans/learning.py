@@ -241,7 +241,7 @@ def _softmax_round(number: int, source: str) -> str:
         low, high = "FILTER (WHERE h.month <= t.month)", "FILTER (WHERE h.month > t.month)"
         steps.append(
             f"""s{n}{k} AS (SELECT t.month AS t, pow(sum(r{k}) {low}, 2) / sum(c) {low} + pow(sum(r{k}) {high}, 2) / sum(c) {high} AS gain,
-              2.0 / 3 * sum(r{k}) {low} / sum(v{k}) {low} AS low, 2.0 / 3 * sum(r{k}) {high} / sum(v{k}) {high} AS high FROM h{n} t, h{n} h GROUP BY 1),
+              2.0 / 3 * sum(r{k}) {low} / sum(v{k}) {low} AS low, 2.0 / 3 * sum(r{k}) {high} / sum(v{k}) {high} AS high FROM (SELECT DISTINCT month FROM h{n}) t, h{n} h GROUP BY 1),
             b{n}{k} AS (SELECT * FROM s{n}{k} WHERE gain IS NOT NULL ORDER BY gain DESC, t LIMIT 1)"""
         )
     moved = ", ".join(f"f{k} + 0.1 * CASE WHEN month <= b{n}{k}.t THEN b{n}{k}.low ELSE b{n}{k}.high END AS f{k}" for k in range(3))
