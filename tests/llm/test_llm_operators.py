@@ -481,16 +481,134 @@ def test_decontamination_of_missing_ids(spark):
 def test_licence_families_and_unknown(spark, odd, empty):
     lines = [s for many in licences.TEMPLATES.values() for s in many]
     families = [f for f, many in licences.TEMPLATES.items() for _ in many]
-    other = ["A driving license is needed to rent a van.", "The general public was asked.", prose(3, 30), "", "Apache pilots met at MIT."]
-    text = "\n".join(lines + other)
+    other = ["A driving license is needed to rent a van.", "The general public was asked.", prose(3, 30), "", "Apache pilots met at MIT.",
+             "I lost my license last year, but version 3 of the form is public.", "The lesser general was in the free foundation."]
+    text = "\n\n".join(lines + other)
     rows = licences.scan_licences(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()
-    found = {r["paragraph"]: r for r in rows}
-    assert [found[i]["family"] for i in range(len(lines))] == families
-    assert all(found[i]["confirmed"] and found[i]["likeness"] == 1.0 for i in range(len(lines)))
-    assert not [found[i]["confirmed"] for i in range(len(lines), len(lines) + len(other)) if i in found and found[i]["confirmed"]]
+    found = defaultdict(list)
+    for r in rows:
+        found[r["paragraph"]].append(r)
+    assert [[r["family"] for r in found[i]] for i in range(len(lines))] == [[f] for f in families]
+    assert all(found[i][0]["confirmed"] and found[i][0]["likeness"] == 1.0 for i in range(len(lines)))
+    assert not [found[i] for i in range(len(lines), len(lines) + len(other)) if i in found]
     assert licences.scan_licences(odd).count() == licences.scan_licences(empty).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL_TEXT = """This file is part of Something.
+
+Something is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def commented(text, sign):
+    if sign == "/*":
+        return "/*\n" + "\n".join(f" * {line}".rstrip() for line in text.split("\n")) + "\n */"
+    return "\n".join(f"{sign}{line}".rstrip() for line in text.split("\n"))
+
+
+def test_licence_texts_wrapped_and_in_comments(spark):
+    texts = {
+        "mit": MIT_TEXT, "gpl-3.0": GPL_TEXT.format(":", ",", 3), "gpl-2.0": GPL_TEXT.format(";", ";", 2), "bsd": BSD_TEXT, "apache-2.0": APACHE_TEXT,
+    }
+    rows = [(f"{family}{sign}", f"{prose(1, 30)}\n\n{commented(text, sign)}\n\n{prose(2, 30)}", "x") for family, text in texts.items() for sign in ("", "# ", "// ", "/*")]
+    rows += [
+        ("dual", "You may use it under either of Apache License, Version 2.0 or MIT license at your option.", "x"),
+        ("spdx", "SPDX-License-Identifier: MIT OR Apache-2.0", "x"),
+        (None, "Released under the MIT License.", "x"), (None, "Released under the MIT License.", "x"),
+    ]
+    got = defaultdict(Counter)
+    docs = spark.createDataFrame(rows, "doc_id string, text string, family string")
+    for r in licences.scan_licences(docs.withColumn("row", F.lit(1))).collect():
+        assert r["confirmed"]
+        got[r["doc_id"]][r["family"]] += 1
+    for family in texts:
+        for sign in ("", "# ", "// ", "/*"):
+            assert set(got[f"{family}{sign}"]) == {family}, (family, sign)
+    assert got["mit"]["mit"] == 3 and got["bsd"]["bsd"] == 3 and got["apache-2.0"]["apache-2.0"] == 2
+    assert set(got["dual"]) == set(got["spdx"]) == {"mit", "apache-2.0"} and got[None] == {"mit": 2}
+
+
+def test_licence_scan_equals_a_plain_one(spark):
+    """The same model and rules word by word in Python."""
+    model = licences.train(spark)
+    stop, telling = set(licences.STOP), lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w and w not in stop]  # noqa: F841
+
+    def grams(t):
+        words = telling(t)
+        return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+
+    def sentences(p):
+        name = r"(?:the )?(?:mit|apache|bsd|gpl|lgpl|gnu|mpl|mozilla|cc0|cc|creative)\b"
+        return [s for part in re.split(r'(?<=[.!?])\s+(?=[A-ZÄÖÜ"(\[])', p) for s in re.split(rf"(?i)\s*(?:\bor\b|\band\b|/|\|)\s*(?={name})", part)]
+
+    def judge(p):
+        best, held = {}, set()
+        for s in sentences(p):
+            known = [g for g in grams(s) if g in model.weights]
+            held.update(known)
+            if not known:
+                continue
+            z = [(b + sum(model.weights[g][k] for g in known)) / model.temperature for k, b in enumerate(model.bias)]
+            odds = np.exp(np.array(z) - max(z))
+            chance = odds[:-1] / odds.sum()
+            if chance.max() >= model.threshold:
+                family = model.families[int(chance.argmax())]
+                best[family] = max(best.get(family, 0), float(chance.max()))
+        rows = []
+        for family, p_ in best.items():
+            own = [set().union(*map(grams, sentences(t))) for t in licences.TEMPLATES[family]]
+            rows.append((max(len(o & held) / len(o) for o in own) >= licences.LIKENESS, p_, family))
+        top = max(rows, default=None)
+        return {(f, round(p_, 6), c) for c, p_, f in rows if c or not top[0] and p_ >= licences.SURE and f == top[2]}
+
+    texts = [s for many in licences.HELD_OUT.values() for s in many] + [" ".join(licences.OTHER), MIT_TEXT.replace("\n", " "), prose(4, 60)]
+    rnd = random.Random(3)
+    for _ in range(40):
+        words = " ".join(rnd.sample(texts, 2)).split()
+        texts.append(" ".join(w for w in words if rnd.random() < 0.85))
+    got = defaultdict(set)
+    for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r["doc_id"]].add((r["family"], round(r["probability"], 6), r["confirmed"]))
+    assert dict(got) == {i: found for i, t in enumerate(texts) if (found := judge(re.sub(r"\s+", " ", t)))}
+    held = [(f, s) for f, many in licences.HELD_OUT.items() if f != licences.UNKNOWN for s in many]
+    found = [f in {g[0] for g in judge(s)} for f, s in held]
+    assert sum(found) >= 0.7 * len(held)
+    assert not [s for s in licences.HELD_OUT[licences.UNKNOWN] if judge(s)]
+
+
 def test_pseudo_likelihood_prefers_what_it_learned(spark, odd, empty):
     docs = spark.createDataFrame([(i, prose(i, 300)) for i in range(40)] + [(99, "qzx jvk wqz xjq vzk " * 60)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in pseudo_lm.pseudo_likelihood(docs).collect()}
