@@ -572,7 +572,7 @@ def test_licence_scan_equals_a_plain_one(spark):
 
     def sentences(p):
         name = r"(?:the )?(?:mit|apache|bsd|gpl|lgpl|gnu|mpl|mozilla|cc0|cc|creative)\b"
-        return [s for part in re.split(r'(?<=[.!?])\s+(?=[A-ZÄÖÜ"(\[])', p) for s in re.split(rf"(?i)\s*(?:\bor\b|\band\b|/|\|)\s*(?={name})", part)]
+        return [s for part in re.split(r'(?<=[.!?])\s+(?=[A-ZÄÖÜ"(\[])', p) for s in re.split(rf"(?i)\s+(?:or|and)\s+(?={name})|[/|]\s*(?={name})", part)]
 
     def judge(p):
         best, held = {}, set()

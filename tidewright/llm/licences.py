@@ -194,14 +194,14 @@ def grams_of(words: Column) -> Column:
 
 def paragraphs_of(text: Column) -> Column:
     """Paragraphs with their lines joined; comment signs at either end of a line do not count."""
-    bare = F.regexp_replace(text, r"(?m)^[ \t]*(?:/\*+|\*+/|\*|//+|#+|--+|;+|%+|<!--)[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$", "")
-    return F.transform(F.split(bare, r"\n[ \t]*\n+", -1), lambda p: F.regexp_replace(p, r"\s+", " "))
+    bare = F.regexp_replace(text, r"(?m)^[ \t]*(?:/\*+|\*+/|\*|//+|#+|--+|;+|%+|<!--)[ \t]*|(?:\*+/|-->)[ \t\r]*$", "")
+    return F.transform(F.split(bare, r"\n[ \t\r]*\n+", -1), lambda p: F.regexp_replace(p, r"\s+", " "))
 
 
 def sentences_of(paragraph: Column) -> Column:
     """Sentences, and the sides of an "or", "and" or slash in front of a licence name."""
     name = r"(?:the )?(?:mit|apache|bsd|gpl|lgpl|gnu|mpl|mozilla|cc0|cc|creative)\b"
-    return F.split(paragraph, rf"(?<=[.!?])\s+(?=[\p{{Lu}}\"(\[])|(?i)\s*(?:\bor\b|\band\b|/|\|)\s*(?={name})")
+    return F.split(paragraph, rf"(?<=[.!?])\s+(?=[\p{{Lu}}\"(\[])|(?i)\s+(?:or|and)\s+(?={name})|[/|]\s*(?={name})")
 
 
 def _forms() -> list[tuple[str, str, bool]]:
