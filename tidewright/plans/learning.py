@@ -149,14 +149,21 @@ def smote_classes_query(spark, sf):
     return smote_query(spark, sf).groupBy("toxic").agg(F.count("*").alias("added"))
 
 
+def _signs(column: str) -> str:
+    """The four signs of classes in a numeric column; two of them are enough."""
+    return f"""SELECT '{column}' AS "column", CASE WHEN (u <= 10)::INT + (u <= greatest(2, n * 0.05))::INT + (whole AND u <= 20)::INT + (whole AND lo >= 0 AND hi <= 1)::INT >= 2
+      THEN 'classification' ELSE 'regression' END AS problem_type
+      FROM (SELECT count(DISTINCT {column}) AS u, count({column}) AS n, bool_and({column} = floor({column})) AS whole, min({column}) AS lo, max({column}) AS hi FROM lineitem)"""
+
+
 @query(
     "detect_problem_type",
-    """SELECT 'l_returnflag' AS "column", 'classification' AS problem_type UNION ALL SELECT 'l_linenumber', 'classification'
-    UNION ALL SELECT 'l_extendedprice', 'regression' UNION ALL (SELECT 'l_partkey', CASE WHEN count(DISTINCT l_partkey) <= 10 THEN 'classification' ELSE 'regression' END FROM lineitem)""",
+    "SELECT 'l_returnflag' AS \"column\", 'classification' AS problem_type UNION ALL "
+    + " UNION ALL ".join(_signs(c) for c in ("l_linenumber", "l_extendedprice", "l_partkey", "l_tax")),
 )
 def problem_query(spark, sf):
     lines = table(spark, sf, "lineitem")
-    names = ["l_returnflag", "l_linenumber", "l_extendedprice", "l_partkey"]
+    names = ["l_returnflag", "l_linenumber", "l_extendedprice", "l_partkey", "l_tax"]
     return spark.createDataFrame([(c, evaluate.detect_problem_type(lines, c)) for c in names], "column string, problem_type string")
 
 

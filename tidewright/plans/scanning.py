@@ -209,3 +209,18 @@ def complete_case_query(spark, sf):
 def zero_variance_query(spark, sf):
     df = table(spark, sf, "lineitem").withColumn("sign", F.signum("l_quantity"))
     return rounded(project.zero_variance_features(df, ["l_quantity", "l_discount", "sign"]), "variance", places=4)
+
+
+LINE_FEATURES = ["l_quantity", "l_returnflag", "l_shipdate", "l_linestatus", "l_tax"]
+
+
+@query(
+    "non_numeric_features",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS categories FROM lineitem" for c in ("l_returnflag", "l_shipdate", "l_linestatus")),
+)
+def non_numeric_query(spark, sf):
+    """Features that have to be encoded first, with the number of their categories."""
+    df = table(spark, sf, "lineitem")
+    found = project.non_numeric_features(df, LINE_FEATURES)
+    one = df.agg(*[F.count_distinct(c).alias(c) for c in found])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("categories")) for c in found])))
