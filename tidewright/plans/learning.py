@@ -442,8 +442,7 @@ def tune_parzen_query(spark, sf):
 
 @query("automl_select")
 def automl_query(spark, sf):
-    small = {"gradient_boosting_regressor": {"trees": 10}, "random_forest_regressor": {"trees": 10}, "svr": {"max_iter": 20}}
-    found = training.automl_select(part_rows(spark, sf), PART_FEATURES, "p_retailprice", "p_partkey", folds=2, overrides=small)
+    found = training.automl_select(part_rows(spark, sf), PART_FEATURES, "p_retailprice", "p_partkey")
     best = found["best"]["algorithm"]
     rows = [(e["algorithm"], e["status"], e.get("cv_score"), e.get("r2_score"), e["algorithm"] == best) for e in found["leaderboard"]]
     return spark.createDataFrame(rows, "algorithm string, status string, cv_score double, r2_score double, best boolean")
