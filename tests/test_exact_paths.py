@@ -186,7 +186,8 @@ def brute_nearest(points, groups, asked, k, self_too):
 
 
 @pytest.mark.parametrize("block_rows, hot, exclude", [(1000, False, True), (15, True, True), (15, True, False)])
-def test_nearest_by_pivots(spark, block_rows, hot, exclude):
+def test_nearest_by_pivots(spark, monkeypatch, block_rows, hot, exclude):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", block_rows)  # also cuts the queries of a part into lanes
     rng = np.random.default_rng(3)
     centres = rng.uniform(-50, 50, (12, 3))
     points = [(i, (centres[i % 12] + rng.normal(0, 1, 3)).round(2).tolist()) for i in range(240)]

@@ -22,7 +22,7 @@ from ..schema import q
 from ..session import durable
 from .lookup import lookup_join
 
-BLOCK_ROWS = 20_000  # rows of a cell that are compared at once
+BLOCK_ROWS = 20_000  # rows or queries of a cell that are compared at once
 MOST_PIVOTS = 1_024
 SAMPLE = 8  # sampled rows per pivot
 CHUNK = 256
@@ -110,17 +110,25 @@ def _placed(rows: DataFrame, pivots: Broadcast) -> DataFrame:
     return rows.mapInArrow(place, schema)
 
 
-def _compared(asked: DataFrame, rows: DataFrame, k: int, kind: T.DataType) -> DataFrame:
-    """`(rep, neighbor, distance)`: the k best of each cell part for the queries `rep, g, p, part, x, limit` sent there.
+def _in_lanes(asked: DataFrame, rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a `lane`: queries of a part are cut into lanes of bounded size, and the part goes to each of them.
 
-    Queries of a part are cut into lanes of bounded size, and the part goes to each of them.
+    A query visits a part once, so no part has more than the `most` queries there are.
     """
+    if most <= BLOCK_ROWS:
+        return asked.withColumn("lane", F.lit(0)), rows.withColumn("lane", F.lit(0))
     lanes = asked.groupBy("g", "p", "part").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_ROWS)
     lanes = lanes.select("g", "p", "part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("lanes"))
     few = durable(lanes)  # parts with many queries: at most one for every BLOCK_ROWS rows
     count = F.coalesce(F.col("lanes"), F.lit(1))
     left = asked.join(few, ["g", "p", "part"], "left").withColumn("lane", F.pmod(F.xxhash64("rep"), count).cast("int")).drop("lanes")
     right = rows.join(few, ["g", "p", "part"], "left").withColumn("lane", F.explode(F.sequence(F.lit(0), count - 1))).drop("lanes")
+    return left, right
+
+
+def _compared(asked: DataFrame, rows: DataFrame, k: int, kind: T.DataType, most: int) -> DataFrame:
+    """`(rep, neighbor, distance)`: the k best of each cell part for the queries `rep, g, p, part, x, limit` sent there."""
+    left, right = _in_lanes(asked, rows, most)
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -240,11 +248,12 @@ def nearest(
     asked = plain(queries)
     unique = levelled(asked.groupBy("rep").agg(F.first("g").alias("g"), F.first("x").alias("x")))
     unique = durable(_placed(unique, centres).withColumn("part", F.pmod(F.xxhash64("rep"), of_cell).cast("int")).drop("away"))
-    first = durable(_compared(unique.withColumn("limit", F.lit(float("inf"))), filed, wanted, kind))
+    most = unique.count()
+    first = durable(_compared(unique.withColumn("limit", F.lit(float("inf"))), filed, wanted, kind, most))
     limits = first.groupBy("rep").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
     limit = F.when(F.col("n") >= wanted, F.col("far")).otherwise(F.lit(float("inf")))
     bound = unique.join(limits, "rep", "left").withColumn("limit", limit).drop("n", "far")
-    second = _compared(border_routes(bound, cells), filed, wanted, kind)
+    second = _compared(border_routes(bound, cells), filed, wanted, kind, most)
     best = _best(first.unionByName(second), wanted)
     listed = best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))).alias("found"))
     answered = lookup_join(asked.select("id", "rep"), listed, "rep", ["found"], map_key="rep").filter("found is not null")

@@ -168,13 +168,21 @@ def event_stream(spark, sf):
     return jobs.file_stream(spark, os.path.join(sf, "events*.parquet"), schema)
 
 
-@query(
-    "stream_sessions",
-    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
-    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_update, count(*) AS updates FROM s GROUP BY user_id, session""",
-)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_update, count(*) AS updates FROM s GROUP BY user_id, session"""
+
+
+@query("stream_sessions", SESSIONS)
 def sessions_query(spark, sf):
+    stream = event_stream(spark, sf).select("user_id", "ts")
+    out = jobs.run_closed(stream, "ts", lambda e: jobs.sessions(e, "user_id", "ts"))
+    return out.withColumns({"created_at": stamp("created_at"), "last_update": stamp("last_update")})
+
+
+@query("stream_timed_sessions", SESSIONS)
+def timed_sessions_query(spark, sf):
+    """The same with the state and the timers of each user in hand."""
     timers.timed(spark)
     stream = event_stream(spark, sf).select("user_id", "ts")
     out = jobs.run_closed(stream, "ts", lambda e: timers.timed_sessions(e, "user_id", "ts", 3600))
