@@ -373,7 +373,7 @@ def test_boosting_of_classes_equals_a_plain_booster(spark, monkeypatch):
 
 @pytest.mark.parametrize("target", ["two", "kind"])
 def test_probabilities_of_support_vector_machines(spark, grown, target):
-    model = learners.fit(grown, FEATURES, target, "svc", max_iter=30)
+    model = learners.fit(grown, FEATURES, target, "svc", max_iter=10)
     loaded = learners.load_model(learners.save_model(model, scratch_path(spark, "model")))
     rows = learners.predict_batch(loaded, grown, FEATURES, probabilities=True).collect()
     classes = 2 if target == "two" else 3
