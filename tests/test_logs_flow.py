@@ -146,6 +146,38 @@ def test_open_state_is_bounded():
         assert made > 250 and most <= 8
 
 
+def test_a_key_holds_one_timer_for_all_its_sessions():
+    calls = []
+
+    class Handle:
+        value, due = None, set()
+        getValueState = lambda self, *_: self
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, value: calls.append("update") or setattr(self, "value", value)
+        clear = lambda self: calls.append("clear") or setattr(self, "value", None)
+        listTimers = lambda self: sorted(self.due)
+        deleteTimer = lambda self, t: self.due.discard(t)
+        registerTimer = lambda self, t: calls.append("timer") or self.due.add(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    step, handle = timers.OpenSessions("ts", 60_000_000, T.StructField("user", T.StringType())), Handle()
+    step.init(handle)
+    times = pd.to_datetime([i * 600 for i in range(200)], unit="s")
+    list(step.handleInputRows(("u",), iter([pd.DataFrame({"ts": times})]), None))
+    assert len(handle.due) == 1
+    half = (100 * 600 - 1) * 1000
+    first = handle.due.pop()
+    assert sum(len(out) for out in step.handleExpiredTimer(("u",), Now(half), Now(first))) == 100
+    last = handle.due.pop()
+    assert last > half and not handle.due
+    assert sum(len(out) for out in step.handleExpiredTimer(("u",), Now(10**9), Now(last))) == 100
+    assert handle.value is None and len(calls) < 8
+
+
 def test_lineage(spark):
     nodes = spark.createDataFrame([(1, []), (2, [1]), (3, [2, 1]), (4, [3, 99])], "transformation_id int, dependencies array<int>")
     roots = spark.createDataFrame([(4,)], "root int")

@@ -40,13 +40,16 @@ class OpenSessions(StatefulProcessor):
         return list(zip(*self.open.get())) if self.open.exists() else []
 
     def _keep(self, sessions: list[tuple[int, int, int]]) -> None:
+        """One timer, for the session that ends first: every call to the state store has its price."""
         if sessions:
             self.open.update(tuple([int(v) for v in c] for c in zip(*sessions)))
+            self.handle.registerTimer(_due(min(last for _, last, _ in sessions) + self.gap))
         else:
             self.open.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self._held()
+        known = bool(held)
         for batch in rows:
             held += [(t, t, 1) for t in micros(batch[self.ts])]
         merged: list[tuple[int, int, int]] = []
@@ -56,15 +59,15 @@ class OpenSessions(StatefulProcessor):
                 merged[-1] = (a, max(b, last), m + n)
             else:
                 merged.append((first, last, n))
+        if known:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self._keep(merged)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        for _, last, _ in merged:
-            self.handle.registerTimer(_due(last + self.gap))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # All that the watermark has passed ends now, not only what this timer was set for.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
         held = self._held()
         done = [s for s in held if _due(s[1] + self.gap) <= now]
         self._keep([s for s in held if _due(s[1] + self.gap) > now])
