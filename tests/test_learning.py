@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions.draws import Draws
+from tidewright.functions.hashing import row_hash
 from tidewright.modeling import learners, training
 from tidewright.operators import evaluate, explain
 from tidewright.schema import TableError
@@ -110,3 +112,27 @@ def test_selection_takes_neighbours_along(spark):
         assert [e["status"] for e in found["leaderboard"]] == ["ok", "ok"], found
         # Every point has copies of itself on both sides of each fold.
         assert all(e["cv_score"] > 0.9 for e in found["leaderboard"])
+
+
+def test_draws_are_row_hashes(spark):
+    keys = [None, "7", "x" * 30, "y" * 80]
+    rows = spark.createDataFrame([(k, i, j) for k in keys for i in (0, 9, 10, 120) for j in range(4)], "k string, i int, j int")
+    want = rows.select("k", "i", "j", row_hash(F.col("k"), F.col("i"), F.col("j"), seed=5).alias("h")).collect()
+    drawn = Draws(121, 4, 5)
+    held = {k: drawn.of(k) for k in keys}
+    assert all(held[r["k"]][r["i"], r["j"]] == r["h"] for r in want)
+
+
+@pytest.mark.parametrize("target, algorithm", [("number", "linear_regression"), ("two", "logistic_regression"), ("three", "logistic_regression")])
+def test_local_fits_of_linear_models_make_no_rows(spark, monkeypatch, target, algorithm):
+    rows = [(None if i == 3 else i // 2, float(i % 7), float(i % 5), i * 0.5, i % 2, i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, number double, two int, three int")
+    model = learners.fit(df, ["a", "b"], target, algorithm)
+    quick = explain.lime_local(model, df, "id", ["a", "b"], 50).collect()
+    assert len(quick) == 2 * len({r[0] for r in rows})
+    monkeypatch.setattr(explain, "_linear_score", lambda *_: None)
+    slow = {(r["id"], r["feature"]): r["weight"] for r in explain.lime_local(model, df, "id", ["a", "b"], 50).collect()}
+    assert all(abs(slow[r["id"], r["feature"]] - r["weight"]) < 1e-9 for r in quick)
+    monkeypatch.undo()
+    monkeypatch.setattr(explain, "_scored_sums", None)
+    assert explain.lime_local(model, df.filter("id = 1"), "id", ["a", "b"], 50).count() == 2

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.regression import LinearRegressionModel
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.draws import Draws
 from ..functions.hashing import SPAN, row_hash
 from ..schema import q, require_numeric
 
+LOCAL_ROWS = 500  # rows of a task whose perturbations are scored in numpy
+
 
 def _means(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
     row = df.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
@@ -111,18 +118,78 @@ def top_k_features(importances: DataFrame, n: int = 10, value: str = "importance
     return importances.orderBy(F.desc(F.abs(q(value))), "feature").limit(n)
 
 
-def lime_local(
-    model: PipelineModel, df: DataFrame, key: str, features: Sequence[str], samples: int = 5_000, seed: int = 42
+def _linear_score(model: PipelineModel, features: Sequence[str]) -> Callable[[np.ndarray], np.ndarray] | None:
+    """The score of a linear or logistic model for rows of the features as an array; None for other models."""
+    stages = [s for s in model.stages if not isinstance(s, IndexToString)]
+    if len(stages) != 2 or not isinstance(stages[0], VectorAssembler) or not isinstance(stages[1], (LinearRegressionModel, LogisticRegressionModel)):
+        return None
+    names, learner = stages[0].getInputCols(), stages[1]
+    if set(names) - set(features) or learner.getFeaturesCol() != stages[0].getOutputCol():
+        return None
+    logistic = isinstance(learner, LogisticRegressionModel)
+    rows = learner.coefficientMatrix.toArray() if logistic else learner.coefficients.toArray()[None, :]
+    offsets = learner.interceptVector.toArray() if logistic else np.array([learner.intercept])
+    weights = np.zeros((len(rows), len(features)))
+    for c, of_class in zip(names, rows.T):
+        weights[:, list(features).index(c)] += of_class
+
+    def score(x: np.ndarray) -> np.ndarray:
+        margins = x @ weights.T + offsets
+        if not logistic:
+            return margins[:, 0]
+        with np.errstate(over="ignore"):
+            if len(weights) == 1:
+                return 1 / (1 + np.exp(-margins[:, 0]))
+            shares = np.exp(margins - margins.max(axis=1, keepdims=True))
+            return shares[:, -1] / shares.sum(axis=1)
+
+    return score
+
+
+def _local_sums(
+    df: DataFrame, key: str, features: Sequence[str], score: Callable[[np.ndarray], np.ndarray], spread: Sequence[float], samples: int, seed: int, rows: int
 ) -> DataFrame:
-    """`(key, feature, weight)`: linear fit around each row, nearer perturbations weigh more.
+    """`(key, left, right)`: the normal equations of each row, its perturbations drawn and scored where the row is."""
+    d = len(features)
+    width = 0.75 * d**0.5
+    upper = np.triu_indices(d + 1)
+    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // LOCAL_ROWS))
+    values = [q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    taken = df.select(q(key), q(key).cast("string").alias("__text"), *values).repartition(pieces)
+    cells = T.ArrayType(T.DoubleType())
+    schema = T.StructType([taken.schema[0], T.StructField("left", cells), T.StructField("right", cells)])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws = Draws(samples, 2 * d, seed)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([batch.column(i + 2).to_numpy(zero_copy_only=False).astype(float) for i in range(d)])
+            if np.isnan(x).any():
+                raise ValueError("features hold missing values")
+            lefts, rights = [], []
+            for text, point in zip(batch.column(1).to_pylist(), x):
+                hashed = draws.of(text)
+                z = np.sqrt(-2 * np.log((hashed[:, ::2] + 1) / float(SPAN + 1))) * np.cos(2 * np.pi * (hashed[:, 1::2] / float(SPAN)))
+                z[0] = 0.0  # the first sample is the row itself
+                s = score(point + z * np.asarray(spread))
+                w = np.exp(-np.sum(z * z, axis=1) / (width * width))
+                terms = np.column_stack([np.ones(samples), z])
+                weighed = terms * w[:, None]
+                lefts.append((weighed.T @ terms)[upper])
+                rights.append(weighed.T @ s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lefts, pa.list_(pa.float64())), pa.array(rights, pa.list_(pa.float64()))], names=schema.names)
+
+    found = taken.mapInArrow(summed, schema)
+    # Rows of one key are fitted together.
+    return found.groupBy(q(key)).agg(
+        F.array(*[F.sum(F.col("left")[i]) for i in range(len(upper[0]))]).alias("left"), F.array(*[F.sum(F.col("right")[i]) for i in range(d + 1)]).alias("right")
+    )
 
-    Perturbations are drawn from hashes, scored in one pass and summed into the normal
-    equations of each row; only those small matrices are solved in Python.
-    """
-    features = require_numeric(df, features)
+
+def _scored_sums(model: PipelineModel, df: DataFrame, key: str, features: Sequence[str], spread: Sequence[float], samples: int, seed: int) -> DataFrame:
+    """`(key, left, right)`: the normal equations of each row, its perturbations scored by the model as rows."""
     d = len(features)
-    row = df.agg(*[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    spread = [float(row[i] or 0.0) or 1.0 for i in range(d)]
     width = 0.75 * d**0.5
 
     def noise(i: int) -> Column:
@@ -143,7 +210,27 @@ def lime_local(
     weighed = scored.withColumn("__w", w).withColumn("__s", _score(scored))
     sums = [F.sum(F.col("__w") * a * b) for i, a in enumerate(columns) for b in columns[i:]]
     right = [F.sum(F.col("__w") * F.col("__s") * a) for a in columns]
-    normal = weighed.groupBy(q(key)).agg(F.array(*sums).alias("left"), F.array(*right).alias("right"))
+    return weighed.groupBy(q(key)).agg(F.array(*sums).alias("left"), F.array(*right).alias("right"))
+
+
+def lime_local(
+    model: PipelineModel, df: DataFrame, key: str, features: Sequence[str], samples: int = 5_000, seed: int = 42
+) -> DataFrame:
+    """`(key, feature, weight)`: linear fit around each row, nearer perturbations weigh more.
+
+    Perturbations are drawn from hashes, scored in one pass and summed into the normal
+    equations of each row. Those of linear models are drawn, scored and summed where the row is, and never become rows;
+    other models score them as rows.
+    """
+    features = require_numeric(df, features)
+    d = len(features)
+    row = df.agg(*[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(features)], F.count("*").alias("n")).first()
+    spread = [float(row[i] or 0.0) or 1.0 for i in range(d)]
+    score = _linear_score(model, features)
+    if score is None:
+        normal = _scored_sums(model, df, key, features, spread, samples, seed)
+    else:
+        normal = _local_sums(df, key, features, score, spread, samples, seed, row["n"])
 
     @F.pandas_udf("array<double>")
     def solve(left: pd.Series, target: pd.Series) -> pd.Series:
