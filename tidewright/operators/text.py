@@ -6,7 +6,9 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -34,21 +36,24 @@ def simple_tokenize(df: DataFrame, column: str, output: str = "tokens") -> DataF
     return df.withColumn(output, words(_text(df, column)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stem arrays of tokens. Few words make up most text, so a worker remembers stems."""
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Stem arrays of tokens. Few words make up most text: only the different tokens of a batch become Python strings, and a worker remembers stems."""
     known: dict[str, str] = {}
 
     def stem(token: str) -> str:
         out = known.get(token)
         if out is None:
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             out = known[token] = porter_stem(token)
         return out
 
     for batch in batches:
-        yield batch.map(lambda tokens: [stem(t) for t in tokens])
+        tokens = batch.flatten().dictionary_encode()
+        stems = pa.array([stem(t) for t in tokens.dictionary.to_pylist()], pa.string())
+        ends = np.cumsum(pc.list_value_length(batch).to_numpy(zero_copy_only=False))
+        yield pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), stems.take(tokens.indices))
 
 
 def tokenize_stem(df: DataFrame, column: str) -> DataFrame:
