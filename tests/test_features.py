@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,11 @@ STEMS = {
 }
 
 
+def test_stems_are_made_per_different_token():
+    batch = pa.array([["cats"], ["running", "cats", "running"], [], ["cats"]]).slice(1)
+    assert [out.to_pylist() for out in text.stem_tokens.func(iter([batch, batch.slice(1)]))] == [[["run", "cat", "run"], [], ["cat"]], [[], ["cat"]]]
+
+
 def test_stemmer():
     assert {w: porter_stem(w) for w in STEMS} == STEMS
 
