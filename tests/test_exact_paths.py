@@ -305,6 +305,52 @@ def test_lineage_of_cycles_and_long_chains(spark, monkeypatch, graph_rows, walke
     assert found == {(p, c): c in ({p} | set(slow(p, 100))) for p, c in map(tuple, asked.collect())}
 
 
+@pytest.mark.parametrize("graph_rows, walked", [(9, 1 << 21), (150, 50)])
+def test_lineage_of_large_graphs_writes_links_and_no_pairs(spark, monkeypatch, graph_rows, walked):
+    """Ids lead to far fewer others: a core is broadcast, with cycles and ids without links inside and outside."""
+    written = []
+    keep = lineage.durable
+    monkeypatch.setattr(lineage, "durable", lambda df: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(lineage, "WALKED", walked)
+    deps = {i: [i // 3, i // 5, None, i // 3] for i in range(300) if i not in (11, 40, 70)}
+    deps |= {0: [2], 5: [], 6: None, 200: [], 201: None, 299: [299, 298, 1000], 298: [299], 150: [250], 2000: [2001]}
+    names = {i: f"n{i}" for i in [*deps, 11, 40, 70, 1000, 2001, 3000]}
+
+    def slow(root, depth):
+        near, level = {root: 0}, [root]
+        for d in range(1, depth + 1):
+            level = [n for i in level for n in deps.get(i) or [] if n is not None and n not in near]
+            near.update(dict.fromkeys(level, d))
+        return near
+
+    for kind, name in (("long", dict(zip(names, names))), ("string", names)):
+        rows = [(name[i], None if some is None else [None if n is None else name[n] for n in some]) for i, some in deps.items()]
+        nodes = spark.createDataFrame(rows, f"transformation_id {kind}, dependencies array<{kind}>").repartition(5)
+        roots = [*range(0, 300, 7), 11, 150, 200, 201, 298, 299, 2000, 3000]
+        asked = spark.createDataFrame([(name[i],) for i in roots] * 2 + [(None,)], f"root {kind}")
+        for depth in (2, 10):
+            got = {}
+            for r in lineage.lineage_chain(nodes, asked, depth, graph_rows).collect():
+                assert r["transformation_id"] not in got.setdefault(r["root"], {})
+                got[r["root"]][r["transformation_id"]] = r["level"], r["cut"]
+            want = {
+                name[i]: {name[n]: (d, d == depth and any(x is not None for x in deps[n] or [])) for n, d in slow(i, depth).items() if n in deps}
+                for i in roots
+                if i in deps
+            }
+            assert got == want
+        if kind == "long":
+            written.clear()
+            edges = spark.createDataFrame([(a, b) for b, some in deps.items() for a in some or [] if a is not None], "parent_id long, child_id long")
+            pairs = [(p, c) for p in roots for c in (p // 9, p // 7, p, 299, 2, 4000)] * 2 + [(None, 2), (2, None), (None, None)]
+            candidates = spark.createDataFrame(pairs, "parent_id long, child_id int")
+            checked = lineage.lineage_cycle_check(edges, candidates, graph_rows)
+            assert checked.schema["child_id"].dataType.simpleString() == "int"
+            found = [tuple(r) for r in checked.collect()]
+            assert len(found) == len(set(pairs)) and set(found) == {(p, c, None not in (p, c) and c in slow(p, 400)) for p, c in pairs}
+            assert sum(df.count() for df in written) < 2 * len(deps)
+
+
 @pytest.mark.parametrize("fan_in", [16, 2])
 def test_incremental_components_equal_one_fit(spark, monkeypatch, fan_in):
     monkeypatch.setattr(reduce, "FAN_IN", fan_in)
