@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +77,23 @@ def test_selection_goes_on_after_a_failure(data):
     assert found["problem"] == "regression" and found["best"]["algorithm"] == "linear_regression"
 
 
+def test_selection_fits_its_learners_together(data, monkeypatch):
+    """The first fit of either learner waits for the first one of the other."""
+    met, lock, begun, plain = threading.Barrier(2), threading.Lock(), set(), training._trained
+
+    def trained(df, features, target, algorithm, *more, **params):
+        with lock:
+            first = algorithm not in begun
+            begun.add(algorithm)
+        if first:
+            met.wait(60)
+        return plain(df, features, target, algorithm, *more, **params)
+
+    monkeypatch.setattr(training, "_trained", trained)
+    found = training.automl_select(data, FEATURES, "r", "id", ["linear", "ridge"], folds=2)
+    assert [e["status"] for e in found["leaderboard"]] == ["ok", "ok"], found
+
+
 def test_tuning_keeps_the_best(data):
     found = training.tune_grid(data, FEATURES, "r", "decision_tree_regressor", "id", {"max_depth": [1, 4]}, 2)
     assert len(found["trials"]) == 2 and found["params"] == {"max_depth": 4}
