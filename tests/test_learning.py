@@ -2,6 +2,7 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tidewright.functions.draws import Draws
@@ -94,6 +95,49 @@ def test_selection_fits_its_learners_together(data, monkeypatch):
     assert [e["status"] for e in found["leaderboard"]] == ["ok", "ok"], found
 
 
+def test_selection_of_many_rows_starts_fewer_fits_at_once(spark):
+    slots = max(training.PARALLEL_FITS, spark.sparkContext.defaultParallelism)
+    assert training._fits_at_once(spark, 0) == training._fits_at_once(spark, training.SLOT_ROWS) == slots
+    assert training._fits_at_once(spark, 10**9) == training.LEAST_FITS
+
+
+def test_every_row_is_predicted_once(data):
+    """The median error reads the predictions several times; the model reads the rows once."""
+    read = data.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def predicted(x):
+        read.add(1)
+        return 2.0 * x
+
+    found = training.evaluate(data.withColumn("prediction", predicted("x1")), "r", "regression")
+    assert read.value == 300
+    y, p = np.array(data.select("r", 2 * F.col("x1")).collect()).T
+    assert found["r2_score"] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    assert found["median_absolute_error"] == pytest.approx(np.median(np.abs(y - p)), rel=1e-2)
+
+
+def test_forests_keep_the_node_of_each_row(data):
+    """The trees are those of a forest that walks down from its roots at each level."""
+    learner = learners.estimator("random_forest_regressor", 300, trees=5)
+    assert learner.getCacheNodeIds()
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(data.withColumn("label", F.col("r")))
+    kept, walked = learner.fit(rows), learner.copy({learner.cacheNodeIds: False}).fit(rows)
+    assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
+def test_fourier_features_are_cosines(spark, data):
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(data)
+    lift = learners.FourierFeatures(inputCol="x", outputCol="z", gamma=0.3, size=16)
+    found = lift.transform(rows).select("x", "z").collect()
+    rng = np.random.default_rng(learners.SEED)
+    w = rng.normal(0.0, np.sqrt(0.6), (3, 16))
+    b = rng.uniform(0.0, 2 * np.pi, 16)
+    for r in found:
+        assert r["z"].toArray() == pytest.approx(np.sqrt(2 / 16) * np.cos(r["x"].toArray() @ w + b), abs=1e-12)
+    assert lift.transform(rows.limit(0)).collect() == []
+
+
 def test_tuning_keeps_the_best(data):
     found = training.tune_grid(data, FEATURES, "r", "decision_tree_regressor", "id", {"max_depth": [1, 4]}, 2)
     assert len(found["trials"]) == 2 and found["params"] == {"max_depth": 4}
